@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
-from factloom.llm import secrets, sketch
+from factloom.llm import mixing, secrets, sketch, urlfilter, warc
 
 QUERIES = {
+    "op2_warc_revisits": warc.op2_warc_revisits,
+    "op4_mix": mixing.op4_mix,
+    "op5_temporal_url_filter": urlfilter.op5_temporal_url_filter,
     "op6_scaled_sketch": sketch.op6_scaled_sketch,
     "op10_secret_scan": secrets.op10_secret_scan,
 }
 ORACLE = {
+    "op2_warc_revisits": warc.OP2_SQL,
+    "op5_temporal_url_filter": urlfilter.OP5_SQL,
     "op6_scaled_sketch": sketch.OP6_SQL,
 }
