@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from factloom.llm import mixing, secrets, sketch, urlfilter, warc
+from factloom.llm import mixing, packing, secrets, sketch, urlfilter, warc
 
 QUERIES = {
+    "op8_pack": packing.op8_pack,
     "op2_warc_revisits": warc.op2_warc_revisits,
     "op4_mix": mixing.op4_mix,
     "op5_temporal_url_filter": urlfilter.op5_temporal_url_filter,
