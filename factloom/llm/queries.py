@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from factloom.llm import langid, mixing, packing, secrets, sketch, urlfilter, warc
+from factloom.llm import langid, mixing, neardup, packing, secrets, sketch, urlfilter, warc
 
 QUERIES = {
+    "op7_near_duplicates": neardup.op7_near_duplicates,
     "op9_language": langid.op9_language,
     "op8_pack": packing.op8_pack,
     "op2_warc_revisits": warc.op2_warc_revisits,
