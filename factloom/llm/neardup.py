@@ -38,10 +38,11 @@ def banding(threshold: float) -> tuple[int, int]:
     return rows, math.ceil(math.log(MISS) / math.log(1 - threshold**rows))
 
 
-def _parts(batches, sizes_of: int):
+def _parts(batches, sizes_of: int, most: int = BATCH_BYTES):
+    """Slices of batches of about ``most`` bytes of text, one row at least."""
     for batch in batches:
         size = pc.fill_null(pc.binary_length(batch.column(sizes_of)), 0).to_numpy(zero_copy_only=False)
-        ends = np.cumsum(size + 64) // BATCH_BYTES
+        ends = np.cumsum(size + 64) // most
         cuts = [0, *(np.flatnonzero(np.diff(ends)) + 1).tolist(), len(size)]
         for lo, hi in zip(cuts, cuts[1:], strict=False):
             if hi > lo:

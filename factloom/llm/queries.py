@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from factloom.llm import ann, langid, mixing, neardup, packing, secrets, sketch, urlfilter, warc
+from factloom.llm import ann, langid, lm, mixing, neardup, packing, secrets, sketch, urlfilter, warc
 
 QUERIES = {
+    "op1_lm_score": lm.op1_lm_score,
     "op3_nearest": ann.op3_nearest,
     "op7_near_duplicates": neardup.op7_near_duplicates,
     "op9_language": langid.op9_language,
