@@ -1,17 +1,69 @@
-"""The corpus pipeline: documents through the stages of STAGES, each written as Parquet and read again."""
+"""The corpus pipeline: documents through the stages of STAGES, each written as Parquet and read again.
+
+Every stage keeps the columns of ``documents`` but the last, which returns packed pieces. Stages work on all that the one before kept.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from factloom.llm import langid, mixing, neardup, packing, secrets
+from factloom.llm.storage import materialize
+
+COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+#: A document goes if no language is found, or the found one has less than this probability.
+SURE = 0.5
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents in no known language; fits on the stage's own labelled documents."""
+    model = langid.fit(docs)
+    seen = langid.predict(docs, model)
+    if not model.labels:
+        return docs.select(*COLUMNS)
+    return seen.filter((F.col("lang_pred") != langid.NONE) & (F.col("score") >= SURE)).select(*COLUMNS)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps the document with the least id of each near-duplicate group, and one of rows that repeat an id."""
+    found = neardup.near_duplicates(docs)
+    gone = materialize(found.filter("not kept").select("doc_id").distinct(), "pipeline-gone")
+    repeated = docs.groupBy("doc_id").count().filter("count > 1 and doc_id is not null").select("doc_id")
+    kept = docs.join(gone, "doc_id", "left_anti").select(*COLUMNS)
+    twice = kept.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*COLUMNS)
+    return kept.join(repeated, "doc_id", "left_anti").select(*COLUMNS).unionByName(twice)
+
+
+def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Replaces every secret by a mark; all documents stay."""
+    clean = secrets.redact(secrets.scan(docs))
+    return clean.withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Brings sources to their target weights: documents are taken as often as the mix says, or not at all."""
+    sized = docs.withColumns({"size": mixing.words(F.col("text")), "members": F.array("source")})
+    plan = mixing.mix(materialize(sized.select("doc_id", "source", "size", "members"), "pipeline-sizes"), "doc_id", "size", "members", mixing.contract_quotas)
+    taken = materialize(plan.filter("copies > 0").groupBy("doc_id").agg(F.max("copies").alias("copies")), "pipeline-taken")
+    return docs.join(taken.withColumnRenamed("doc_id", "_id"), docs["doc_id"].eqNullSafe(F.col("_id"))).withColumn("_copy", F.explode(F.sequence(F.lit(1), "copies"))).select(*COLUMNS)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Packs all that is left into sequences."""
+    return packing.pack_documents(docs)
+
 
-STAGES: list = []
-#: No stage chain with a trained classifier has a plain SQL form; tests hold it against a brute-force version.
+STAGES = [("language ID", language), ("MinHash near-dedup", near_duplicates), ("secret scans", secret_scan), ("mixing to target weights", mix), ("best-fit packing", pack)]
+#: A trained classifier and a tokenizer have no SQL form; the tests hold run() against a brute-force version.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Applies the stages to ``documents``."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select(*COLUMNS)
+    for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
+        if k + 1 < len(STAGES):
+            docs = materialize(docs, f"pipeline-{k + 1}")
     return docs
