@@ -107,11 +107,22 @@ def ftrl(rows: list[tuple[np.ndarray, np.ndarray, int]], n_labels: int, alpha: f
 
 
 def temperature(logits: np.ndarray, y: np.ndarray) -> float:
-    """The divisor of logits with the least log loss, by golden-section search over its logarithm."""
-    if not len(y):
+    """The divisor of logits with the least log loss, by golden-section search over its logarithm.
+
+    A share of 1 / (n + 2) of every row's weight is spread over the other labels, so that n rows without an error do not make
+    the scores more certain than n rows can show.
+    """
+    if not len(y) or logits.shape[1] < 2:
         return 1.0
-    loss = lambda t: -np.log(softmax(logits / np.exp(t))[np.arange(len(y)), y] + 1e-12).mean()
-    a, b, r = -3.0, 3.0, (5**0.5 - 1) / 2
+    slack, row = 1.0 / (len(y) + 2), np.arange(len(y))
+    others = (logits.shape[1] - 1) / slack
+
+    def loss(t: float) -> float:
+        p = np.log(softmax(logits / np.exp(t)) + 1e-300)
+        own = p[row, y]
+        return float(-((1 - slack) * own + (p.sum(1) - own) / others).mean())
+
+    a, b, r = -5.0, 5.0, (5**0.5 - 1) / 2
     while b - a > 1e-3:
         c, d = b - r * (b - a), a + r * (b - a)
         a, b = (a, d) if loss(c) < loss(d) else (c, b)
