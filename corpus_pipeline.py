@@ -12,8 +12,8 @@ from factloom.llm import langid, mixing, neardup, packing, secrets
 from factloom.llm.storage import materialize
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
-#: A document goes if no language is found, or the found one has less than this probability.
-SURE = 0.5
+#: A document goes if no language is found, or the found one is hardly likelier than an even draw among the labels.
+SURE = 1.2
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -22,7 +22,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     seen = langid.predict(docs, model)
     if not model.labels:
         return docs.select(*COLUMNS)
-    return seen.filter((F.col("lang_pred") != langid.NONE) & (F.col("score") >= SURE)).select(*COLUMNS)
+    return seen.filter((F.col("lang_pred") != langid.NONE) & (F.col("score") >= min(0.5, SURE / len(model.labels)))).select(*COLUMNS)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
