@@ -4,11 +4,18 @@ Every permutation gives a document two values, its least and its greatest shingl
 plain MinHash; each value agrees between two documents with the probability of their Jaccard similarity. Bands of consecutive values
 are keys; documents that share a key are candidates.
 
-Equal shingle sets are one class from the start, so thousands of copies are one row. A class is compared with the members of a key in
-rounds: the least member of the key is the first centre, and a growing share of the members are centres in later rounds. A pair
-is confirmed on the full sets. Keys whose members are all in one component are closed, and pairs inside a component are never compared: a
-link between them could not change any component. Rounds end when no key is open or every pair of an open key was compared, so no link
-between components is lost, and a group of near copies is not expanded into its pairs.
+Equal shingle sets are one class from the start, so thousands of copies are one row. What follows compares classes and is exact on candidates:
+
+1. A class that has too many shingles of its own (found in no other candidate class) cannot be linked with anything and leaves. This
+   takes out documents that merely share a passage or a line.
+2. Each key's pivot, the member with the fewest shingles of its own, is compared with the others on full sets: first each class meets the
+   pivot that it shares most keys with, then all pivots of its keys.
+3. Keys that still hold several components: every member is described by its difference to the pivot (what it lacks, as a bit set, and what it adds).
+   From two descriptions follows an upper bound of the similarity, which decides all pairs but those near the threshold inside a join's
+   condition; only the rest is compared on full sets. Pairs inside a component are never compared: a link between them could
+   not change anything.
+
+So no link between components is lost, and a group of near copies is not expanded into its pairs.
 
 Defined results: a null text counts as empty; a document without words is linked with nothing; repeated rows are in one component and keep
 their rows; a null id takes no part (null component, kept); an empty table gives an empty result; other columns are not returned.
@@ -132,6 +139,43 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return two.select("a", "b", "left", "right").mapInArrow(run, "a long, b long, linked boolean")
 
 
+MASKS = 8
+
+
+def _spokes(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """(pivot, cls, lacks, adds, m0 to m7): the difference of a class to its pivot; the bit set holds hashes of what it lacks."""
+
+    def run(batches):
+        for batch in batches:
+            rows: list[list] = [[] for _ in range(2 + MASKS)]
+            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+                pivot, own = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+                lacks = np.setdiff1d(pivot, own, assume_unique=True)
+                bits = np.zeros(MASKS, np.uint64)
+                spot = lacks % np.uint64(MASKS * 64)
+                np.bitwise_or.at(bits, (spot >> np.uint64(6)).astype(np.int64), np.uint64(1) << (spot & np.uint64(63)))
+                for column, v in zip(rows, (len(lacks), len(own) - len(pivot) + len(lacks), *bits.astype(np.int64).tolist()), strict=True):
+                    column.append(v)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *[pa.array(c, pa.int64()) for c in rows]], names=["pivot", "cls", "lacks", "adds", *[f"m{i}" for i in range(MASKS)]])
+
+    one = pairs.join(sets.select("cls", F.col("shingles").alias("own")), "cls")
+    two = one.join(sets.select(F.col("cls").alias("pivot"), F.col("shingles").alias("theirs")), "pivot")
+    return two.select("pivot", "cls", "theirs", "own").mapInArrow(run, "pivot long, cls long, lacks long, adds long, " + ", ".join(f"m{i} long" for i in range(MASKS)))
+
+
+def _own_shingles(sets: DataFrame) -> DataFrame:
+    """(cls, own): how many of a class's shingles no other class has."""
+
+    def run(batches):
+        for batch in batches:
+            for c, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                h = np.frombuffer(x, np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(h), c)), pa.array(h)], names=["cls", "h"])
+
+    single = sets.select("cls", "shingles").mapInArrow(run, "cls long, h long").groupBy("h").agg(F.count(F.lit(1)).alias("c"), F.min("cls").alias("cls")).filter("c = 1")
+    return single.groupBy("cls").agg(F.count(F.lit(1)).alias("own"))
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) for the nodes of undirected edges (a, b): root is the least node of the component.
 
@@ -162,47 +206,65 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
     sized = signed.filter("doc_id is not null and cls is not null")
     classes = sized.groupBy("cls").agg(F.min("doc_id").alias("rep"))  # partial minimum before the shuffle
     banded = sized.join(classes, "cls").filter("doc_id = rep").select("cls", "rep", "n", F.explode("bands").alias("band")).dropDuplicates(["cls", "band"])
-    shared = banded.groupBy("band").agg(F.count(F.lit(1)).alias("size"), F.min("cls").alias("least")).filter("size > 1")
-    members = materialize(banded.join(shared, "band"), "neardup-members")  # band, cls, rep, n, size, least
-    largest = members.agg(F.max("size")).first()[0] or 0
-    labels = checked = sets = None  # labels: (node, root) of classes that are linked so far
-    share, done = 1, 1  # centres of a key in this round; keys up to this size need no more
-    while done < largest:
-        state = members.filter(F.col("size") > done)
-        state = state.withColumn("comp", F.col("cls")) if labels is None else state.join(labels, state.cls == labels.node, "left").withColumn("comp", F.coalesce("root", "cls")).drop("node", "root")
+    shared = banded.groupBy("band").agg(F.count(F.lit(1)).alias("size")).filter("size > 1").select("band")
+    met = materialize(banded.join(shared, "band"), "neardup-met")
+    wanted = met.select("rep").distinct()
+    source = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
+    sets = materialize(_full_sets(source.join(wanted, source.doc_id == wanted.rep, "left_semi"), width), "neardup-sets")
+    own = materialize(_own_shingles(sets), "neardup-own")
+    # J <= (S - U) / (S + U) for sizes S and own shingles U of both; the partner has n * 100 / percent shingles at most.
+    most = F.col("n") + F.col("n") * 100 / percent
+    able = (most - F.col("own")) * 100 >= (most + F.col("own")) * percent
+    open_ = met.join(own, "cls", "left").fillna(0, ["own"]).filter(able).select("band", "cls", "n", "own")
+    pivots = open_.groupBy("band").agg(F.count(F.lit(1)).alias("size"), F.min(F.struct("own", "cls")).alias("_p")).filter("size > 1").select("band", F.col("_p.cls").alias("pivot"))
+    members = materialize(open_.join(pivots, "band"), "neardup-members")
+    labels = checked = None  # labels: (node, root) of classes that are linked so far
+
+    def current() -> DataFrame:
+        """Members of keys that hold more than one component, with ``comp``."""
+        state = members.withColumn("comp", F.col("cls")) if labels is None else members.join(labels, members.cls == labels.node, "left").withColumn("comp", F.coalesce("root", "cls")).drop("node", "root")
         differ = state.groupBy("band").agg(F.min("comp").alias("_a"), F.max("comp").alias("_b")).filter("_a < _b").select("band")
-        state = materialize(state.join(differ, "band", "left_semi"), "neardup-open")
+        return state.join(differ, "band", "left_semi")
+
+    for step in ("favourite pivot", "all pivots", "rest"):
+        state = materialize(current(), "neardup-open")
         if state.isEmpty():
             break
-        # Centres: the least class of the key, and later a growing share of all (all of them at last).
-        drawn = F.pmod(F.xxhash64("cls", F.lit(7)), F.lit(1 << 30)) < F.lit(float(1 << 30)) * (share - 1) / F.col("size")
-        centres = state.filter((F.col("cls") == F.col("least")) | drawn).select("band", F.col("cls").alias("c"), F.col("comp").alias("c_comp"), F.col("n").alias("c_n"))
-        near = state.join(centres, "band").filter((F.col("comp") != F.col("c_comp")) & (F.least("n", "c_n") * 100 >= F.greatest("n", "c_n") * percent))
-        if checked is None:
-            # First each class meets only the centre that it shares most keys with: most of a group is then one component.
-            best = near.groupBy("cls", "c").agg(F.count(F.lit(1)).alias("votes")).groupBy("cls").agg(F.max(F.struct("votes", "c")).alias("x"))
-            pairs = best.select(F.least("cls", "x.c").alias("a"), F.greatest("cls", "x.c").alias("b")).distinct()
-            wanted = members.select("rep").distinct()
-            source = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-            sets = materialize(_full_sets(source.join(wanted, source.doc_id == wanted.rep, "left_semi"), width), "neardup-sets")
+        if step == "rest":
+            spokes = _spokes(state.filter("cls <> pivot").select("pivot", "cls").distinct(), sets)
+            full = materialize(state.join(spokes, ["pivot", "cls"]), "neardup-spokes")
+            x, y = full.alias("x"), full.alias("y")
+            both = lambda f: f(*[F.col(f"{side}.{c}") for side in "xy" for c in ("lacks", "adds", "own", "n")])
+            bits = sum((F.bit_count(F.col(f"x.m{i}").bitwiseAND(F.col(f"y.m{i}"))) for i in range(MASKS)), F.lit(0))
+            spare = lambda side: F.col(f"{side}.lacks") - sum((F.bit_count(F.col(f"{side}.m{i}")) for i in range(MASKS)), F.lit(0))
+            # The pivot's shingles that both have, and the most additions that both may share.
+            lack_both = F.least(F.col("x.lacks"), F.col("y.lacks"), bits + F.least(spare("x"), spare("y")))
+            common = both(lambda la, aa, oa, na, lb, ab, ob, nb: na - aa - lb + lack_both + F.least(aa - oa, ab - ob))
+            bound = both(lambda la, aa, oa, na, lb, ab, ob, nb: common * 100 >= (na + nb - common) * percent)
+            on = (F.col("x.band") == F.col("y.band")) & (F.col("x.cls") < F.col("y.cls")) & (F.col("x.comp") != F.col("y.comp")) & bound
+            near = x.join(y, on).select(F.col("x.cls").alias("a"), F.col("y.cls").alias("b")).distinct()
         else:
-            done, share = max(2, share - 1), share * 4
-            pairs = near.select(F.least("c", "cls").alias("a"), F.greatest("c", "cls").alias("b")).distinct().join(checked.select("a", "b"), ["a", "b"], "left_anti")
+            near = state.join(state.filter("cls = pivot").select("band", F.col("comp").alias("p_comp"), F.col("n").alias("p_n")), "band")
+            near = near.filter((F.col("comp") != F.col("p_comp")) & (F.least("n", "p_n") * 100 >= F.greatest("n", "p_n") * percent))
+            if step == "favourite pivot":
+                votes = near.groupBy("cls", "pivot").agg(F.count(F.lit(1)).alias("votes"))
+                near = votes.groupBy("cls").agg(F.max(F.struct("votes", "pivot")).alias("_x")).select("cls", "_x.pivot")
+            near = near.select(F.least("pivot", "cls").alias("a"), F.greatest("pivot", "cls").alias("b")).distinct()
+        pairs = near if checked is None else near.join(checked.select("a", "b"), ["a", "b"], "left_anti")
         fresh = materialize(_confirmed(pairs, sets, percent), "neardup-checked")
-        counts = fresh.agg(F.count(F.lit(1)), F.count_if("linked")).first()
         checked = fresh if checked is None else checked.unionByName(fresh)
-        if counts[1]:
-            new = fresh.filter("linked").select("a", "b")
-            if labels is not None:
-                # Roots stand for what is already linked.
-                for side in ("a", "b"):
-                    new = new.join(labels.withColumnsRenamed({"node": side, "root": "_root"}), side, "left").withColumn(side, F.coalesce("_root", side)).drop("_root")
-                moved = components(new)
-                old = labels.join(moved.withColumnsRenamed({"node": "root", "root": "_to"}), "root", "left").select("node", F.coalesce("_to", "root").alias("root"))
-                joined = old.unionByName(moved.join(labels.select("node"), "node", "left_anti"))
-            else:
-                joined = components(new)
-            labels = materialize(joined, "neardup-labels")
+        new = fresh.filter("linked").select("a", "b")
+        if new.isEmpty():
+            continue
+        if labels is None:
+            labels = materialize(components(new), "neardup-labels")
+            continue
+        # Roots stand for what is already linked.
+        for side in ("a", "b"):
+            new = new.join(labels.withColumnsRenamed({"node": side, "root": "_root"}), side, "left").withColumn(side, F.coalesce("_root", side)).drop("_root")
+        moved = components(new)
+        old = labels.join(moved.select(F.col("node").alias("root"), F.col("root").alias("_to")), "root", "left").select("node", F.coalesce("_to", "root").alias("root"))
+        labels = materialize(old.unionByName(moved.join(labels.select("node"), "node", "left_anti")), "neardup-labels")
     table = classes if labels is None else classes.join(labels, classes.cls == labels.node, "left").withColumn("root", F.coalesce("root", "cls")).drop("node")
     if labels is not None:
         table = table.join(table.groupBy("root").agg(F.min("rep").alias("component")), "root").select("cls", "component")
