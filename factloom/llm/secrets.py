@@ -104,19 +104,27 @@ def p_value(token: Column) -> Column:
     )
 
 
+def bound(value: Column, body) -> Column:
+    """``body(value)`` with the value computed once: a lambda's body is evaluated for each element, with all that it names."""
+    return F.transform(F.array(value), body)[0]
+
+
 def random_tokens(tokens: Column, alpha: float = 0.05) -> Column:
     """For each token of the array: true if the document-wide rule does not reject that it is random.
 
     Weighted Benjamini-Hochberg: ``p * mean length / length`` is sorted; the largest one with ``q(k) <= alpha * k / m`` and all
     below it are rejected. That is one sort for each document, however many tokens it has.
     """
+
+    def judged(q: Column) -> Column:
+        n = F.size(q)
+        passed = F.transform(F.array_sort(q), lambda x, i: F.when(x["q"] <= F.lit(alpha) * (i + 1) / x["m"], x["q"]))
+        return bound(F.coalesce(F.array_max(passed), F.lit(-1.0)), lambda limit: F.when(n > 0, F.transform(q, lambda x: x["q"] > limit)).otherwise(F.expr("cast(array() as array<boolean>)")))
+
     tests = F.transform(tokens, lambda t: F.struct(p_value(t).alias("p"), F.length(t).cast("double").alias("n")))
-    total = F.aggregate(tests, F.lit(0.0), lambda acc, t: acc + t["n"])
-    mean = total / F.greatest(F.size(tests), F.lit(1))
-    q = F.transform(tests, lambda t: t["p"] * mean / t["n"])
-    passed = F.transform(F.array_sort(q), lambda x, i: F.when(x <= F.lit(alpha) * (i + 1) / F.size(q), x))
-    limit = F.coalesce(F.array_max(passed), F.lit(-1.0))
-    return F.transform(q, lambda x: x > limit)
+    total = lambda ts: F.struct(F.aggregate(ts, F.lit(0.0), lambda acc, t: acc + t["n"]).alias("n"), F.size(ts).alias("m"))
+    weighted = lambda ts: bound(total(ts), lambda all_: F.transform(ts, lambda t: F.struct((t["p"] * all_["n"] / all_["m"] / t["n"]).alias("q"), all_["m"].alias("m"))))
+    return bound(tests, lambda ts: bound(weighted(ts), judged))
 
 
 def scan(docs: DataFrame, text: str = "text", alpha: float = 0.05) -> DataFrame:
