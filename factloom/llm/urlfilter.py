@@ -26,13 +26,16 @@ FOREVER = "9999-01-01 00:00:00"
 
 def patterns_of(url: Column) -> Column:
     """Every pattern that covers the URL."""
-    host = F.lower(F.regexp_extract(url, URL, 1))
-    path = F.regexp_extract(url, URL, 2)
-    labels = F.split(host, r"\.")
-    hosts = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.concat(F.lit("host:"), F.array_join(F.slice(labels, i, F.size(labels)), ".")))
-    steps = F.split(path, "/")
-    folders = F.transform(F.sequence(F.lit(1), F.size(steps)), lambda i: F.concat(F.lit("path:"), host, F.array_join(F.slice(steps, 1, i), "/"), F.when(i < F.size(steps), "/").otherwise("")))
-    return F.when(host != "", F.array_distinct(F.concat(hosts, folders))).otherwise(F.expr("cast(array() as array<string>)"))
+    parts = F.struct(F.lower(F.regexp_extract(url, URL, 1)).alias("host"), F.split(F.lower(F.regexp_extract(url, URL, 1)), r"\.").alias("labels"), F.split(F.regexp_extract(url, URL, 2), "/").alias("steps"))
+
+    def every(p: Column) -> Column:
+        host, labels, steps = p["host"], p["labels"], p["steps"]
+        hosts = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.concat(F.lit("host:"), F.array_join(F.slice(labels, i, F.size(labels)), ".")))
+        folders = F.transform(F.sequence(F.lit(1), F.size(steps)), lambda i: F.concat(F.lit("path:"), host, F.array_join(F.slice(steps, 1, i), "/"), F.when(i < F.size(steps), "/").otherwise("")))
+        return F.when(host != "", F.array_distinct(F.concat(hosts, folders))).otherwise(F.expr("cast(array() as array<string>)"))
+
+    # The parts are bound once; a lambda would else take the URL apart again for each pattern.
+    return F.coalesce(F.transform(F.array(parts), every)[0], F.expr("cast(array() as array<string>)"))
 
 
 def intervals(entries: DataFrame) -> DataFrame:
@@ -55,7 +58,7 @@ def judge(captures: DataFrame, entries: DataFrame) -> DataFrame:
     on = (F.col("c.pattern") == F.col("v.pattern")) & (F.col("c.bucket") == F.col("v.bucket")) & (F.col("c.fetched_at") >= F.col("v.valid_from")) & (F.col("c.fetched_at") < F.col("v.valid_to"))
     hit = c.join(v, on, "left").select("c.capture_id", "c.url", "c.fetched_at", F.col("v.pattern").alias("pattern"), F.col("v.action").alias("action"))
     rank = F.when(F.col("pattern").isNotNull(), F.struct(F.length("pattern").alias("n"), F.col("action").alias("action"), F.col("pattern").alias("pattern")))
-    best = hit.groupBy("capture_id", "url", "fetched_at").agg(F.max(rank).alias("best"), F.count("pattern").alias("n_active"))
+    best = hit.groupBy("capture_id", "url", "fetched_at").agg(F.max(rank).alias("best"), F.size(F.collect_set("pattern")).cast("long").alias("n_active"))
     decision = F.when(F.col("best.action") == "block", "block").otherwise("keep")
     return best.select("capture_id", "url", "fetched_at", decision.alias("decision"), F.col("best.pattern").alias("pattern"), "n_active")
 
