@@ -93,15 +93,16 @@ def scan(x: np.ndarray, q: np.ndarray, bound: float, k: int, epsilon: float = EP
     """Rows of the block ``x`` that may be among the ``k`` nearest to ``q``: the adaptive scan; ``bound`` is a squared distance."""
     d = x.shape[1]
     alive, far = np.arange(len(x)), np.zeros(len(x))
-    if len(x) > 4 * k:
-        # A first guess of this block's own bound: the k-th distance among some of its rows.
-        some = x[:: len(x) // (2 * k)]
-        bound = min(bound, float(np.partition(((some - q) ** 2).sum(1), k - 1)[k - 1])) if len(some) >= k else bound
-    bound = bound * (1 + 1e-5) + 1e-9
+    slack = lambda r: r * (1 + 1e-5) + 1e-9  # noqa: E731 - for sums in another order
+    bound = slack(bound)
     for lo in range(0, d, COLUMNS):
         hi = min(lo + COLUMNS, d)
         part = x[alive, lo:hi] - q[lo:hi]
         far = far + np.einsum("ij,ij->i", part, part)
+        if len(alive) > 4 * k:
+            # This block's own bound: the k-th whole distance among the rows that look nearest so far.
+            some = x[alive[np.argpartition(far, 2 * k)[: 2 * k]]]
+            bound = min(bound, slack(float(np.partition(((some - q) ** 2).sum(1), k - 1)[k - 1])))
         keep = far <= bound if hi == d else far * (d / hi) <= bound * (1 + epsilon / np.sqrt(hi)) ** 2
         alive, far = alive[keep], far[keep]
         if not len(alive):
