@@ -8,7 +8,7 @@ from collections.abc import Sequence
 from dataclasses import dataclass, field
 from datetime import timedelta
 
-from factloom.operators.base import Aggregator, Capability, Operator
+from factloom.operators.base import Aggregator, Capability, Operator, check_policy
 from factloom.plans import completion as conditions
 from factloom.plans.graph import check_ids, prune, validate
 from factloom.types import TypeRegistry
@@ -32,6 +32,8 @@ class Flow:
         self.operators = [x() if isinstance(x, type) else x for x in self.operators]
         self.aggregators = [x() if isinstance(x, type) else x for x in self.aggregators]
         self.capabilities = [x() if isinstance(x, type) else x for x in self.capabilities]
+        for x in [*self.operators, *self.aggregators]:
+            check_policy(x)
         check_ids([*self.operators, *self.aggregators, *self.capabilities])
         if self.completes_when is not None:
             self.completes_when = conditions.normalize(self.completes_when)

@@ -77,7 +77,7 @@ def unseal_facts(facts: DataFrame, ciphers: CipherProvider) -> DataFrame:
     if not facts.filter(F.col("sealed") & ~F.coalesce(F.col("namespace_id").isin(ciphers.namespaces()), F.lit(False))).isEmpty():
         raise PiiKeyUnavailableError("sealed rows in a namespace without a key")
     opened = ciphers.by_namespace(F.col("namespace_id"), lambda c: c.unseal(F.col("value")), F.col("value"))
-    return facts.withColumn("value", F.when("sealed", opened).otherwise(F.col("value")))
+    return facts.withColumn("value", F.when(F.col("sealed"), opened).otherwise(F.col("value")))
 
 
 def audit_summary(types: TypeRegistry, override: Column | None = None, ciphers: CipherProvider | None = None) -> Column:
