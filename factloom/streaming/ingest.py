@@ -83,7 +83,7 @@ class SessionTimers(StatefulProcessor):
         park = now + self.park_ms
         self.handle.registerTimer(park)
         self.state.update((n, due, park))
-        yield pd.DataFrame({"session_id": [], "kind": [], "n": [], "at": []})
+        return iter(())  # arrivals emit nothing; timers do
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         at = expiredTimerInfo.getExpiryTimeInMs()
