@@ -11,11 +11,22 @@ import os
 
 import numpy as np
 
-_POP = np.array([bin(i).count("1") for i in range(256)], np.uint8)
-_SELECT = np.array([([k for k in range(8) if i >> k & 1] + [0] * 8)[:8] for i in range(256)], np.uint8)
 ONE = np.uint64(1)
 
 
+def _select(word: np.ndarray, left: np.ndarray) -> np.ndarray:
+    """The place of bit number ``left`` (from 0) of each word, by halving the word six times."""
+    at = np.zeros(len(word), np.int64)
+    for width in (32, 16, 8, 4, 2, 1):
+        count = np.bitwise_count(word & np.uint64((1 << width) - 1))
+        above = left >= count
+        left = left - count * above
+        step = above * np.int64(width)
+        word = word >> step.astype(np.uint64)
+        at += step
+    return at
+
+
 class EliasFano:
     """A non-decreasing sequence: low bits packed, high bits unary with a popcount directory."""
 
@@ -41,7 +52,7 @@ class EliasFano:
         place = (values >> np.uint64(bits)).astype(np.int64) + np.arange(n)
         high = np.zeros((int(place[-1]) >> 6) + 1 if n else 1, np.uint64)
         np.bitwise_or.at(high, place >> 6, ONE << (place & 63).astype(np.uint64))
-        count = _POP[high.view(np.uint8)].reshape(-1, 8).sum(1).astype(np.int64)
+        count = np.bitwise_count(high).astype(np.int64)
         return cls(np.array([n, bits], np.int64), low, high, np.cumsum(count) - count)
 
     def __getitem__(self, i: np.ndarray) -> np.ndarray:
@@ -49,19 +60,15 @@ class EliasFano:
         i = np.asarray(i, np.int64)
         word = np.searchsorted(self.rank, i, side="right") - 1
         left = i - self.rank[word]
-        bytes_ = np.ascontiguousarray(self.high[word]).view(np.uint8).reshape(-1, 8)
-        ends = np.cumsum(_POP[bytes_], axis=1, dtype=np.int64)
-        k = (ends <= left[:, None]).sum(1)
-        row = np.arange(len(i))
-        before = np.where(k > 0, ends[row, np.maximum(k - 1, 0)], 0)
-        place = word * 64 + k * 8 + _SELECT[bytes_[row, k], left - before]
+        place = word * 64 + _select(np.asarray(self.high)[word], left)
         value = (place - i).astype(np.uint64) << np.uint64(self.bits)
         if self.bits:
             at = i.astype(np.uint64) * np.uint64(self.bits)
             w, off = (at >> np.uint64(6)).astype(np.int64), at & np.uint64(63)
-            part = self.low[w] >> off
+            low = np.asarray(self.low)
+            part = low[w] >> off
             # A shift by 64 is undefined, so the second word is shifted in two steps.
-            part |= (self.low[w + 1] << (np.uint64(63) - off)) << ONE
+            part |= (low[w + 1] << (np.uint64(63) - off)) << ONE
             value |= part & np.uint64((1 << self.bits) - 1)
         return value.astype(np.int64)
 

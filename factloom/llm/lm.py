@@ -22,6 +22,7 @@ often as they occur; without training documents every count is 0; an empty table
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 
 import numpy as np
@@ -39,35 +40,39 @@ from factloom.llm.storage import materialize, partitions
 MU = 100.0
 LEVELS = 4095
 LOWEST = -12.0
-SHARD_BYTES = 24_000_000
+SHARD_BYTES = 6_000_000
 HOT_ROWS = 2000
-BLOCK_BYTES = 10_000_000
+BLOCK_BYTES = 6_000_000
+BATCH_ROWS = 2000
 #: The boundary: the context of a text's first word, and the end of a text.
 BOUNDARY = np.uint64(xxhash.xxh3_64_intdigest(b" "))
 COLUMNS = "shard int, block string, kind string, payload binary, tokens long, kinds long"
 
 
 def press(*arrays: np.ndarray) -> bytes:
-    """Arrays as compressed bytes, each one transposed so that like bytes stand together."""
-    parts = []
+    """Arrays as compressed bytes, each one transposed so that like bytes stand together, all in one frame."""
+    head = [len(arrays).to_bytes(1, "little")]
+    planes = []
     for a in arrays:
         kind = a.dtype.str[1:].encode()
-        planes = np.ascontiguousarray(a).view(np.uint8).reshape(len(a), a.dtype.itemsize).T if len(a) else np.zeros(0, np.uint8)
-        body = zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(planes).tobytes())
-        parts.append(len(kind).to_bytes(1, "little") + kind + len(a).to_bytes(8, "little") + len(body).to_bytes(8, "little") + body)
-    return b"".join(parts)
+        head.append(len(kind).to_bytes(1, "little") + kind + len(a).to_bytes(5, "little"))
+        planes.append(np.ascontiguousarray(np.ascontiguousarray(a).view(np.uint8).reshape(len(a), a.dtype.itemsize).T).tobytes() if len(a) else b"")
+    return b"".join(head) + zstandard.ZstdCompressor(level=1).compress(b"".join(planes))
 
 
 def unpress(data: bytes) -> list[np.ndarray]:
-    out, at = [], 0
-    while at < len(data):
+    kinds, at = [], 1
+    for _ in range(data[0]):
         k = data[at]
-        kind = np.dtype(data[at + 1 : at + 1 + k].decode())
-        at += 1 + k
-        n, size = int.from_bytes(data[at : at + 8], "little"), int.from_bytes(data[at + 8 : at + 16], "little")
-        planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data[at + 16 : at + 16 + size], max_output_size=max(1, n * kind.itemsize)), np.uint8)
-        out.append(np.ascontiguousarray(planes.reshape(kind.itemsize, n).T).view(kind).ravel() if n else np.zeros(0, kind))
-        at += 16 + size
+        kinds.append((np.dtype(data[at + 1 : at + 1 + k].decode()), int.from_bytes(data[at + 1 + k : at + 6 + k], "little")))
+        at += 6 + k
+    total = sum(kind.itemsize * n for kind, n in kinds)
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data[at:], max_output_size=max(1, total)), np.uint8)
+    out, at = [], 0
+    for kind, n in kinds:
+        part = planes[at : at + kind.itemsize * n]
+        out.append(np.ascontiguousarray(part.reshape(kind.itemsize, n).T).view(kind).ravel() if n else np.zeros(0, kind))
+        at += kind.itemsize * n
     return out
 
 
@@ -99,7 +104,7 @@ def _pairs(code: np.ndarray, n_texts: np.ndarray, n_codes: int):
     inner[0], inner[ends] = False, False
     seq[inner] = code
     key = seq[:-1] * n_codes + seq[1:]
-    order = np.argsort(key, kind="stable")
+    order = np.argsort(key)
     sorted_ = key[order]
     new = np.ones(len(key), bool)
     new[1:] = sorted_[1:] != sorted_[:-1]
@@ -159,6 +164,7 @@ def _asker(shards: int, hot: dict[int, int]):
             known_ids = np.asarray(ids.is_valid(), bool)
             rows.append((block_no % shards, "text", press(code.astype(np.uint32), counts.astype(np.uint32), np.asarray(ids.fill_null(0), np.int64), known_ids, train, np.array([n_codes], np.int64), wild_codes.astype(np.int64), h[wild_codes])))
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([block] * len(rows)), pa.array([r[1] for r in rows]), pa.array([r[2] for r in rows], pa.binary()), pa.array([0] * len(rows), pa.int64()), pa.array([0] * len(rows), pa.int64())], names=["shard", "block", "kind", "payload", "tokens", "kinds"])
+        words.trim()
 
     return run
 
@@ -192,6 +198,7 @@ def _answerer(mu: float, shards: int):
             context = np.concatenate([x[2] for x in asks])
             word = np.concatenate([x[3] for x in asks])
             times = np.concatenate([x[4] for x in asks]).astype(np.int64)
+            asks = [(block, kind, len(own), place, heads) for block, kind, own, _, _, place, heads in asks]
             contexts, c = np.unique(context, return_inverse=True)
             vocabulary, w = np.unique(word, return_inverse=True)
             count = np.bincount(c, weights=times, minlength=len(contexts)).astype(np.int64)
@@ -199,7 +206,7 @@ def _answerer(mu: float, shards: int):
             count[shared] = [totals[int(x)] for x in contexts[shared]]
             seen = times > 0
             key = c[seen] * len(vocabulary) + w[seen]
-            order = np.argsort(key, kind="stable")
+            order = np.argsort(key)
             key = key[order]
             new = np.ones(len(key), bool)
             new[1:] = key[1:] != key[:-1]
@@ -210,13 +217,13 @@ def _answerer(mu: float, shards: int):
                 Trie.build(own_c, own_w, quantise(n / (count[own_c] + mu)), len(contexts)).save(folder)
                 trie = Trie.load(folder)
                 at = 0
-                for block, kind, own, _, _, place, heads in asks:
-                    stop = at + len(own)
+                for block, kind, size, place, heads in asks:
+                    stop = at + size
                     code = trie.lookup(c[at:stop], w[at:stop])
                     at = stop
                     if kind == "ask":
                         out.append((block, "answer", press(place, count[np.searchsorted(contexts, heads)], code), 0, 0))
-                    elif len(own):
+                    elif size:
                         out.append((block, "answer-hot", press(place, code), 0, 0))
                 del trie
             tokens, kinds = int(count[~shared].sum()), int((count[~shared] > 0).sum())
@@ -226,6 +233,8 @@ def _answerer(mu: float, shards: int):
                 tokens, kinds = tokens + n, kinds + (n > 0)
                 out.append(("", "hot", press(np.array([h], np.uint64), np.array([n], np.int64)), 0, 0))
         out.append(("", "sum", b"", tokens, kinds))
+        asks = context = word = times = c = w = None
+        words.trim()
         columns = zip(*out, strict=True)
         kinds_ = [pa.string(), pa.string(), pa.binary(), pa.int64(), pa.int64()]
         arrays = [pa.array([shard] * len(out), pa.int32()), *[pa.array(x, t) for x, t in zip(columns, kinds_, strict=True)]]
@@ -264,6 +273,18 @@ def _adder(mu: float, n_tokens: int, n_kinds: int, hot_counts: dict[int, int]):
     return run
 
 
+@contextlib.contextmanager
+def _small_batches(spark):
+    """Smaller Arrow batches for the jobs run inside: a batch of texts and what is made of it are what a worker holds."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(min(int(before) if int(before) > 0 else BATCH_ROWS, BATCH_ROWS)))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def hot_contexts(sample: DataFrame, shards: int) -> dict[int, int]:
     """Parts of every context that has more than a quarter of a shard's share of the sample's tokens: 4 * shards at most, and the boundary."""
 
@@ -287,9 +308,11 @@ def score_documents(docs: DataFrame, train: Column, key: str = "doc_id", text: s
     size = data.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("bytes")).first()
     shards = max(min(8, partitions(spark)), -(-size["bytes"] // SHARD_BYTES))
     share = min(1.0, HOT_ROWS / max(1, size["n"]))
-    hot = hot_contexts(data.filter(F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(1 << 30)) < int(share * (1 << 30)) + 1).select("text"), shards)
+    with _small_batches(spark):
+        hot = hot_contexts(data.filter(F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(1 << 30)) < int(share * (1 << 30)) + 1).select("text"), shards)
     asked = data.mapInArrow(_asker(shards, hot), COLUMNS)
-    answered = materialize(asked.groupBy("shard").applyInArrow(_answerer(mu, shards), COLUMNS), "lm-answers")
+    with _small_batches(spark):
+        answered = materialize(asked.groupBy("shard").applyInArrow(_answerer(mu, shards), COLUMNS), "lm-answers")
     sums = answered.filter("kind = 'sum'").agg(F.sum("tokens").alias("n"), F.sum("kinds").alias("v")).first()
     told = [unpress(r["payload"]) for r in answered.filter("kind = 'hot'").select("payload").collect()]  # a number for each hot context
     counts = {int(h[0]): int(n[0]) for h, n in told}

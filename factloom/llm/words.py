@@ -28,9 +28,7 @@ def split(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[str]]:
 def trim() -> None:
     """Gives memory that a finished block held back to the system: workers live on between tasks."""
     import ctypes
-    import gc
 
-    gc.collect()
     pa.default_memory_pool().release_unused()
     with contextlib.suppress(OSError, AttributeError):
         ctypes.CDLL("libc.so.6").malloc_trim(0)
