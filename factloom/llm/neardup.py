@@ -36,7 +36,7 @@ from factloom.llm import words
 from factloom.llm.storage import materialize
 
 MISS = 1e-7
-BATCH_BYTES = 6_000_000
+BATCH_BYTES = 4_000_000
 
 
 def banding(threshold: float) -> tuple[int, int]:
@@ -98,6 +98,7 @@ def _signer(width: int, rows: int, bands: int):
                     keys[i] = k
             cls = [_class_of(s) if len(s) else None for s in sets]
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(map(len, sets), pa.int64()), pa.array(cls, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], names=["doc_id", "n", "cls", "bands"])
+        words.trim()
 
     return run
 
@@ -115,6 +116,7 @@ def _full_sets(docs: DataFrame, width: int) -> DataFrame:
         for part in _parts(batches, 1):
             sets = _sets(part.column(1), width)
             yield pa.RecordBatch.from_arrays([pa.array([_class_of(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["cls", "shingles"])
+        words.trim()
 
     return docs.mapInArrow(run, "cls long, shingles binary").dropDuplicates(["cls"])
 
@@ -133,6 +135,7 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 shared = int((both[1:] == both[:-1]).sum())
                 hit.append(100 * shared >= percent * (len(both) - shared))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(hit)], names=["a", "b", "linked"])
+        words.trim()
 
     one = pairs.join(sets.select(F.col("cls").alias("b"), F.col("shingles").alias("right")), "b")
     two = one.join(sets.select(F.col("cls").alias("a"), F.col("shingles").alias("left")), "a")
@@ -157,6 +160,7 @@ def _spokes(pairs: DataFrame, sets: DataFrame) -> DataFrame:
                 for column, v in zip(rows, (len(lacks), len(own) - len(pivot) + len(lacks), *bits.astype(np.int64).tolist()), strict=True):
                     column.append(v)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *[pa.array(c, pa.int64()) for c in rows]], names=["pivot", "cls", "lacks", "adds", *[f"m{i}" for i in range(MASKS)]])
+        words.trim()
 
     one = pairs.join(sets.select("cls", F.col("shingles").alias("own")), "cls")
     two = one.join(sets.select(F.col("cls").alias("pivot"), F.col("shingles").alias("theirs")), "pivot")
@@ -171,6 +175,7 @@ def _own_shingles(sets: DataFrame) -> DataFrame:
             for c, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 h = np.frombuffer(x, np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(h), c)), pa.array(h)], names=["cls", "h"])
+        words.trim()
 
     single = sets.select("cls", "shingles").mapInArrow(run, "cls long, h long").groupBy("h").agg(F.count(F.lit(1)).alias("c"), F.min("cls").alias("cls")).filter("c = 1")
     return single.groupBy("cls").agg(F.count(F.lit(1)).alias("own"))
@@ -205,17 +210,20 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
     signed = materialize(signatures(docs, key, text, width, percent / 100), "neardup-signatures")
     sized = signed.filter("doc_id is not null and cls is not null")
     classes = sized.groupBy("cls").agg(F.min("doc_id").alias("rep"))  # partial minimum before the shuffle
-    banded = sized.join(classes, "cls").filter("doc_id = rep").select("cls", "rep", "n", F.explode("bands").alias("band")).dropDuplicates(["cls", "band"])
+    # One row for each class, and narrow rows for its bands: they are what is shuffled most.
+    single = sized.join(classes, "cls").filter("doc_id = rep").select("cls", "rep", "n", "bands").dropDuplicates(["cls"])
+    banded = single.select("cls", F.explode(F.array_distinct("bands")).alias("band"))
     shared = banded.groupBy("band").agg(F.count(F.lit(1)).alias("size")).filter("size > 1").select("band")
     met = materialize(banded.join(shared, "band"), "neardup-met")
-    wanted = met.select("rep").distinct()
+    facts = materialize(sized.join(classes, "cls").filter("doc_id = rep").select("cls", "rep", "n").dropDuplicates(["cls"]).join(met.select("cls").distinct(), "cls", "left_semi"), "neardup-classes")
     source = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    sets = materialize(_full_sets(source.join(wanted, source.doc_id == wanted.rep, "left_semi"), width), "neardup-sets")
+    sets = materialize(_full_sets(source.join(facts, source.doc_id == facts.rep, "left_semi"), width), "neardup-sets")
     own = materialize(_own_shingles(sets), "neardup-own")
     # J <= (S - U) / (S + U) for sizes S and own shingles U of both; the partner has n * 100 / percent shingles at most.
     most = F.col("n") + F.col("n") * 100 / percent
     able = (most - F.col("own")) * 100 >= (most + F.col("own")) * percent
-    open_ = met.join(own, "cls", "left").fillna(0, ["own"]).filter(able).select("band", "cls", "n", "own")
+    free = facts.join(own, "cls", "left").fillna(0, ["own"]).filter(able).select("cls", "n", "own")
+    open_ = met.join(free, "cls")
     pivots = open_.groupBy("band").agg(F.count(F.lit(1)).alias("size"), F.min(F.struct("own", "cls")).alias("_p")).filter("size > 1").select("band", F.col("_p.cls").alias("pivot"))
     members = materialize(open_.join(pivots, "band"), "neardup-members")
     labels = checked = None  # labels: (node, root) of classes that are linked so far
