@@ -22,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from factloom.llm import words
+
 SLOTS = 1 << 15
 ORDERS = (1, 2, 3)
 PER_LABEL = 400
@@ -140,6 +142,7 @@ def document_frequencies(texts: DataFrame) -> tuple[int, np.ndarray]:
                 if text:
                     df[np.bincount(slots(text), minlength=SLOTS) > 0] += 1
                 n += 1
+        words.trim()
         yield pa.RecordBatch.from_pydict({"n": [n], "df": [df.astype("<i8").tobytes()]})
 
     def add(batches):
@@ -195,7 +198,9 @@ def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     @F.pandas_udf("lang string, score double")
     def guess(texts: pd.Series) -> pd.DataFrame:
         own = shared.value
-        return pd.DataFrame([own.predict(t) for t in texts], columns=["lang", "score"])
+        out = pd.DataFrame([own.predict(t) for t in texts], columns=["lang", "score"])
+        words.trim()
+        return out
 
     return docs.withColumn("_guess", guess(text)).withColumns({"lang_pred": F.col("_guess.lang"), "score": F.col("_guess.score")}).drop("_guess")
 

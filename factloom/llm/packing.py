@@ -27,12 +27,14 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from factloom.llm.storage import materialize
+from factloom.llm import words
+from factloom.llm.storage import materialize, small_batches
 
 CAPACITY = 2048
 END_ID = 0
 TOKENIZER = "byte_bpe_50k.json"
-CHUNK_BYTES = 8_000_000
+CHUNK_BYTES = 4_000_000
+BATCH_ROWS = 1000
 
 
 class ByteTokenizer:
@@ -44,7 +46,7 @@ class ByteTokenizer:
     the worker up to ``most_known``, when it starts anew.
     """
 
-    def __init__(self, path: str, most_known: int = 1_000_000):
+    def __init__(self, path: str, most_known: int = 600_000):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -181,6 +183,8 @@ def pieces(docs: DataFrame, key: str = "doc_id", text: str = "text", tokenizer:
                         if with_ids:
                             rows["ids"].append(own)
                 yield pa.RecordBatch.from_arrays([pa.array(rows[f.name], f.type) for f in schema], schema=schema)
+        tool = None
+        words.trim()
 
     ddl = f"{key} long, piece int, start long, length long, ids_crc32 long" + (", ids array<long>" if with_ids else "")
     if with_ids:
@@ -290,7 +294,8 @@ def pack(found: DataFrame, key: str = "doc_id", capacity: int = CAPACITY, bucket
 
 def pack_documents(docs: DataFrame) -> DataFrame:
     """The pieces of all documents with their places, by the production tokenizer and capacity."""
-    found = materialize(pieces(docs), "packing-pieces")
+    with small_batches(docs.sparkSession, BATCH_ROWS):
+        found = materialize(pieces(docs), "packing-pieces")
     return pack(found).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 

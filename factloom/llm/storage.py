@@ -6,6 +6,7 @@ a folder of this application is made.
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
 
@@ -38,6 +39,18 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextlib.contextmanager
+def small_batches(spark: SparkSession, rows: int):
+    """Arrow batches of ``rows`` at most for the jobs run inside: a batch of texts and what is made of it are what a worker holds."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(min(int(before), rows) if int(before) > 0 else rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def drop_path(spark: SparkSession, path: str) -> None:
     """Delete what a finished step wrote, through Hadoop's file system so that any shared store works."""
     jvm = spark._jvm
