@@ -5,7 +5,7 @@ Every stage keeps the columns of ``documents`` but the last, which returns packe
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factloom.llm import langid, mixing, neardup, packing, secrets
@@ -25,14 +25,29 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return seen.filter((F.col("lang_pred") != langid.NONE) & (F.col("score") >= min(0.5, SURE / len(model.labels)))).select(*COLUMNS)
 
 
+def row_key() -> Column:
+    """A row's key: 64 bits of the hash of all its columns, so only equal rows share one; the flags tell nulls in different columns apart."""
+    return F.xxhash64(*COLUMNS, F.concat(*[F.col(c).isNull().cast("string") for c in COLUMNS]))
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the least id of each near-duplicate group, and one of rows that repeat an id."""
-    found = neardup.near_duplicates(docs)
-    gone = materialize(found.filter("not kept").select("doc_id").distinct(), "pipeline-gone")
-    repeated = docs.groupBy("doc_id").count().filter("count > 1 and doc_id is not null").select("doc_id")
-    kept = docs.join(gone, "doc_id", "left_anti").select(*COLUMNS)
-    twice = kept.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*COLUMNS)
-    return kept.join(repeated, "doc_id", "left_anti").select(*COLUMNS).unionByName(twice)
+    """Keeps one row of each near-duplicate group: the one with the least id (a null id is the last), then the least key.
+
+    Rows are told apart by :func:`row_key`, so different texts of one id are compared like those of any two ids, and rows with a null id take part.
+    """
+    keyed = docs.withColumn("_row", row_key())
+    found = neardup.near_duplicates(keyed, "_row").filter("n_shingles > 0")
+    groups = materialize(found.groupBy(F.col("doc_id").alias("_row"), F.col("component_id").alias("_group")).agg(F.count(F.lit(1)).alias("_rows")), "pipeline-groups")
+    ids = keyed.select("_row", "doc_id").distinct()
+    first = groups.join(ids, "_row").groupBy("_group").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_row")).alias("_first")).select("_first._row")
+    gone = groups.join(first, "_row", "left_anti").select("_row")
+    # Of equal rows that are first in their group one stays.
+    repeated = materialize(groups.filter("_rows > 1").join(first, "_row", "left_semi").select("_row"), "pipeline-repeated")
+    if repeated.isEmpty():
+        return keyed.join(materialize(gone, "pipeline-gone"), "_row", "left_anti").select(*COLUMNS)
+    gone = materialize(gone.unionByName(repeated), "pipeline-gone")
+    once = keyed.join(repeated, "_row", "left_semi").dropDuplicates(["_row"])
+    return keyed.join(gone, "_row", "left_anti").select(*COLUMNS).unionByName(once.select(*COLUMNS))
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -42,11 +57,15 @@ def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Brings sources to their target weights: documents are taken as often as the mix says, or not at all."""
-    sized = docs.withColumns({"size": mixing.words(F.col("text")), "members": F.array("source")})
-    plan = mixing.mix(materialize(sized.select("doc_id", "source", "size", "members"), "pipeline-sizes"), "doc_id", "size", "members", mixing.contract_quotas)
-    taken = materialize(plan.filter("copies > 0").groupBy("doc_id").agg(F.max("copies").alias("copies")), "pipeline-taken")
-    return docs.join(taken.withColumnRenamed("doc_id", "_id"), docs["doc_id"].eqNullSafe(F.col("_id"))).withColumn("_copy", F.explode(F.sequence(F.lit(1), "copies"))).select(*COLUMNS)
+    """Brings sources to their target weights: rows are taken as often as the mix says, or not at all; equal rows are one that counts for all."""
+    keyed = docs.withColumn("_row", row_key())
+    sized = keyed.select("_row", "source", mixing.words(F.col("text")).alias("size"), F.array("source").alias("members"))
+    plan = mixing.mix(materialize(sized, "pipeline-sizes"), "_row", "size", "members", mixing.contract_quotas)
+    taken = materialize(plan.groupBy("_row").agg(F.sum("copies").alias("_copies"), F.count(F.lit(1)).alias("_rows")).filter("_copies > 0"), "pipeline-taken")
+    out = keyed.join(taken.filter("_rows = 1"), "_row")
+    if not taken.filter("_rows > 1").isEmpty():
+        out = out.unionByName(keyed.join(taken.filter("_rows > 1"), "_row").dropDuplicates(["_row"]))
+    return out.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))).select(*COLUMNS)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
