@@ -1,7 +1,9 @@
 """Secret scans: fixed patterns, and a battery of randomness tests for tokens that no pattern names. [native]
 
-Every candidate token (a maximal run of 24 or more base64 or URL-safe characters) gets an inferred encoding (hex, base32
-or base64) and three tests of the hypothesis "each symbol is drawn evenly from the alphabet":
+Candidates are tokens (maximal runs of base64 or URL-safe characters, 24 or more with the padding; ``=`` counts only as padding at the
+end, else it parts tokens as in NAME=value) and segments (what stands in a token between ``/``, ``-`` and ``_``, 24 or more too), so that a
+natural name or path does not hide the random value beside it. Every candidate gets an inferred encoding (hex, base32
+or base64) of its own and three tests of the hypothesis "each symbol is drawn evenly from the alphabet":
 
 * a chi-squared test of three alphabet cells with known shares (two degrees of freedom, so its tail is ``exp(-x/2)``),
 * a runs test of symbols in the upper and lower half of the alphabet,
@@ -9,7 +11,7 @@ or base64) and three tests of the hypothesis "each symbol is drawn evenly from t
 
 The smallest of the three p-values, times three, is the token's. Within each document the hypothesis is rejected by the
 Benjamini-Hochberg step-up rule on p-values weighted by token length (longer tokens have more power, so they get more of
-the error budget). A token whose randomness is not rejected is reported as kind ``random``. The decision needs nothing but the
+the error budget). A candidate whose randomness is not rejected is reported as kind ``random``, but a segment of a reported token is not. The decision needs nothing but the
 document, so the scan is one pass without a shuffle.
 
 Defined results: a null text counts as empty; empty texts and tables give no spans; a null doc_id stays null; repeated rows are
@@ -26,7 +28,10 @@ KINDS = ("assign", "access", "hex", "random")
 ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]{12,}"
 HEX = r"(?<![0-9a-f])[0-9a-f]{32,}"
-TOKEN = r"(?<![A-Za-z0-9+/=_-])[A-Za-z0-9+/=_-]{24,}"
+_PAD = r"(?:=+(?![A-Za-z0-9+/=_-]))"
+TOKEN = r"(?<![A-Za-z0-9+/_-])(?:[A-Za-z0-9+/_-]{24,}" + _PAD + r"?|[A-Za-z0-9+/_-]{23}" + _PAD + r"|[A-Za-z0-9+/_-]{22}(?===)" + _PAD + ")"
+#: Segments of a token that is longer: a separator stands before or after.
+SEGMENT = r"(?<![A-Za-z0-9+])(?:(?<=[/_-])(?:[A-Za-z0-9+]{24,}" + _PAD + r"?|[A-Za-z0-9+]{23}" + _PAD + r"|[A-Za-z0-9+]{22}(?===)" + _PAD + r")|[A-Za-z0-9+]{24,}(?=[/_-]))"
 ALPHABETS = {"hex": "0123456789abcdef", "base32": "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "base64": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"}
 #: The last value of the first and second cell of each alphabet.
 CELLS = {"hex": (4, 9), "base32": (12, 25), "base64": (25, 51)}
@@ -132,11 +137,17 @@ def scan(docs: DataFrame, text: str = "text", alpha: float = 0.05) -> DataFrame:
     t = F.coalesce(F.col(text), F.lit(""))
     strong = F.transform(F.regexp_extract_all(t, F.lit(ASSIGN), F.lit(2)), lambda g: F.length(g) >= 8)
     base = F.array_sort(F.concat(_positions(t, ASSIGN, "assign", strong), _positions(t, ACCESS, "access"), _positions(t, HEX, "hex")))
-    flags = random_tokens(F.regexp_extract_all(t, F.lit(TOKEN), F.lit(0)), alpha)
-    more = _positions(t, TOKEN, "random", flags)
-    df = docs.withColumn("spans", base).withColumn("_more", more)
+    found = lambda pattern: F.regexp_extract_all(t, F.lit(pattern), F.lit(0))
+    df = docs.withColumn("spans", base).withColumns({"_tokens": found(TOKEN), "_segments": found(SEGMENT)})
+    df = df.withColumn("_flags", random_tokens(F.concat("_tokens", "_segments"), alpha))
+    of_tokens = F.slice("_flags", F.lit(1), F.size("_tokens"))
+    of_segments = F.slice("_flags", F.size("_tokens") + 1, F.size("_segments"))
+    df = df.withColumns({"_more": _positions(t, TOKEN, "random", of_tokens), "_parts": _positions(t, SEGMENT, "random", of_segments)})
+    inside = lambda m: F.exists("_more", lambda w: (w["start"] <= m["start"]) & (m["end"] <= w["end"]))
+    df = df.withColumn("_more", F.when(F.size("_parts") > 0, F.concat("_more", F.filter("_parts", lambda m: ~inside(m)))).otherwise(F.col("_more")))
     apart = F.filter("_more", lambda m: ~F.exists("spans", lambda b: (m["start"] < b["end"]) & (b["start"] < m["end"])))
-    return df.withColumn("spans", F.when(F.size("_more") > 0, F.array_sort(F.concat("spans", apart))).otherwise(F.col("spans"))).drop("_more")
+    df = df.withColumn("spans", F.when(F.size("_more") > 0, F.array_sort(F.concat("spans", apart))).otherwise(F.col("spans")))
+    return df.drop("_tokens", "_segments", "_flags", "_more", "_parts")
 
 
 def render(spans: Column) -> Column:
