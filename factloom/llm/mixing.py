@@ -117,7 +117,11 @@ def mix(docs: DataFrame, key: str, size: str, members: str, quotas: Callable[[di
     found = cells.groupBy("_pattern").agg(F.sum("_in").alias("n")).limit(max_patterns + 1).collect()
     if len(found) > max_patterns:
         raise ValueError(f"more than {max_patterns} membership patterns")
+    # The plan is joined by Spark's own JSON: Python would write some control characters in another way.
+    names = {tuple(json.loads(r["_pattern"])): r["_pattern"] for r in found}
     tokens = {tuple(json.loads(r["_pattern"])): int(r["n"] or 0) for r in found}
+    if len(names) != len(found):
+        raise ValueError("two membership patterns read alike")
     totals: dict = {}
     for p, n in tokens.items():
         for s in p:
@@ -130,7 +134,7 @@ def mix(docs: DataFrame, key: str, size: str, members: str, quotas: Callable[[di
         for s in sorted(given, key=lambda x: (x is None, x or "")):
             ends.append((s, at, at + given[s]))
             at += given[s]
-        rows.append((json.dumps(list(p), ensure_ascii=False, separators=(",", ":")), tokens[p], ends))
+        rows.append((names[p], tokens[p], ends))
     # As many rows as patterns, which were just counted.
     plan = F.broadcast(spark.createDataFrame(rows, "_pattern string, _tokens long, _shares array<struct<source:string,begin:long,stop:long>>"))
     before = Window.partitionBy("_pattern").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)

@@ -2,6 +2,8 @@
 
 from collections import Counter
 
+from common import table
+
 import corpus_pipeline
 from factloom.llm import mixing
 
@@ -37,3 +39,10 @@ def test_mixing_counts_rows_without_an_id_apart(spark):
     assert all(abs(taken[s] - want) <= 20 for s, want in mixing.contract_quotas(dict(total)).items())
     most = Counter(t for _, t, *_ in rows)
     assert all(n <= 3 * most[t] for t, n in Counter(r.text for r in out).items())
+
+
+def test_no_row_is_lost_by_the_name_of_its_source(spark, tmp_path):
+    names = ["a\x1fb", "\x0b", "q\"\\", "é🙂", "\u2028", "\x7f", "/", "", None]
+    rows = [(k, text(k, 12), "en", names[k % len(names)], 1) for k in range(90)]
+    out = mixing.op4_mix(spark, table(spark, str(tmp_path), "documents", rows, DOC)).collect()
+    assert Counter((r.doc_id, r.source) for r in out) == Counter((i, s) for i, _, _, s, _ in rows)
