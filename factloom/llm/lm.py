@@ -24,6 +24,7 @@ from __future__ import annotations
 
 import contextlib
 import tempfile
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -44,6 +45,7 @@ SHARD_BYTES = 6_000_000
 HOT_ROWS = 2000
 BLOCK_BYTES = 6_000_000
 BATCH_ROWS = 2000
+OUT_BYTES = 1_000_000
 #: The boundary: the context of a text's first word, and the end of a text.
 BOUNDARY = np.uint64(xxhash.xxh3_64_intdigest(b" "))
 COLUMNS = "shard int, block string, kind string, payload binary, tokens long, kinds long"
@@ -96,27 +98,84 @@ def dequantise(code: np.ndarray) -> np.ndarray:
     return np.where(code > 0, 10.0 ** (LOWEST + (code.astype(float) - 1) / (LEVELS - 1) * -LOWEST), 0.0)
 
 
-def _pairs(code: np.ndarray, n_texts: np.ndarray, n_codes: int):
-    """(distinct pair keys, pair of each token, token rows): texts are framed by code 0 and read as pairs of neighbours."""
-    ends = np.cumsum(n_texts + 1)
-    seq = np.zeros(int(ends[-1]) + 1, np.int64) if len(ends) else np.zeros(1, np.int64)
+def _sequence(code: np.ndarray, n_texts: np.ndarray) -> np.ndarray:
+    """All texts as one sequence of codes, framed by code 0."""
+    ends = np.cumsum(n_texts, dtype=np.int64) + np.arange(1, len(n_texts) + 1)
+    seq = np.zeros(int(ends[-1]) + 1 if len(ends) else 1, np.int32)
     inner = np.ones(len(seq), bool)
     inner[0], inner[ends] = False, False
     seq[inner] = code
-    key = seq[:-1] * n_codes + seq[1:]
-    order = np.argsort(key)
-    sorted_ = key[order]
+    return seq
+
+
+def _pairs(seq: np.ndarray, n_codes: int) -> tuple[np.ndarray, np.ndarray]:
+    """(distinct pair keys of neighbours in order, pair of each token)."""
+    key = seq[:-1].astype(np.int64) * n_codes + seq[1:]
+    order = np.argsort(key).astype(np.int32)
+    key = key[order]
     new = np.ones(len(key), bool)
-    new[1:] = sorted_[1:] != sorted_[:-1]
-    pair = np.empty(len(key), np.int64)
-    pair[order] = np.cumsum(new) - 1
-    return sorted_[new], pair, seq[1:]
+    new[1:] = key[1:] != key[:-1]
+    pair = np.empty(len(key), np.int32)
+    pair[order] = np.cumsum(new, dtype=np.int32) - 1
+    return key[new], pair
+
+
+def _out(rows: list[tuple], block: str) -> pa.RecordBatch:
+    """Rows (shard, kind, payload) of a block."""
+    zeros = pa.array(np.zeros(len(rows), np.int64))
+    return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([block] * len(rows)), pa.array([r[1] for r in rows]), pa.array([r[2] for r in rows], pa.binary()), zeros, zeros], names=["shard", "block", "kind", "payload", "tokens", "kinds"])
 
 
 def _asker(shards: int, hot: dict[int, int]):
     """Step one; ``hot``: parts of each hot context by its hash."""
     hot_hash = np.array([x for x in sorted(hot) if x != int(BOUNDARY)], np.uint64)
 
+    def ask(part: pa.RecordBatch, home: int):
+        """Rows (shard, kind, payload) of one block, one after the other; only shards that are asked something get a row."""
+        counts, codes, known = words.split(part.column(1))
+        h = words.hashes(known)
+        known = None
+        # Codes: 0 the boundary, then words by shard (hot ones last) and hash.
+        is_hot = np.isin(h, hot_hash)
+        shard = np.where(is_hot, shards, (words.mix(h) % np.uint64(shards)).astype(np.int64))
+        order = np.lexsort((h, shard))
+        code_of = np.empty(len(h), np.int32)
+        code_of[order] = np.arange(1, len(h) + 1, dtype=np.int32)
+        h, shard = np.concatenate([[BOUNDARY], h[order]]).astype(np.uint64), np.concatenate([[-1], shard[order]])
+        n_codes = len(h)
+        code = code_of[codes]
+        codes = order = code_of = None
+        train = np.asarray(part.column(2).to_numpy(zero_copy_only=False), bool)
+        keys, pair = _pairs(_sequence(code, counts), n_codes)
+        times = np.bincount(pair[np.repeat(train, counts + 1)], minlength=len(keys)).astype(np.uint32)
+        pair = None
+        v, w = (keys // n_codes).astype(np.int32), (keys % n_codes).astype(np.int32)
+        keys = None
+        total = np.bincount(v, weights=times, minlength=n_codes).astype(np.uint32)
+        # The boundary and hot contexts: each part goes to the shard of (context, part), with the context's count in this block.
+        lo, hi = np.searchsorted(v, 1), np.searchsorted(v, np.searchsorted(shard, shards))
+        wild = np.concatenate([np.arange(lo), np.arange(hi, len(v))])
+        wild_codes = np.unique(v[wild])
+        ids = part.column(0)
+        yield home, "text", press(code.astype(np.uint32), counts.astype(np.uint32), np.asarray(ids.fill_null(0), np.int64), np.asarray(ids.is_valid(), bool), train, np.array([n_codes], np.int64), wild_codes.astype(np.int64), h[wild_codes])
+        code = None
+        asked = np.unique(shard[v[lo:hi]])
+        begin, stop = np.searchsorted(shard, asked), np.searchsorted(shard, asked, side="right")
+        for s, a, b in zip(asked.tolist(), begin.tolist(), stop.tolist(), strict=True):
+            i, j = np.searchsorted(v, [a, b])
+            yield s, "ask", press(h[a:b], np.bincount(v[i:j] - a, minlength=b - a).astype(np.uint32), *_narrow(h[w[i:j]]), times[i:j], np.array([a, i], np.int64))
+        parts_of = np.array([hot[int(x)] for x in h[wild_codes]], np.int64)
+        n_parts = parts_of[np.searchsorted(wild_codes, v[wild])].astype(np.uint64)
+        target = _hot_shard(h[v[wild]], words.mix(h[w[wild]]) % n_parts, shards)
+        told_code = np.repeat(wild_codes, parts_of)
+        told_part = np.arange(len(told_code)) - np.repeat(np.cumsum(parts_of) - parts_of, parts_of)
+        told_shard = _hot_shard(h[told_code], told_part.astype(np.uint64), shards)
+        by_target, by_told = np.argsort(target, kind="stable"), np.argsort(told_shard, kind="stable")
+        wild, target, told_code, told_shard = wild[by_target], target[by_target], told_code[by_told], told_shard[by_told]
+        for s in np.union1d(target, told_shard).tolist():
+            own, told = wild[slice(*np.searchsorted(target, [s, s + 1]))], np.unique(told_code[slice(*np.searchsorted(told_shard, [s, s + 1]))])
+            yield s, "ask-hot", press(h[v[own]], *_narrow(h[w[own]]), times[own], own.astype(np.int64), h[told], total[told].astype(np.int64))
+
     def run(batches):
         from pyspark import TaskContext
 
@@ -124,47 +183,17 @@ def _asker(shards: int, hot: dict[int, int]):
         for part in _parts(batches, 1, BLOCK_BYTES):
             block = f"{task}-{block_no}"
             block_no += 1
-            counts, codes, known = words.split(part.column(1))
-            h = words.hashes(known)
-            # Codes: 0 the boundary, then words by shard (hot ones last) and hash.
-            is_hot = np.isin(h, hot_hash)
-            shard = np.where(is_hot, shards, (words.mix(h) % np.uint64(shards)).astype(np.int64))
-            order = np.lexsort((h, shard))
-            code_of = np.empty(len(h), np.int64)
-            code_of[order] = np.arange(1, len(h) + 1)
-            h, shard = np.concatenate([[BOUNDARY], h[order]]).astype(np.uint64), np.concatenate([[-1], shard[order]])
-            n_codes = len(h)
-            code = code_of[codes]
-            keys, pair, _ = _pairs(code, counts, n_codes)
-            v, w = keys // n_codes, keys % n_codes
-            train = np.asarray(part.column(2).to_numpy(zero_copy_only=False), bool)
-            times = np.bincount(pair[np.repeat(train, counts + 1)], minlength=len(keys)).astype(np.uint32)
-            total = np.bincount(v, weights=times, minlength=n_codes).astype(np.uint32)
-            rows = []
-            v_shard = shard[v]
-            begin = np.searchsorted(v_shard, np.arange(shards + 1))  # pairs of shard s: begin[s] to begin[s + 1]; before them the boundary's
-            code_begin = np.searchsorted(shard, np.arange(shards + 1))
-            for s in range(shards):
-                lo, hi, a, b = begin[s], begin[s + 1], code_begin[s], code_begin[s + 1]
-                if hi > lo:
-                    rows.append((s, "ask", press(h[a:b], np.bincount(v[lo:hi] - a, minlength=b - a).astype(np.uint32), *_narrow(h[w[lo:hi]]), times[lo:hi], np.array([a, lo], np.int64))))
-            # The boundary and hot contexts: each part goes to the shard of (context, part), with the context's count in this block.
-            wild = np.concatenate([np.arange(0, begin[0]), np.arange(begin[shards], len(keys))])
-            wild_codes = np.unique(v[wild])
-            parts_of = np.array([hot[int(x)] for x in h[wild_codes]], np.int64)
-            n_parts = parts_of[np.searchsorted(wild_codes, v[wild])].astype(np.uint64)
-            target = _hot_shard(h[v[wild]], words.mix(h[w[wild]]) % n_parts, shards)
-            told_code = np.repeat(wild_codes, parts_of)
-            told_part = np.arange(len(told_code)) - np.repeat(np.cumsum(parts_of) - parts_of, parts_of)
-            told_shard = _hot_shard(h[told_code], told_part.astype(np.uint64), shards)
-            for s in np.union1d(target, told_shard).tolist():
-                own, told = wild[target == s], np.unique(told_code[told_shard == s])
-                rows.append((s, "ask-hot", press(h[v[own]], *_narrow(h[w[own]]), times[own], own.astype(np.int64), h[told], total[told].astype(np.int64))))
-            ids = part.column(0)
-            known_ids = np.asarray(ids.is_valid(), bool)
-            rows.append((block_no % shards, "text", press(code.astype(np.uint32), counts.astype(np.uint32), np.asarray(ids.fill_null(0), np.int64), known_ids, train, np.array([n_codes], np.int64), wild_codes.astype(np.int64), h[wild_codes])))
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([block] * len(rows)), pa.array([r[1] for r in rows]), pa.array([r[2] for r in rows], pa.binary()), pa.array([0] * len(rows), pa.int64()), pa.array([0] * len(rows), pa.int64())], names=["shard", "block", "kind", "payload", "tokens", "kinds"])
-        words.trim()
+            rows, size = [], 0
+            for row in ask(part, block_no % shards):
+                rows.append(row)
+                size += len(row[2])
+                if size > OUT_BYTES:
+                    yield _out(rows, block)
+                    rows, size = [], 0
+            if rows:
+                yield _out(rows, block)
+            rows = None
+            words.trim()
 
     return run
 
@@ -176,45 +205,59 @@ def _hot_shard(context: np.ndarray, part: np.ndarray, shards: int) -> np.ndarray
 def _answerer(mu: float, shards: int):
     """Step two: one shard's trie, and the answers to all requests."""
 
-    def run(table: pa.Table) -> pa.Table:
+    def run(batches):
         asks: list = []
-        out: list[tuple] = []
         totals: dict[int, int] = {}
-        shard = table["shard"][0].as_py()
-        for block, kind, payload in zip(table["block"].to_pylist(), table["kind"].to_pylist(), table["payload"], strict=True):
-            data = payload.as_py()
-            if kind == "text":
-                out.append((block, "text", data, 0, 0))
-            elif kind == "ask":
-                h, degree, a, b, times, at = unpress(data)
-                asks.append((block, kind, np.repeat(h, degree), _wide(a, b), times, at, h))
-            else:
-                h, a, b, times, own, told, n = unpress(data)
-                for x, y in zip(told.tolist(), n.tolist(), strict=True):
-                    totals[x] = totals.get(x, 0) + y
-                asks.append((block, kind, h, _wide(a, b), times, own, None))
+        shard = None
+
+        def table(out: list[tuple]) -> pa.RecordBatch:
+            columns = zip(*out, strict=True)
+            kinds_ = [pa.string(), pa.string(), pa.binary(), pa.int64(), pa.int64()]
+            arrays = [pa.array([shard] * len(out), pa.int32()), *[pa.array(x, t) for x, t in zip(columns, kinds_, strict=True)]]
+            return pa.RecordBatch.from_arrays(arrays, names=["shard", "block", "kind", "payload", "tokens", "kinds"])
+
+        for batch in batches:
+            shard = batch.column(0)[0].as_py() if shard is None and batch.num_rows else shard
+            for i in range(batch.num_rows):
+                block, kind, data = (batch.column(k)[i].as_py() for k in (1, 2, 3))
+                if kind == "text":
+                    yield table([(block, "text", data, 0, 0)])  # goes along untouched
+                elif kind == "ask":
+                    h, degree, a, b, times, at = unpress(data)
+                    asks.append((block, kind, np.repeat(h, degree), _wide(a, b), times, at, h))
+                else:
+                    h, a, b, times, own, told, n = unpress(data)
+                    for x, y in zip(told.tolist(), n.tolist(), strict=True):
+                        totals[x] = totals.get(x, 0) + y
+                    asks.append((block, kind, h, _wide(a, b), times, own, None))
+        batch = None
         tokens = kinds = 0
         if asks:
             context = np.concatenate([x[2] for x in asks])
             word = np.concatenate([x[3] for x in asks])
-            times = np.concatenate([x[4] for x in asks]).astype(np.int64)
+            times = np.concatenate([x[4] for x in asks])
             asks = [(block, kind, len(own), place, heads) for block, kind, own, _, _, place, heads in asks]
             contexts, c = np.unique(context, return_inverse=True)
+            context = None
             vocabulary, w = np.unique(word, return_inverse=True)
+            word, c, w = None, c.astype(np.int32), w.astype(np.int32)
             count = np.bincount(c, weights=times, minlength=len(contexts)).astype(np.int64)
             shared = np.array([int(x) in totals for x in contexts], bool) if totals else np.zeros(len(contexts), bool)
             count[shared] = [totals[int(x)] for x in contexts[shared]]
             seen = times > 0
-            key = c[seen] * len(vocabulary) + w[seen]
+            key = c[seen].astype(np.int64) * len(vocabulary) + w[seen]
             order = np.argsort(key)
             key = key[order]
             new = np.ones(len(key), bool)
             new[1:] = key[1:] != key[:-1]
-            n = np.add.reduceat(times[seen][order], np.flatnonzero(new)) if len(key) else np.zeros(0, np.int64)
+            n = np.add.reduceat(times[seen][order].astype(np.int64), np.flatnonzero(new)) if len(key) else np.zeros(0, np.int64)
             key = key[new]
             own_c, own_w = key // len(vocabulary), key % len(vocabulary)
+            times = seen = order = new = key = vocabulary = None
+            # The trie's files are this task's own: whoever repeats the task builds them anew.
             with tempfile.TemporaryDirectory() as folder:
                 Trie.build(own_c, own_w, quantise(n / (count[own_c] + mu)), len(contexts)).save(folder)
+                own_c = own_w = n = None
                 trie = Trie.load(folder)
                 at = 0
                 for block, kind, size, place, heads in asks:
@@ -222,24 +265,23 @@ def _answerer(mu: float, shards: int):
                     code = trie.lookup(c[at:stop], w[at:stop])
                     at = stop
                     if kind == "ask":
-                        out.append((block, "answer", press(place, count[np.searchsorted(contexts, heads)], code), 0, 0))
+                        yield table([(block, "answer", press(place, count[np.searchsorted(contexts, heads)], code), 0, 0)])
                     elif size:
-                        out.append((block, "answer-hot", press(place, code), 0, 0))
+                        yield table([(block, "answer-hot", press(place, code), 0, 0)])
                 del trie
             tokens, kinds = int(count[~shared].sum()), int((count[~shared] > 0).sum())
         # A context with parts in many shards is counted by the shard of its part 0, and told to the blocks from there.
+        out = []
         for h, n in totals.items():
             if int(_hot_shard(np.array([h], np.uint64), np.zeros(1, np.uint64), shards)[0]) == shard:
                 tokens, kinds = tokens + n, kinds + (n > 0)
                 out.append(("", "hot", press(np.array([h], np.uint64), np.array([n], np.int64)), 0, 0))
-        out.append(("", "sum", b"", tokens, kinds))
-        asks = context = word = times = c = w = None
+        yield table([*out, ("", "sum", b"", tokens, kinds)])
+        asks = c = w = contexts = count = None
         words.trim()
-        columns = zip(*out, strict=True)
-        kinds_ = [pa.string(), pa.string(), pa.binary(), pa.int64(), pa.int64()]
-        arrays = [pa.array([shard] * len(out), pa.int32()), *[pa.array(x, t) for x, t in zip(columns, kinds_, strict=True)]]
-        return pa.Table.from_arrays(arrays, names=["shard", "block", "kind", "payload", "tokens", "kinds"])
 
+    # Spark tells the streamed form by its annotations.
+    run.__annotations__ = {"batches": Iterator[pa.RecordBatch], "return": Iterator[pa.RecordBatch]}
     return run
 
 
@@ -249,9 +291,13 @@ def _adder(mu: float, n_tokens: int, n_kinds: int, hot_counts: dict[int, int]):
     def run(table: pa.Table) -> pa.Table:
         rows = sorted(zip(table["kind"].to_pylist(), range(table.num_rows), strict=True), reverse=True)
         code, counts, ids, valid, train, head, wild, wild_hash = unpress(table["payload"][rows[0][1]].as_py())
-        n_codes = int(head[0])
-        keys, pair, w = _pairs(code.astype(np.int64), counts.astype(np.int64), n_codes)
+        n_codes, counts = int(head[0]), counts.astype(np.int64)
+        seq = _sequence(code.astype(np.int32), counts)
+        code = None
+        keys, pair = _pairs(seq, n_codes)
         count, level = np.zeros(n_codes, np.int64), np.zeros(len(keys), np.uint16)
+        v = (keys // n_codes).astype(np.int32)
+        keys = None
         count[wild] = [hot_counts.get(int(x), 0) for x in wild_hash]
         for kind, i in rows[1:]:
             data = unpress(table["payload"][i].as_py())
@@ -261,13 +307,15 @@ def _adder(mu: float, n_tokens: int, n_kinds: int, hot_counts: dict[int, int]):
                 level[place[1] : place[1] + len(codes)] = codes
             else:
                 level[data[0]] = data[1]
-        base = np.log10((count[w] + 1.0) / (n_tokens + n_kinds + 1.0))
-        seen = dequantise(level)[pair]
-        back = (mu / (count[keys // n_codes] + mu))[pair]
-        score = np.log10(seen + back * 10.0**base)
-        starts = np.cumsum(counts.astype(np.int64) + 1) - (counts.astype(np.int64) + 1)
+        seen, back = dequantise(level), mu / (count[v] + mu)
+        w = seq[1:]
+        base = np.log10((count + 1.0) / (n_tokens + n_kinds + 1.0))[w]
+        score = np.log10(seen[pair] + back[pair] * 10.0**base)
+        starts = np.cumsum(counts + 1) - (counts + 1)
         total = lambda x: np.add.reduceat(x, starts)
-        columns = [pa.array(ids, pa.int64(), mask=~valid), pa.array(~train), pa.array(counts.astype(np.int64) + 1), pa.array(total((count[w] > 0).astype(np.int64))), pa.array(total(base)), pa.array(total(score))]
+        columns = [pa.array(ids, pa.int64(), mask=~valid), pa.array(~train), pa.array(counts + 1), pa.array(total((count[w] > 0).astype(np.int64))), pa.array(total(base)), pa.array(total(score))]
+        seq = pair = v = w = seen = back = base = score = level = None
+        words.trim()
         return pa.Table.from_arrays(columns, names=["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"])
 
     return run
