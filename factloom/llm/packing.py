@@ -34,18 +34,21 @@ CAPACITY = 2048
 END_ID = 0
 TOKENIZER = "byte_bpe_50k.json"
 CHUNK_BYTES = 4_000_000
-BATCH_ROWS = 1000
+BATCH_ROWS = 2000
 
 
 class ByteTokenizer:
-    """Ids of texts by a byte-level BPE file of ``tokenizers``; each distinct chunk of a batch is encoded once.
+    """Ids of texts by a byte-level BPE file of ``tokenizers``; each distinct chunk is encoded once.
 
     The file's pre-tokenizer never joins a character that is not white space to a space after it, so a text may be cut there:
     chunks are a word with the space before it. Texts in which a space follows white space are encoded whole.
-    New distinct chunks are joined to texts of some kilobytes; ids fall to chunks by the byte lengths of tokens. Chunks stay known to
-    the worker up to ``most_known``, when it starts anew.
+    New distinct chunks are joined to texts of some kilobytes; ids fall to chunks by the byte lengths of tokens. Words stay known to
+    the worker process, in Arrow arrays, up to ``most_known``, when it starts anew.
     """
 
+    #: A word that ends in one of these (white space in some reading, by character class or by the file's pattern) may run on into the space.
+    OPEN = pa.array([*" \t\n\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\xa0\u180e\u200b\u2028\u2029\ufeff"])
+
     def __init__(self, path: str, most_known: int = 600_000):
         import os
 
@@ -62,40 +65,35 @@ class ByteTokenizer:
         self._forget()
 
     def _forget(self) -> None:
-        self.known: dict[str, int] = {}  # chunk: its number
-        self.pool, self.ends = np.zeros(1 << 20, np.uint32), np.zeros(1 << 18, np.int64)  # ids of all chunks; where each ends
+        self.known = pa.array([], pa.string())  # words whose chunks are known
+        self.ends, self.pool = np.zeros(1, np.int32), np.zeros(0, np.uint32)  # where each chunk's ids end, after a 0; the ids of all
 
     def _ids(self, text: str) -> np.ndarray:
         return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
 
-    def _numbers(self, chunks: list[str]) -> np.ndarray:
-        """Numbers of chunks, learning those that are new."""
-        known = self.known
-        new = [c for c in chunks if c not in known]
-        new = list(dict.fromkeys(new))
-        if new:
-            sizes = np.fromiter((len(c.encode()) for c in new), np.int64, len(new))
-            bounds = list(_blocks(sizes, 16_000))
-            # Only chunks with a space in front may stand behind one another.
-            for (lo, hi), encoded in zip(bounds, self.tokenizer.encode_batch_fast(["".join(new[lo:hi]) for lo, hi in bounds], add_special_tokens=False), strict=True):
-                ids = np.asarray(encoded.ids, np.uint32)
-                at, want = np.cumsum(self.bytes_of[ids]), np.cumsum(sizes[lo:hi])
-                cuts = np.searchsorted(at, want) + 1
-                if not np.array_equal(at[cuts - 1], want):
-                    raise ValueError("a token crosses a chunk")
-                self._learn(new[lo:hi], ids, cuts)
-        return np.fromiter(map(known.__getitem__, chunks), np.int64, len(chunks))
-
-    def _learn(self, chunks: list[str], ids: np.ndarray, cuts: np.ndarray) -> None:
-        n = len(self.known)
-        top = int(self.ends[n - 1]) if n else 0
-        while top + len(ids) > len(self.pool):
-            self.pool = np.concatenate([self.pool, np.zeros_like(self.pool)])
-        while n + len(chunks) > len(self.ends):
-            self.ends = np.concatenate([self.ends, np.zeros_like(self.ends)])
-        self.pool[top : top + len(ids)] = ids
-        self.ends[n : n + len(chunks)] = top + cuts
-        self.known.update(zip(chunks, range(n, n + len(chunks)), strict=True))
+    def _numbers(self, words_: pa.Array) -> np.ndarray:
+        """Numbers of distinct words, learning those that are new."""
+        at = pc.index_in(words_, value_set=self.known)
+        new = words_.filter(at.is_null())
+        if not len(new):
+            return at.to_numpy()
+        sizes = pc.binary_length(new).to_numpy().astype(np.int64) + 1
+        bounds, texts = list(_blocks(sizes, 16_000)), new.to_pylist()
+        found, ends = [self.pool], [self.ends]
+        # Only chunks with a space in front may stand behind one another.
+        for (lo, hi), encoded in zip(bounds, self.tokenizer.encode_batch_fast([" " + " ".join(texts[lo:hi]) for lo, hi in bounds], add_special_tokens=False), strict=True):
+            ids = np.asarray(encoded.ids, np.uint32)
+            have, want = np.cumsum(self.bytes_of[ids]), np.cumsum(sizes[lo:hi])
+            cuts = np.searchsorted(have, want) + 1
+            if not np.array_equal(have[cuts - 1], want):
+                raise ValueError("a token crosses a chunk")
+            found.append(ids)
+            ends.append((ends[-1][-1] + cuts).astype(np.int32))
+        first = len(self.known)
+        self.pool, self.ends, self.known = np.concatenate(found), np.concatenate(ends), pa.concat_arrays([self.known, new])
+        out = pc.fill_null(at, 0).to_numpy().copy()
+        out[at.is_null().to_numpy(zero_copy_only=False)] = np.arange(first, first + len(new), dtype=np.int32)
+        return out
 
     def encode(self, texts: pa.Array) -> list[np.ndarray]:
         """One array of ids for each text; null is empty."""
@@ -104,12 +102,12 @@ class ByteTokenizer:
         texts = pc.fill_null(texts, "")
         pieces = pc.split_pattern(texts, " ")
         ends = pieces.offsets.to_numpy().astype(np.int64) - pieces.offsets[0].as_py()
-        words = pieces.flatten().dictionary_encode()
-        vocabulary = words.dictionary.to_pylist()
-        codes = words.indices.to_numpy()
+        coded = pieces.flatten().dictionary_encode()
+        vocabulary, codes = coded.dictionary, coded.indices.to_numpy()
         # A chunk may end here: it is not empty and its last character is no white space in any reading.
-        firm = np.fromiter((bool(w) and not w[-1].isspace() and w[-1] not in "\u180e\u200b\ufeff" for w in vocabulary), bool, len(vocabulary))[codes]
-        row = np.repeat(np.arange(len(texts)), np.diff(ends))
+        last_sign = pc.utf8_slice_codeunits(vocabulary, -1)
+        firm = pc.invert(pc.or_(pc.utf8_is_space(last_sign), pc.or_(pc.equal(vocabulary, ""), pc.is_in(last_sign, value_set=self.OPEN)))).to_numpy(zero_copy_only=False)[codes]
+        row = np.repeat(np.arange(len(texts), dtype=np.int32), np.diff(ends))
         first, last = np.zeros(len(codes), bool), np.zeros(len(codes), bool)
         first[ends[:-1]], last[ends[1:] - 1] = True, True  # a split text has one piece at least
         soft = np.zeros(len(texts), bool)
@@ -117,14 +115,15 @@ class ByteTokenizer:
         for special in self.special:
             soft |= pc.match_substring(texts, special).to_numpy(zero_copy_only=False)
         shared = firm & ~first & ~soft[row]
-        used = np.unique(codes[shared])
-        number = np.zeros(len(vocabulary), np.int64)
-        number[used] = self._numbers([" " + vocabulary[c] for c in used])
-        at = number[codes[shared]]
-        stop = self.ends[at]
-        begin = np.where(at > 0, self.ends[np.maximum(at - 1, 0)], 0)
-        n = stop - begin
-        ids = self.pool[np.repeat(begin - np.cumsum(n) + n, n) + np.arange(int(n.sum()))]
+        at = codes[shared]
+        used = np.zeros(len(vocabulary), bool)
+        used[at] = True
+        number = np.zeros(len(vocabulary), np.int32)
+        number[used] = self._numbers(vocabulary.filter(pa.array(used)))
+        at = number[at]
+        begin, n = self.ends[at], self.ends[at + 1] - self.ends[at]
+        stops = np.cumsum(n, dtype=np.int32)
+        ids = self.pool[np.repeat(begin - stops + n, n) + np.arange(int(stops[-1]) if len(stops) else 0, dtype=np.int32)]
         inner = np.split(ids, np.cumsum(np.bincount(row[shared], weights=n, minlength=len(texts)).astype(np.int64))[:-1]) if len(texts) else []
         out: list[np.ndarray] = []
         for i in range(len(texts)):
@@ -133,13 +132,23 @@ class ByteTokenizer:
                 continue
             # The first chunk has no space before it; the last, if it ends in white space or is empty, is encoded as it stands.
             a, b = ends[i], ends[i + 1] - 1
-            parts = [self._ids(vocabulary[codes[a]]), inner[i]]
+            parts = [self._ids(vocabulary[codes[a]].as_py()), inner[i]]
             if b > a and not firm[b]:
-                parts.append(self._ids(" " + vocabulary[codes[b]]))
+                parts.append(self._ids(" " + vocabulary[codes[b]].as_py()))
             out.append(np.concatenate(parts))
         return out
 
 
+_tools: dict[str, ByteTokenizer] = {}
+
+
+def tool_of(path: str) -> ByteTokenizer:
+    """The tokenizer of this worker process, with the words that its tasks have met so far."""
+    if path not in _tools:
+        _tools[path] = ByteTokenizer(path)
+    return _tools[path]
+
+
 def _blocks(sizes: np.ndarray, most: int):
     """Ranges of consecutive items of about ``most`` in sum, one item at least."""
     lo, total = 0, 0
@@ -168,7 +177,7 @@ def pieces(docs: DataFrame, key: str = "doc_id", text: str = "text", tokenizer:
     schema = pa.schema([(key, pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), *([("ids", pa.list_(pa.uint32()))] if with_ids else [])])
 
     def run(batches):
-        tool = ByteTokenizer(tokenizer)
+        tool = tool_of(tokenizer)
         for batch in batches:
             sizes = pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False)
             for lo, hi in _blocks(sizes, CHUNK_BYTES):
@@ -183,7 +192,6 @@ def pieces(docs: DataFrame, key: str = "doc_id", text: str = "text", tokenizer:
                         if with_ids:
                             rows["ids"].append(own)
                 yield pa.RecordBatch.from_arrays([pa.array(rows[f.name], f.type) for f in schema], schema=schema)
-        tool = None
         words.trim()
 
     ddl = f"{key} long, piece int, start long, length long, ids_crc32 long" + (", ids array<long>" if with_ids else "")
