@@ -20,6 +20,8 @@ def shared_dir(spark: SparkSession) -> str:
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir is not set: executors would write to folders that nobody else sees")
     app = spark.sparkContext.applicationId
     if app not in _own:
         _own[app] = "file://" + tempfile.mkdtemp(prefix="factloom-shared-")
@@ -39,16 +41,48 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def fresh(df: DataFrame, *names: str) -> str | list[str]:
+    """Column names like ``names`` that ``df`` does not have."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        own = f"_{name}"
+        while own.lower() in taken:
+            own = f"_{own}"
+        out.append(own)
+    return out[0] if len(out) == 1 else out
+
+
+class Scratch:
+    """Tables of one operator that its result does not read: :meth:`clear` deletes them."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, []
+
+    def put(self, df: DataFrame, name: str) -> DataFrame:
+        """As :func:`materialize`."""
+        path = new_path(self.spark, name)
+        df.write.parquet(path)
+        self.paths.append(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def clear(self) -> None:
+        while self.paths:
+            drop_path(self.spark, self.paths.pop())
+
+
 @contextlib.contextmanager
-def small_batches(spark: SparkSession, rows: int):
-    """Arrow batches of ``rows`` at most for the jobs run inside: a batch of texts and what is made of it are what a worker holds."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(name)
-    spark.conf.set(name, str(min(int(before), rows) if int(before) > 0 else rows))
+def small_batches(spark: SparkSession, rows: int, most: int = 8_000_000):
+    """Arrow batches of ``rows`` and ``most`` bytes at most for the jobs run inside: a batch of texts and what is made of it are what a worker holds."""
+    limits = {"spark.sql.execution.arrow.maxRecordsPerBatch": rows, "spark.sql.execution.arrow.maxBytesPerBatch": most}
+    before = {k: spark.conf.get(k) for k in limits}
+    for k, v in limits.items():
+        own = int(str(before[k]).rstrip("bB"))
+        spark.conf.set(k, str(min(own, v) if own > 0 else v))
     try:
         yield
     finally:
-        spark.conf.set(name, before)
+        for k, v in before.items():
+            spark.conf.set(k, v)
 
 
 def drop_path(spark: SparkSession, path: str) -> None:
