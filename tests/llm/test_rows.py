@@ -46,3 +46,23 @@ def test_no_row_is_lost_by_the_name_of_its_source(spark, tmp_path):
     rows = [(k, text(k, 12), "en", names[k % len(names)], 1) for k in range(90)]
     out = mixing.op4_mix(spark, table(spark, str(tmp_path), "documents", rows, DOC)).collect()
     assert Counter((r.doc_id, r.source) for r in out) == Counter((i, s) for i, _, _, s, _ in rows)
+
+
+def test_short_texts_keep_all_hashes(spark, tmp_path):
+    """Equal texts are alike, others have fingerprints of their own; a hot id's rows are dealt out and still follow each other."""
+    from common import same, table
+
+    from factloom.llm import sketch
+
+    texts = [w for k in range(40) for w in (f"w{k}", f"w{k}", f"a{k} b c", f"a{k} b c d e f g", f"x{k} " + " ".join(f"y{i}" for i in range(k)))]
+    rows = [(i, t, "en", "s", 1) for i, t in enumerate(texts)] + [(7, f"hot {i} and {i % 5}", "en", "s", 1) for i in range(300)] + [(None, "n", "en", "s", 1)] * 2
+    folder = table(spark, str(tmp_path), "documents", rows, "doc_id long, text string, lang string, source string, n_chars long")
+    out = sketch.op6_scaled_sketch(spark, folder)
+    assert same(out, sketch.OP6_SQL, folder) == len(rows)
+    got = {r.doc_id: r for r in out.collect()}
+    for k in range(40):
+        assert got[5 * k + 1].near_next == 1.0 and got[5 * k].fingerprint == got[5 * k + 1].fingerprint != ""
+    short = [i for i in range(len(texts)) if i != 7 and i < 5 * 36]  # 32 shingles at most
+    assert len({got[i].fingerprint for i in short}) == len({texts[i] for i in short})
+    clash = spark.createDataFrame([(1, "a b", 3, "x"), (2, "a b", 4, "y")], "doc_id long, text string, _part int, _own string")
+    assert sorted((r.doc_id, r._part, r._own, r.next_text) for r in sketch.next_texts(clash).collect()) == [(1, 3, "x", "a b"), (2, 4, "y", "a b")]
