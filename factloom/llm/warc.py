@@ -2,16 +2,18 @@
 
 Records are written by Spark's text writer (one row is one record, and its line separator is the blank line that ends a WARC record)
 and read by its binary-file reader, so any store that Spark reads will do, files are committed atomically, and a lost executor only
-repeats its own tasks. Files are gzip-compressed as wholes; their number follows the partitions of what is written, which bounds
-the size of each.
+repeats its own tasks. Files are gzip-compressed as wholes and hold ``FILE_RECORDS`` records at most, which bounds the size of each; they are read as streams, a
+record at a time.
 
-Deduplication aggregates headers only (digest, smallest id, count), with partial sums before the shuffle, and joins the few digests
-that occur more than once back to the records; a digest with a third of all records is one row there, and adaptive execution splits
-the other side. Records that lose become ``revisit`` records with fresh headers that refer to the kept response.
+Deduplication shuffles headers only (digest, smallest id, count), with partial sums before the shuffle, so a digest with a third of all records is one row for each
+task. The digests that occur more than once come back to the records: broadcast, so that no payload moves, where their counted number is within ``MOST_DIGESTS``, else by a
+join on the digest, in which adaptive execution splits hot ones. Records that lose become ``revisit`` records with fresh headers that refer to the kept response; a
+revisit finds its original by id and digest.
 
 Defined results: a null payload is empty; payloads under ``least`` bytes always stay responses; a null id is its own record with an empty
-id and sorts after all others; records that repeat in id and payload all become what the first is; a revisit whose original is missing keeps
-its digest and a null original; other columns are not archived.
+id and sorts after all others; records that repeat in id and payload all become what the first is; records that repeat in id with other payloads are records of their own, and a
+revisit's original is the one of its digest; a revisit whose original is missing keeps its digest and a null original; whole payloads are archived, however long; an empty
+table gives an archive without records; other columns are not archived, whatever their names.
 """
 
 from __future__ import annotations
@@ -23,22 +25,29 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from factloom.llm.storage import new_path
+from factloom.llm.storage import fresh, materialize, new_path
 
 LEAST = 100
+#: Digests of 64 characters and an id: some 100 MB at most.
+MOST_DIGESTS = 1_000_000
+FILE_RECORDS = 5_000
+STEP_BYTES = 1 << 20
 END = "\r\n\r\n"
 FIELDS = "record_id string, record_type string, target_uri string, date string, payload_digest string, refers_to_id string, payload_bytes long, payload binary"
 
 
-def deduplicate(records: DataFrame, least: int = LEAST) -> DataFrame:
+def deduplicate(records: DataFrame, least: int = LEAST, most_digests: int = MOST_DIGESTS) -> DataFrame:
     """Adds ``record_type`` and ``refers_to`` to records (page_id, url, payload binary); adds ``payload_bytes`` and ``payload_digest``."""
     df = records.withColumn("payload", F.coalesce("payload", F.lit(b"")))
     df = df.withColumns({"payload_bytes": F.octet_length("payload").cast("long"), "payload_digest": F.sha2("payload", 256)})
+    kept_id, n = fresh(df, "kept", "n")
     heads = df.filter(F.col("payload_bytes") >= least).select("payload_digest", "page_id")
-    kept = heads.groupBy("payload_digest").agg(F.min("page_id").alias("_kept"), F.count(F.lit(1)).alias("_n")).filter("_n > 1").drop("_n")
+    kept = heads.groupBy("payload_digest").agg(F.min("page_id").alias(kept_id), F.count(F.lit(1)).alias(n)).filter(F.col(n) > 1).drop(n)
+    kept = materialize(kept, "warc-kept")
+    kept = F.broadcast(kept) if kept.count() <= most_digests else kept.hint("merge")
     df = df.join(kept, "payload_digest", "left")
-    revisit = F.col("_kept").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("_kept"))
-    return df.withColumns({"record_type": F.when(revisit, "revisit").otherwise("response"), "refers_to": F.when(revisit, F.col("_kept"))}).drop("_kept")
+    revisit = F.col(kept_id).isNotNull() & ~F.col("page_id").eqNullSafe(F.col(kept_id))
+    return df.withColumns({"record_type": F.when(revisit, "revisit").otherwise("response"), "refers_to": F.when(revisit, F.col(kept_id))}).drop(kept_id)
 
 
 def _header(name: str, value: Column) -> Column:
@@ -71,35 +80,54 @@ def records_text(df: DataFrame, date: str = "2024-01-01T00:00:00Z") -> DataFrame
 
 def write_archive(df: DataFrame, path: str) -> None:
     """Writes the records of :func:`deduplicate` as .txt.gz files of WARC/1.1."""
-    records_text(df).write.option("lineSep", END).option("compression", "gzip").option("zlib.compress.level", "BEST_SPEED").text(path)
+    records_text(df).write.option("lineSep", END).option("compression", "gzip").option("zlib.compress.level", "BEST_SPEED").option("maxRecordsPerFile", FILE_RECORDS).text(path)
+
+
+def _plain(data: bytes) -> Iterator[bytes]:
+    """The bytes of a file, gzip-compressed (in one or many members) or plain, some at a time."""
+    if data[:2] != b"\x1f\x8b":
+        yield data
+        return
+    view, at = memoryview(data), 0
+    while bytes(view[at : at + 2]) == b"\x1f\x8b":
+        member = zlib.decompressobj(31)
+        while not member.eof and at < len(view):
+            rest = view[at : at + STEP_BYTES]
+            at += len(rest)
+            yield member.decompress(rest)
+        at -= len(member.unused_data)
 
 
 def parse(data: bytes) -> Iterator[dict]:
-    """The records of one file, gzip-compressed (in one or many members) or plain."""
-    if data[:2] == b"\x1f\x8b":
-        parts = []
-        while data[:2] == b"\x1f\x8b":
-            member = zlib.decompressobj(31)
-            parts.append(member.decompress(data))
-            data = member.unused_data
-        data = b"".join(parts)
-    at = 0
-    while (at := data.find(b"WARC/", at)) >= 0:
-        stop = data.find(b"\r\n\r\n", at)
-        if stop < 0:
-            raise ValueError("a WARC header without an end")
+    """The records of one file; what is held is one record and a step's worth of bytes."""
+    source, have, at = _plain(data), bytearray(), 0
+
+    def more() -> bool:
+        part = next(source, None)
+        if part is not None:
+            have.extend(part)
+        return part is not None
+
+    bare = lambda x: None if x is None else x.removeprefix("<urn:page:").removesuffix(">")
+    while True:
+        del have[:at]
+        at = 0
+        while (begin := have.find(b"WARC/")) < 0 or (stop := have.find(END.encode(), begin)) < 0:
+            if not more():
+                if begin >= 0:
+                    raise ValueError("a WARC header without an end")
+                return
         fields = {}
-        for line in data[at:stop].split(b"\r\n")[1:]:
+        for line in bytes(have[begin:stop]).split(b"\r\n")[1:]:
             name, _, value = line.partition(b":")
             fields[name.strip().lower().decode()] = value.strip().decode("utf-8", "replace")
-        begin = stop + 4
-        at = begin + int(fields["content-length"])
-        if at > len(data):
-            raise ValueError("a WARC record is cut short")
-        block = data[begin:at]
+        at = stop + 4 + int(fields["content-length"])
+        while at > len(have):
+            if not more():
+                raise ValueError("a WARC record is cut short")
+        block = bytes(have[stop + 4 : at])
         if fields.get("content-type", "").startswith("application/http"):
-            block = block[block.index(b"\r\n\r\n") + 4 :]
-        bare = lambda x: None if x is None else x.removeprefix("<urn:page:").removesuffix(">")
+            block = block[block.index(END.encode()) + 4 :]
         yield {
             "record_id": bare(fields.get("warc-record-id")), "record_type": fields.get("warc-type"), "target_uri": fields.get("warc-target-uri"), "date": fields.get("warc-date"),
             "payload_digest": (fields.get("warc-payload-digest") or "").rpartition(":")[2] or None, "refers_to_id": bare(fields.get("warc-refers-to")), "payload_bytes": len(block), "payload": block,
@@ -139,9 +167,11 @@ def read_archive(spark, path: str, with_payload: bool = True) -> DataFrame:
 
 
 def resolve(records: DataFrame) -> DataFrame:
-    """Joins every revisit to its original response by id; adds ``original_bytes`` (own size for responses)."""
-    originals = records.filter("record_type = 'response'").select(F.col("record_id").alias("_id"), F.col("payload_bytes").alias("_bytes")).groupBy("_id").agg(F.max("_bytes").alias("_bytes"))
-    revisits = records.filter("record_type = 'revisit'").join(originals, F.col("refers_to_id") == F.col("_id"), "left").withColumn("original_bytes", F.col("_bytes")).drop("_id", "_bytes")
+    """Joins every revisit to its original response by id and digest; adds ``original_bytes`` (own size for responses)."""
+    wanted, digest, size = fresh(records, "id", "digest", "bytes")
+    originals = records.filter("record_type = 'response'").groupBy(F.col("record_id").alias(wanted), F.col("payload_digest").alias(digest)).agg(F.max("payload_bytes").alias(size))
+    on = (F.col("refers_to_id") == F.col(wanted)) & (F.col("payload_digest") == F.col(digest))
+    revisits = records.filter("record_type = 'revisit'").join(originals, on, "left").withColumn("original_bytes", F.col(size)).drop(wanted, digest, size)
     return records.filter("record_type <> 'revisit'").withColumn("original_bytes", F.col("payload_bytes")).unionByName(revisits)
 
 

@@ -118,6 +118,29 @@ def test_op2_equals_sql_and_round_trips(spark, tmp_path):
     assert back[2].target_uri == "http://c/  Evil: 1" and back[4].payload == b"" and back[4].target_uri is None
 
 
+def test_repeated_ids_keep_their_own_bytes(spark, tmp_path):
+    """A revisit's original is the one of its digest; both ways back to the records give the same."""
+    rows = [(1, "http://a/", "a" * 120), (1, "http://a/", "b" * 300), (2, "http://b/", "a" * 120), (3, "http://c/", "b" * 300), (3, "http://c/", "b" * 300), (None, "http://d/", "a" * 120)]
+    folder = table(spark, str(tmp_path), "pages", rows, "page_id long, url string, html string")
+    got = sorted((r.page_id or 0, r.payload_bytes, r.record_type, r.refers_to or 0) for r in warc.op2_warc_revisits(spark, folder).collect())
+    assert got == [(0, 120, "revisit", 1), (1, 120, "response", 0), (1, 300, "response", 0), (2, 120, "revisit", 1), (3, 300, "revisit", 1), (3, 300, "revisit", 1)]
+    pages = spark.createDataFrame([(i, u, h.encode(), "x", 7) for i, u, h in rows], "page_id long, url string, payload binary, _kept string, _n int")
+    one, two = (sorted(map(str, warc.deduplicate(pages, most_digests=n).collect())) for n in (10, 0))
+    assert one == two and "_kept='x', _n=7" in one[0]
+
+
+def test_archives_are_read_as_streams(monkeypatch):
+    import gzip
+
+    record = lambda i, n: b"WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:page:%d>\r\nContent-Length: %d\r\n\r\n" % (i, n) + b"x" * n + b"\r\n\r\n"
+    plain = [record(i, n) for i, n in enumerate([0, 5, 100_000, 3])]
+    monkeypatch.setattr(warc, "STEP_BYTES", 50)
+    for data in (b"".join(plain), gzip.compress(b"".join(plain)), b"".join(map(gzip.compress, plain))):
+        assert [(r["record_id"], r["payload_bytes"]) for r in warc.parse(data)] == [("0", 0), ("1", 5), ("2", 100_000), ("3", 3)]
+    with pytest.raises(ValueError, match="cut short"):
+        list(warc.parse(plain[2][:-50]))
+
+
 def test_warc_of_nothing(spark, tmp_path):
     folder = table(spark, str(tmp_path), "pages", [], "page_id long, url string, html string")
     assert warc.op2_warc_revisits(spark, folder).count() == 0
