@@ -12,8 +12,8 @@ probes is the least that finds ``fit_recall`` of the neighbours inside the sampl
 candidate with its ``k + 1`` smallest ids, which is all that a result can hold of them, so a very common vector is not scanned again and again.
 
 Defined results: vectors that are null, zero or of another length than most, or hold a null or a non-finite number, take no part, nor do null
-ids; repeated rows count once; ties go to the smaller id; with fewer candidates than ``k`` all are returned; an empty table gives
-an empty result; other columns are ignored.
+ids; vectors of doubles are scored as doubles; repeated rows count once; ties go to the smaller id; with fewer candidates than ``k`` all are returned; an empty table gives
+an empty result; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -31,7 +31,8 @@ K = 20
 FIT_ROWS = 20_000
 FIT_RECALL = 0.97
 LIST_ROWS = 1024
-MOST_LISTS = 1024
+#: Sampled vectors for each centre; longer lists are cut into blocks.
+FIT_EACH = 8
 BLOCK_ROWS = 4096
 BLOCK_QUERIES = 8192
 COLUMNS = 16
@@ -76,7 +77,7 @@ def build(sample: np.ndarray, top: float, rows: int, k: int, recall: float = FIT
     turn, upper = np.linalg.qr(rng.standard_normal((d, d)))
     index = Index(top, turn * np.sign(np.diag(upper)), np.zeros((1, d)), 1, np.zeros((0, d), np.float32))
     index.sample = index.rotate(sample)
-    lists = max(1, min(MOST_LISTS, rows // LIST_ROWS, len(sample) // 8))
+    lists = max(1, min(rows // LIST_ROWS, len(sample) // FIT_EACH))
     index.centres = _kmeans(index.sample, lists, rng)
     own = _distances(index.sample, index.centres).argmin(1)
     asked = rng.choice(len(sample), min(256, len(sample)), replace=False)
@@ -116,16 +117,18 @@ def usable(vector: Column) -> Column:
     return F.coalesce(~bad, F.lit(False)) & F.exists(vector, lambda v: v != 0)
 
 
-def _matrix(column: pa.Array | pa.ChunkedArray, kind=np.float32) -> np.ndarray:
+def _matrix(column: pa.Array | pa.ChunkedArray, kind=np.float32, given=np.float32) -> np.ndarray:
     rows = column.to_pylist()
-    return np.array([np.frombuffer(r, np.float32) for r in rows], kind) if rows else np.zeros((0, 0), kind)
+    return np.array([np.frombuffer(r, given) for r in rows], kind) if rows else np.zeros((0, 0), kind)
 
 
 def search(table: DataFrame, queries: Column, key: str = "vec_id", vector: str = "embedding", k: int = K, fit_rows: int = FIT_ROWS, fit_recall: float = FIT_RECALL) -> DataFrame:
     """(query_id, rank, vec_id, score): the ``k`` nearest rows of each row for which ``queries`` holds, itself excepted."""
     spark = table.sparkSession
     empty = spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    rows = table.filter(queries.isNotNull() & F.col(key).isNotNull() & usable(F.col(vector))).select(F.col(key).cast("long").alias("id"), F.col(vector).cast("array<float>").alias("v"), queries.alias("asks"))
+    # Original vectors keep their precision; the index is of floats.
+    exact, element = (np.float32, "float") if dict(table.dtypes)[vector] == "array<float>" else (np.float64, "double")
+    rows = table.filter(queries.isNotNull() & F.col(key).isNotNull() & usable(F.col(vector))).select(F.col(key).cast("long").alias("id"), F.col(vector).cast(f"array<{element}>").alias("v"), queries.alias("asks"))
     lengths = rows.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").first()
     if lengths is None:
         return empty
@@ -138,14 +141,14 @@ def search(table: DataFrame, queries: Column, key: str = "vec_id", vector: str =
     found = distinct.agg(F.count(F.lit(1)).alias("n"), F.max(squares).alias("top")).first()
     share = min(1.0, fit_rows / found["n"])
     chosen = distinct.filter(F.pmod(F.xxhash64("v", F.lit(3)), F.lit(1 << 30)) <= int(share * (1 << 30))).select("v").limit(2 * fit_rows)
-    sample = np.array([r["v"] for r in chosen.orderBy(F.xxhash64("v")).collect()], np.float32)
+    sample = np.array([r["v"] for r in chosen.orderBy(F.xxhash64("v")).collect()], exact)
     index = build(sample, float(found["top"]), found["n"], k, fit_recall)
     shared = spark.sparkContext.broadcast(index)  # the sample's size at most
 
     def assign(batches):
         own = shared.value
         for batch in batches:
-            x = np.array(batch.column(0).to_pylist(), np.float32).reshape(batch.num_rows, -1)
+            x = np.array(batch.column(0).to_pylist(), exact).reshape(batch.num_rows, -1)
             if not len(x):
                 continue
             turned = own.rotate(x)
@@ -164,7 +167,7 @@ def search(table: DataFrame, queries: Column, key: str = "vec_id", vector: str =
     def probe(batches):
         own = shared.value
         for batch in batches:
-            x = np.array(batch.column(0).to_pylist(), np.float32).reshape(batch.num_rows, -1)
+            x = np.array(batch.column(0).to_pylist(), exact).reshape(batch.num_rows, -1)
             for lo in range(0, len(x), 256):
                 part, ids = x[lo : lo + 256], batch.column(1).to_pylist()[lo : lo + 256]
                 turned = own.rotate(part, query=True)
@@ -184,8 +187,8 @@ def search(table: DataFrame, queries: Column, key: str = "vec_id", vector: str =
     def visit(left: pa.Table, right: pa.Table) -> pa.Table:
         out: tuple[list, list, list] = ([], [], [])
         if left.num_rows and right.num_rows:
-            x, turned, ids = _matrix(left["x"], np.float64), _matrix(left["turned"]), left["ids"].to_pylist()
-            asks, rotated = _matrix(right["x"], np.float64), _matrix(right["turned"])
+            x, turned, ids = _matrix(left["x"], np.float64, exact), _matrix(left["turned"]), left["ids"].to_pylist()
+            asks, rotated = _matrix(right["x"], np.float64, exact), _matrix(right["turned"])
             for i, (q, bound) in enumerate(zip(right["q"].to_pylist(), right["bound"].to_pylist(), strict=True)):
                 alive = scan(turned, rotated[i], bound, k + 1)
                 # One sum for each row in a fixed order, so equal vectors have equal scores.
