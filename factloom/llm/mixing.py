@@ -8,9 +8,9 @@ over its documents in a seeded order, pass after pass: a copy is taken if its mi
 The network has a node for each pattern and source, never for a document; the number of patterns is checked against
 ``max_patterns``. Running sums go by (pattern, hash bucket), so a source with a third of all rows is spread over all tasks.
 
-Defined results: a null text has size 0 and is never taken; an empty or null membership is the pattern of the null source;
-repeated rows are separate copies that count each; ties of the seeded hash are ordered by id, then size; an empty table gives an
-empty result; other columns are kept, but ``picks`` and ``copies`` are replaced.
+Defined results: a null text has size 0 and is never taken; whole texts count, however long; an empty or null membership is the pattern of the null source;
+repeated rows are separate copies that count each; rows with a null id are dealt out by their sizes and members; ties of the seeded hash are ordered by id, then size; an
+empty table gives an empty result; other columns are kept, whatever their names, but ``picks`` and ``copies`` are replaced.
 """
 
 from __future__ import annotations
@@ -22,6 +22,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from factloom.llm.storage import fresh, materialize
+
 WORD = r"[^\x20\x09-\x0D]+"
 PASSES = 3
 SEED = 20
@@ -110,16 +112,17 @@ def mix(docs: DataFrame, key: str, size: str, members: str, quotas: Callable[[di
     ``members``: an array of sources; ``quotas``: from the tokens of every source to the tokens that each shall give.
     """
     spark = docs.sparkSession
+    pattern_, place_, bucket_, in_, base_, before_, tokens_, shares_ = fresh(docs, "pattern", "place", "bucket", "in", "base", "before", "tokens", "shares")
     pattern = F.array_sort(F.array_distinct(F.when(F.size(F.coalesce(F.col(members), F.array())) > 0, F.col(members)).otherwise(F.array(F.lit(None).cast("string")))))
-    place = F.xxhash64(F.col(key).cast("string"), F.lit(seed))
-    df = docs.withColumns({"_pattern": F.to_json(pattern), "_place": place, "_bucket": F.pmod(place, F.lit(buckets)).cast("int")})
-    cells = df.groupBy("_pattern", "_bucket").agg(F.sum(size).alias("_in"))
-    found = cells.groupBy("_pattern").agg(F.sum("_in").alias("n")).limit(max_patterns + 1).collect()
+    place = F.when(F.col(key).isNull(), F.xxhash64(size, members, F.lit(seed))).otherwise(F.xxhash64(F.col(key).cast("string"), F.lit(seed)))
+    df = docs.withColumns({pattern_: F.to_json(pattern), place_: place, bucket_: F.pmod(place, F.lit(buckets)).cast("int")})
+    cells = df.groupBy(pattern_, bucket_).agg(F.sum(size).alias(in_))
+    found = cells.groupBy(pattern_).agg(F.sum(in_).alias("n")).limit(max_patterns + 1).collect()
     if len(found) > max_patterns:
         raise ValueError(f"more than {max_patterns} membership patterns")
     # The plan is joined by Spark's own JSON: Python would write some control characters in another way.
-    names = {tuple(json.loads(r["_pattern"])): r["_pattern"] for r in found}
-    tokens = {tuple(json.loads(r["_pattern"])): int(r["n"] or 0) for r in found}
+    names = {tuple(json.loads(r[pattern_])): r[pattern_] for r in found}
+    tokens = {tuple(json.loads(r[pattern_])): int(r["n"] or 0) for r in found}
     if len(names) != len(found):
         raise ValueError("two membership patterns read alike")
     totals: dict = {}
@@ -136,16 +139,16 @@ def mix(docs: DataFrame, key: str, size: str, members: str, quotas: Callable[[di
             at += given[s]
         rows.append((names[p], tokens[p], ends))
     # As many rows as patterns, which were just counted.
-    plan = F.broadcast(spark.createDataFrame(rows, "_pattern string, _tokens long, _shares array<struct<source:string,begin:long,stop:long>>"))
-    before = Window.partitionBy("_pattern").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    cells = cells.withColumn("_base", F.coalesce(F.sum("_in").over(before), F.lit(0))).drop("_in")
-    running = Window.partitionBy("_pattern", "_bucket").orderBy("_place", key, size).rowsBetween(Window.unboundedPreceding, -1)
-    df = df.withColumn("_before", F.coalesce(F.sum(size).over(running), F.lit(0))).join(cells, ["_pattern", "_bucket"]).join(plan, "_pattern")
-    middle = lambda k: F.col("_base") + F.col("_before") + F.col(size) / 2 + k * F.col("_tokens")
+    plan = F.broadcast(spark.createDataFrame(rows, f"{pattern_} string, {tokens_} long, {shares_} array<struct<source:string,begin:long,stop:long>>"))
+    before = Window.partitionBy(pattern_).orderBy(bucket_).rowsBetween(Window.unboundedPreceding, -1)
+    cells = cells.withColumn(base_, F.coalesce(F.sum(in_).over(before), F.lit(0))).drop(in_)
+    running = Window.partitionBy(pattern_, bucket_).orderBy(place_, key, size).rowsBetween(Window.unboundedPreceding, -1)
+    df = df.withColumn(before_, F.coalesce(F.sum(size).over(running), F.lit(0))).join(cells, [pattern_, bucket_]).join(plan, pattern_)
+    middle = lambda k: F.col(base_) + F.col(before_) + F.col(size) / 2 + k * F.col(tokens_)
     copies = lambda s: F.size(F.filter(F.sequence(F.lit(0), F.lit(passes - 1)), lambda k: (F.col(size) > 0) & (middle(k) >= s["begin"]) & (middle(k) < s["stop"])))
-    picks = F.filter(F.transform("_shares", lambda s: F.struct(s["source"].alias("source"), copies(s).alias("copies"))), lambda x: x["copies"] > 0)
+    picks = F.filter(F.transform(shares_, lambda s: F.struct(s["source"].alias("source"), copies(s).alias("copies"))), lambda x: x["copies"] > 0)
     df = df.withColumn("picks", picks).withColumn("copies", F.aggregate("picks", F.lit(0), lambda acc, x: acc + x["copies"]))
-    return df.drop("_pattern", "_place", "_bucket", "_base", "_before", "_tokens", "_shares")
+    return df.drop(pattern_, place_, bucket_, base_, before_, tokens_, shares_)
 
 
 def cycling_weights(sources, cycle: tuple = (1, 2, 3)) -> dict:
@@ -160,8 +163,6 @@ def contract_quotas(sizes: dict) -> dict:
 
 def op4_mix(spark, sf_dir: str) -> DataFrame:
     """How many words of every document the mix takes."""
-    from factloom.llm.storage import materialize
-
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "source", words(F.col("text")).alias("size"))
     docs = materialize(docs.withColumn("members", F.array("source")), "op4-sizes")
     mixed = mix(docs, "doc_id", "size", "members", contract_quotas)
