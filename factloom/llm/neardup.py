@@ -17,8 +17,9 @@ Equal shingle sets are one class from the start, so thousands of copies are one
 
 So no link between components is lost, and a group of near copies is not expanded into its pairs.
 
-Defined results: a null text counts as empty; a document without words is linked with nothing; repeated rows are in one component and keep
-their rows; a null id takes no part (null component, kept); an empty table gives an empty result; other columns are not returned.
+Defined results: a null text counts as empty; a document without words is linked with nothing; whole texts count, however long; repeated rows are in one component and
+keep their rows; a null id takes no part (null component, kept); an empty table gives an empty result; other columns are not returned, whatever their names. The result is a
+written table; what led to it is deleted.
 """
 
 from __future__ import annotations
@@ -33,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from factloom.llm import words
-from factloom.llm.storage import materialize
+from factloom.llm.storage import Scratch, materialize
 
 MISS = 1e-7
 BATCH_BYTES = 4_000_000
@@ -181,12 +182,12 @@ def _own_shingles(sets: DataFrame) -> DataFrame:
     return single.groupBy("cls").agg(F.count(F.lit(1)).alias("own"))
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, put=materialize) -> DataFrame:
     """(node, root) for the nodes of undirected edges (a, b): root is the least node of the component.
 
     Alternating large and small stars (Kiveris et al. 2014): each step is a minimum by node and a join, never a list of neighbours.
     """
-    edges = materialize(edges.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "stars")
+    edges = put(edges.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "stars")
     mark = None
     while True:
         # Large star: larger neighbours of u are tied to the least of u and all its neighbours.
@@ -196,7 +197,7 @@ def components(edges: DataFrame) -> DataFrame:
         # Small star: u and its smaller neighbours are tied to the least of them.
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.explode(F.array(F.struct(F.col("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.*").filter("u <> v").distinct()
-        edges = materialize(small, "stars")
+        edges = put(small, "stars")
         now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == mark:
             break
@@ -206,26 +207,29 @@ def components(edges: DataFrame) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for every row."""
-    spark = docs.sparkSession
-    signed = materialize(signatures(docs, key, text, width, percent / 100), "neardup-signatures")
+    scratch = Scratch(docs.sparkSession)
+    put = scratch.put
+    signed = put(signatures(docs, key, text, width, percent / 100), "neardup-signatures")
     sized = signed.filter("doc_id is not null and cls is not null")
     classes = sized.groupBy("cls").agg(F.min("doc_id").alias("rep"))  # partial minimum before the shuffle
     # One row for each class, and narrow rows for its bands: they are what is shuffled most.
-    single = sized.join(classes, "cls").filter("doc_id = rep").select("cls", "rep", "n", "bands").dropDuplicates(["cls"])
+    # The join's key has the id too, so the rows of a hot class go to as many partitions as it has ids.
+    kept = sized.join(classes.withColumnRenamed("rep", "doc_id"), ["cls", "doc_id"]).withColumnRenamed("doc_id", "rep")
+    single = kept.select("cls", "rep", "n", "bands").dropDuplicates(["cls"])
     banded = single.select("cls", F.explode(F.array_distinct("bands")).alias("band"))
     shared = banded.groupBy("band").agg(F.count(F.lit(1)).alias("size")).filter("size > 1").select("band")
-    met = materialize(banded.join(shared, "band"), "neardup-met")
-    facts = materialize(sized.join(classes, "cls").filter("doc_id = rep").select("cls", "rep", "n").dropDuplicates(["cls"]).join(met.select("cls").distinct(), "cls", "left_semi"), "neardup-classes")
+    met = put(banded.join(shared, "band"), "neardup-met")
+    facts = put(kept.select("cls", "rep", "n").dropDuplicates(["cls"]).join(met.select("cls").distinct(), "cls", "left_semi"), "neardup-classes")
     source = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    sets = materialize(_full_sets(source.join(facts, source.doc_id == facts.rep, "left_semi"), width), "neardup-sets")
-    own = materialize(_own_shingles(sets), "neardup-own")
+    sets = put(_full_sets(source.join(facts, source.doc_id == facts.rep, "left_semi"), width), "neardup-sets")
+    own = put(_own_shingles(sets), "neardup-own")
     # J <= (S - U) / (S + U) for sizes S and own shingles U of both; the partner has n * 100 / percent shingles at most.
     most = F.col("n") + F.col("n") * 100 / percent
     able = (most - F.col("own")) * 100 >= (most + F.col("own")) * percent
     free = facts.join(own, "cls", "left").fillna(0, ["own"]).filter(able).select("cls", "n", "own")
     open_ = met.join(free, "cls")
     pivots = open_.groupBy("band").agg(F.count(F.lit(1)).alias("size"), F.min(F.struct("own", "cls")).alias("_p")).filter("size > 1").select("band", F.col("_p.cls").alias("pivot"))
-    members = materialize(open_.join(pivots, "band"), "neardup-members")
+    members = put(open_.join(pivots, "band"), "neardup-members")
     labels = checked = None  # labels: (node, root) of classes that are linked so far
 
     def current() -> DataFrame:
@@ -235,12 +239,12 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
         return state.join(differ, "band", "left_semi")
 
     for step in ("favourite pivot", "all pivots", "rest"):
-        state = materialize(current(), "neardup-open")
+        state = put(current(), "neardup-open")
         if state.isEmpty():
             break
         if step == "rest":
             spokes = _spokes(state.filter("cls <> pivot").select("pivot", "cls").distinct(), sets)
-            full = materialize(state.join(spokes, ["pivot", "cls"]), "neardup-spokes")
+            full = put(state.join(spokes, ["pivot", "cls"]), "neardup-spokes")
             x, y = full.alias("x"), full.alias("y")
             both = lambda f: f(*[F.col(f"{side}.{c}") for side in "xy" for c in ("lacks", "adds", "own", "n")])
             bits = sum((F.bit_count(F.col(f"x.m{i}").bitwiseAND(F.col(f"y.m{i}"))) for i in range(MASKS)), F.lit(0))
@@ -259,28 +263,33 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
                 near = votes.groupBy("cls").agg(F.max(F.struct("votes", "pivot")).alias("_x")).select("cls", "_x.pivot")
             near = near.select(F.least("pivot", "cls").alias("a"), F.greatest("pivot", "cls").alias("b")).distinct()
         pairs = near if checked is None else near.join(checked.select("a", "b"), ["a", "b"], "left_anti")
-        fresh = materialize(_confirmed(pairs, sets, percent), "neardup-checked")
+        fresh = put(_confirmed(pairs, sets, percent), "neardup-checked")
         checked = fresh if checked is None else checked.unionByName(fresh)
         new = fresh.filter("linked").select("a", "b")
         if new.isEmpty():
             continue
         if labels is None:
-            labels = materialize(components(new), "neardup-labels")
+            labels = put(components(new, put), "neardup-labels")
             continue
         # Roots stand for what is already linked.
         for side in ("a", "b"):
             new = new.join(labels.withColumnsRenamed({"node": side, "root": "_root"}), side, "left").withColumn(side, F.coalesce("_root", side)).drop("_root")
-        moved = components(new)
+        moved = components(new, put)
         old = labels.join(moved.select(F.col("node").alias("root"), F.col("root").alias("_to")), "root", "left").select("node", F.coalesce("_to", "root").alias("root"))
-        labels = materialize(old.unionByName(moved.join(labels.select("node"), "node", "left_anti")), "neardup-labels")
+        labels = put(old.unionByName(moved.join(labels.select("node"), "node", "left_anti")), "neardup-labels")
     table = classes if labels is None else classes.join(labels, classes.cls == labels.node, "left").withColumn("root", F.coalesce("root", "cls")).drop("node")
     if labels is not None:
         table = table.join(table.groupBy("root").agg(F.min("rep").alias("component")), "root").select("cls", "component")
     else:
         table = table.select("cls", F.col("rep").alias("component"))
-    out = signed.select("doc_id", "n", "cls").join(table, "cls", "left")
+    # Documents without words have no class; they do not meet in one.
+    bare = signed.filter("cls is null").select("doc_id", "n", F.lit(None).cast("long").alias("component"))
+    out = signed.filter("cls is not null").select("doc_id", "n", "cls").join(table, "cls", "left").select("doc_id", "n", "component").unionByName(bare)
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))
+    out = out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))
+    out = materialize(out, "neardup-result")
+    scratch.clear()
+    return out
 
 
 def op7_near_duplicates(spark, sf_dir: str) -> DataFrame:
