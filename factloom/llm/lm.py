@@ -22,7 +22,6 @@ often as they occur; without training documents every count is 0; an empty table
 
 from __future__ import annotations
 
-import contextlib
 import tempfile
 from collections.abc import Iterator
 
@@ -36,7 +35,7 @@ from pyspark.sql import functions as F
 from factloom.llm import words
 from factloom.llm.eftrie import Trie
 from factloom.llm.neardup import _parts
-from factloom.llm.storage import materialize, partitions
+from factloom.llm.storage import materialize, partitions, small_batches
 
 MU = 100.0
 LEVELS = 4095
@@ -321,18 +320,6 @@ def _adder(mu: float, n_tokens: int, n_kinds: int, hot_counts: dict[int, int]):
     return run
 
 
-@contextlib.contextmanager
-def _small_batches(spark):
-    """Smaller Arrow batches for the jobs run inside: a batch of texts and what is made of it are what a worker holds."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(name)
-    spark.conf.set(name, str(min(int(before) if int(before) > 0 else BATCH_ROWS, BATCH_ROWS)))
-    try:
-        yield
-    finally:
-        spark.conf.set(name, before)
-
-
 def hot_contexts(sample: DataFrame, shards: int) -> dict[int, int]:
     """Parts of every context that has more than a quarter of a shard's share of the sample's tokens: 4 * shards at most, and the boundary."""
 
@@ -356,10 +343,10 @@ def score_documents(docs: DataFrame, train: Column, key: str = "doc_id", text: s
     size = data.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("bytes")).first()
     shards = max(min(8, partitions(spark)), -(-size["bytes"] // SHARD_BYTES))
     share = min(1.0, HOT_ROWS / max(1, size["n"]))
-    with _small_batches(spark):
+    with small_batches(spark, BATCH_ROWS):
         hot = hot_contexts(data.filter(F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(1 << 30)) < int(share * (1 << 30)) + 1).select("text"), shards)
     asked = data.mapInArrow(_asker(shards, hot), COLUMNS)
-    with _small_batches(spark):
+    with small_batches(spark, BATCH_ROWS):
         answered = materialize(asked.groupBy("shard").applyInArrow(_answerer(mu, shards), COLUMNS), "lm-answers")
     sums = answered.filter("kind = 'sum'").agg(F.sum("tokens").alias("n"), F.sum("kinds").alias("v")).first()
     told = [unpress(r["payload"]) for r in answered.filter("kind = 'hot'").select("payload").collect()]  # a number for each hot context

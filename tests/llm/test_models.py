@@ -65,6 +65,14 @@ def test_mixing_overlapping_sources(spark):
     assert mixing.mix(df.limit(0), "doc_id", "size", "members", quotas).count() == 0
 
 
+def test_mixing_keeps_clashing_names_and_spreads_null_ids(spark):
+    rows = [(None, ["a\x0b\x1f\"q"], i % 5, i, "x", 1, 2) for i in range(200)]
+    df = spark.createDataFrame(rows, "doc_id long, members array<string>, size long, _bucket int, _pattern string, _tokens int, _place int")
+    got = mixing.mix(df, "doc_id", "size", "members", lambda totals: {s: n // 2 for s, n in totals.items()}).collect()
+    assert sorted(r._bucket for r in got) == list(range(200)) and {(r._pattern, r._tokens, r._place) for r in got} == {("x", 1, 2)}
+    assert abs(sum(r.copies * r.size for r in got) - 200) <= 5
+
+
 def test_op4_comes_near_its_targets(spark, tmp_path):
     rows = [(i, " ".join(["w"] * (i % 40)), "en", f"s{i % 4}" if i % 9 else None, 1) for i in range(2000)] + [(9999, None, None, "s0", None), (10000, "\x1ca b", "en", "big", 1)]
     got = mixing.op4_mix(spark, table(spark, str(tmp_path), "documents", rows, DOC)).collect()
@@ -164,6 +172,77 @@ def test_language_edge_cases(spark):
     assert {r.lang_pred for r in langid.predict(asked, empty).collect()} == {"und"}
 
 
+def plain_model(rows, per_label):
+    """The same model in plain Python: TF-IDF of code-point n-grams, FTRL on the sampled rows, the temperature by a fine grid."""
+    n, df = len(rows), Counter()
+    grams = lambda t: Counter(langid.slots(t).tolist())
+    for _, t, _ in rows:
+        df.update(set(grams(t)))
+    idf = lambda s: math.log((1 + n) / (1 + df[s])) + 1
+
+    def vector(t):
+        w = {s: (1 + math.log(c)) * idf(s) for s, c in grams(t).items()}
+        norm = math.sqrt(sum(x * x for x in w.values()))
+        return {s: x / norm for s, x in w.items()}
+
+    labels = sorted({y for *_, y in rows})
+    by = {y: [r for r in rows if r[2] == y][:per_label] for y in labels}
+    fitted = sorted(((k, labels.index(y), vector(t)) for y in labels for k, (_, t, _) in enumerate(by[y], 1) if k % 5), key=lambda r: r[:2])
+    kept = [(labels.index(y), vector(t)) for y in labels for k, (_, t, _) in enumerate(by[y], 1) if not k % 5]
+    z, g2 = defaultdict(lambda: [0.0] * len(labels)), defaultdict(lambda: [0.0] * len(labels))
+    alpha, beta, l1, l2 = 0.5, 1.0, 0.02, 0.02
+
+    def weight(s, k):
+        one, two = (l1, l2) if s < langid.SLOTS else (0.0, 0.0)
+        return 0.0 if abs(z[s][k]) <= one else -(z[s][k] - math.copysign(one, z[s][k])) / ((beta + math.sqrt(g2[s][k])) / alpha + two)
+
+    def logits(x):
+        return [sum(v * weight(s, k) for s, v in {**x, langid.SLOTS: 1.0}.items()) for k in range(len(labels))]
+
+    def soft(a, t=1.0):
+        e = [math.exp((v - max(a)) / t) for v in a]
+        return [v / sum(e) for v in e]
+
+    order = np.random.default_rng(9)
+    for _ in range(4):
+        for i in order.permutation(len(fitted)):
+            _, y, x = fitted[i]
+            x = {**x, langid.SLOTS: 1.0}
+            p = soft([sum(v * weight(s, k) for s, v in x.items()) for k in range(len(labels))])
+            for s, v in x.items():
+                for k in range(len(labels)):
+                    g, w = v * (p[k] - (k == y)), weight(s, k)
+                    new = g2[s][k] + g * g
+                    z[s][k] += g - (math.sqrt(new) - math.sqrt(g2[s][k])) / alpha * w
+                    g2[s][k] = new
+    slack = 1 / (len(kept) + 2)
+    loss = lambda t: -sum((1 - slack) * math.log(soft(logits(x), t)[y]) + slack / (len(labels) - 1) * sum(math.log(v) for k, v in enumerate(soft(logits(x), t)) if k != y) for y, x in kept)
+    best = min((math.exp(e / 100) for e in range(-300, 301)), key=loss)
+    return lambda t: dict(zip(labels, soft(logits(vector(t)), best), strict=True))
+
+
+def test_language_equals_plain_python(spark):
+    rng = random.Random(3)
+    words_ = {"en": "the and of cat house with".split(), "de": "der und das hund haus mit".split(), "fr": "le et du chat maison avec".split()}
+    rows = [(i, " ".join(rng.choice(words_[y]) for _ in range(6)), y) for i in range(36) for y in [("en", "de", "fr")[i % 3]]]
+    train = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    place = {r.doc_id: r.h for r in train.select("doc_id", F.pmod(F.xxhash64(F.col("doc_id").cast("string"), "text", F.lit(9)), F.lit(1 << 31)).alias("h")).collect()}
+    plain = plain_model(sorted(rows, key=lambda r: place[r[0]]), 400)
+    asked = [(100 + i, t) for i, t in enumerate(["the cat", "der hund und", "le chat et la maison", "haus house maison", "xyz"])]
+    got = {r.doc_id: r for r in langid.predict(spark.createDataFrame(asked, "doc_id long, text string").withColumn("_guess", F.lit(1)), langid.fit(train)).collect()}
+    for i, t in asked:
+        p = plain(t)
+        assert got[i].lang_pred == max(sorted(p), key=lambda y: p[y]) and abs(got[i].score - max(p.values())) < 0.01 and got[i]._guess == 1
+
+
+def test_every_label_is_learned(spark):
+    rows = [(i, f"{chr(0x4E00 + 7 * (i % 210))}{chr(0x4E01 + 7 * (i % 210))} text", f"l{i % 210:03}") for i in range(210 * 6)] + [(None, "same row", "l000")] * 50
+    model = langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert len(model.labels) == 210
+    asked = spark.createDataFrame([(k, f"{chr(0x4E00 + 7 * k)}{chr(0x4E01 + 7 * k)}") for k in range(210)], "doc_id long, text string")
+    assert sum(r.lang_pred == f"l{r.doc_id:03}" for r in langid.predict(asked, model).collect()) > 200
+
+
 def test_temperature_is_finite_on_perfect_scores():
     z = np.array([[9.0, -9.0], [-9.0, 9.0]] * 10)
     t = langid.temperature(z, np.array([0, 1] * 10))
@@ -200,6 +279,13 @@ def test_neighbours_edge_cases(spark):
     assert ann.search(df.filter("vec_id >= 200"), F.col("vec_id") % 20 == 0).count() == 0
 
 
+def test_doubles_are_scored_as_doubles(spark):
+    v = [(0, [1.0, 1e-9]), (1, [1.04000000080000001, 0.0]), (2, [1.0400000004, 0.0])]
+    df = spark.createDataFrame(v, "vec_id long, embedding array<double>")
+    got = [(r.vec_id, r.score) for r in ann.search(df, F.col("vec_id") == 0).orderBy("rank").collect()]
+    assert got == [(1, 1.0400000008), (2, 1.0400000004)]
+
+
 def test_neighbours_recall_over_lists(spark):
     rng = np.random.default_rng(7)
     x = rng.standard_normal((6000, 24)).astype(np.float32)
