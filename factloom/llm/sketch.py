@@ -105,9 +105,9 @@ def next_texts(docs: DataFrame, key: str = "doc_id", text: str = "text", range_b
     spread = F.floor(F.conv(F.substring(digest, 1, 6), 16, 10).cast("long") * F.try_element_at(F.create_map(*[F.lit(x) for kv in times.items() for x in kv]), F.col(key)) / F.lit(1 << 24)) if hot else F.lit(0)
     is_hot = F.col(key).isin(hot) if hot else F.lit(False)
     no_key = F.floor(F.conv(F.substring(digest, 1, 6), 16, 10).cast("long") * (coarse * fine) / F.lit(1 << 24))
-    place = F.when(F.col(key).isNull(), F.struct(F.lit(-1).cast("long").alias("a"), F.lit(0).cast("long").alias("b"), no_key.cast("long").alias("c"))).otherwise(
-        F.struct(at.cast("long").alias("a"), F.least(F.greatest(F.when(is_hot, F.lit(fine)).otherwise(inner), F.lit(0)), F.lit(fine)).cast("long").alias("b"), F.when(is_hot, spread).otherwise(0).cast("long").alias("c"))
-    )
+    # One number for (coarse range, place in it, place of a hot key's row); rows without a key come below all.
+    cut = F.least(F.greatest(F.when(is_hot, F.lit(fine)).otherwise(inner), F.lit(0)), F.lit(fine))
+    place = F.when(F.col(key).isNull(), no_key).otherwise(((at.cast("long") + 1) * (fine + 1) + cut) * (coarse * fine + 1) + F.when(is_hot, spread).otherwise(0)).cast("long")
     ranged = docs.withColumn(digest, F.md5(t)).withColumn(part, place)
     order = [F.desc_nulls_last(key), F.desc(digest)]
     top = ranged.groupBy(part).agg(F.max_by(t, F.struct(F.col(key).isNotNull(), key, digest)).alias("_head"))  # one row for each range, partial maxima first
