@@ -88,7 +88,7 @@ def next_texts(docs: DataFrame, key: str = "doc_id", text: str = "text", range_b
     """
     spark = docs.sparkSession
     size = docs.agg(F.coalesce(F.sum(F.octet_length(text)), F.lit(0)).alias("bytes")).first()["bytes"]
-    coarse = max(1, min(1000, partitions(spark)))
+    coarse = max(1, min(1000, 8 * partitions(spark)))  # several for each partition, so that hashing deals them evenly
     fine = max(1, -(-size // (coarse * range_bytes)))
     points = [i / coarse for i in range(1, coarse)]
     found = docs.agg(F.percentile_approx(key, points, 10_000).alias("b")).first()["b"] or [] if points else []
