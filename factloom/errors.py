@@ -93,3 +93,7 @@ class ActivationError(ControlError):
 
 class OperationTimeoutError(ControlError):
     """An operation took longer than its timeout."""
+
+
+class StepLimitError(ControlError):
+    """A run took more supersteps than allowed: a cycle without an end, not a finished session."""

@@ -37,7 +37,7 @@ class Flow:
         check_ids([*self.operators, *self.aggregators, *self.capabilities])
         if self.completes_when is not None:
             self.completes_when = conditions.normalize(self.completes_when)
-        self.pruned = prune(self.operators, self.aggregators, self.types)
+        self.pruned = prune(self.operators, self.aggregators, self.types, () if self.completes_when is None else conditions.referenced_types(self.completes_when))
         self.edges = validate([*self.pruned, *self.capabilities], self.types)
 
     def fingerprint(self) -> str:

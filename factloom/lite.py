@@ -1,7 +1,7 @@
 """The small form: the scheduling core in one call, with events, no stores, no aggregators.
 
-Differences that are meant: edges match in either direction, any operator may consume, a capability activates once, and the
-deadline cuts running operators short.
+Differences that are meant: edges match in either direction, any operator may consume, a capability gets one attempt to activate, an armed retry whose operator is not ready
+any more ends, and the flow's deadline is hard: it cuts running operators short, and such a run is a failure that does not count as a run.
 """
 
 from __future__ import annotations
@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from factloom.engine import Engine, Result
 from factloom.flow import Flow
+from factloom.operators.activation import Activator
 from factloom.plans.graph import validate
 from factloom.sources.control import EVENT_DDL, NullSink
 
@@ -46,9 +47,10 @@ def events_of(result: Result) -> DataFrame:
 def run_session(spark: SparkSession, flow: Flow, seed: DataFrame, sink=None, now=None) -> SessionResult:
     """Runs the flow over all sessions of the seed and publishes what happened."""
     validate([*flow.pruned, *flow.capabilities], flow.types, both_ways=True)
-    result = Engine(spark).run(flow, seed, now=now)
+    activator = Activator(flow.capabilities, lambda namespace, capability: {}, max_attempts=1, timeout=flow.timeout) if Activator.needed(flow.capabilities) else None
+    result = Engine(spark, activator=activator).run(flow, seed, now=now, lite=True)
     events = events_of(result)
     (sink or NullSink()).publish(events)
-    counted = result.runs.filter("outcome <> 'timed_out'").groupBy("session_id", "operator_id").agg(F.count(F.lit(1)).alias("runs"))
-    failed = result.runs.filter("outcome in ('failed', 'timed_out')").select("session_id", "operator_id", "detail")
-    return SessionResult(result.facts, counted, failed, events=events)
+    counted = result.runs.filter("outcome <> 'cancelled'").groupBy("session_id", "operator_id").agg(F.count(F.lit(1)).alias("runs"))
+    failed = result.runs.filter("outcome in ('failed', 'timed_out', 'cancelled')").select("session_id", "operator_id", "detail")
+    return SessionResult(result.facts, counted, failed, result.deadline_hit, events)

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import copy
+import functools
 import inspect
+import json
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 from datetime import timedelta
@@ -16,6 +19,7 @@ from factloom import facts as facts_ops
 from factloom.errors import CapabilityUnavailableError, MissingPolicyError, UnauditedActionError
 from factloom.types import TypeRegistry
 
+REDACTED = "<redacted>"
 EMISSION_DDL = "session_id string, type string, value string"
 
 
@@ -60,7 +64,7 @@ class Context:
     store: DataFrame
     delta: DataFrame  # with ``change`` and ``is_first_invocation``
     sessions: DataFrame
-    capabilities: CapabilityView
+    capabilities: SessionCapabilities
 
     @property
     def added(self) -> DataFrame:
@@ -174,12 +178,47 @@ class Aggregator(_Declared):
         raise NotImplementedError
 
 
+@dataclass
+class ActionSeam:
+    """What every action passes on its way to its body: rate limit, then audit. ``rows``: (session_id, kind, subject, outcome, detail)."""
+
+    namespace_id: str
+    session_id: str
+    limiter: Any = None  # acquire(key)
+    rows: list[tuple] = field(default_factory=list)
+
+    def call(self, capability: Capability, f: Callable, args: tuple, kwargs: dict) -> Any:
+        if f.rate_limit is not None and self.limiter is not None:
+            self.limiter.acquire(f"{self.namespace_id}:{capability.capability_id}")
+        # Names of parameters are told, values are not.
+        names = [*list(inspect.signature(f).parameters)[1 : 1 + len(args)], *kwargs]
+        told = json.dumps({n: REDACTED for n in names}, sort_keys=True)
+        subject = f"{capability.capability_id}.{f.__name__}"
+        try:
+            out = f(capability, *args, **kwargs)
+        except Exception:
+            self.rows.append((self.session_id, "capability_action", subject, "failed", told))
+            raise
+        self.rows.append((self.session_id, "capability_action", subject, "succeeded", told))
+        return out
+
+
 def action(limit: str | None = None) -> Callable:
-    """Marks a capability's public method: every call is audited with redacted parameters; ``limit`` names its rate limit."""
+    """Marks a capability's public method: every call is audited with redacted parameters; ``limit`` names its rate limit.
+
+    A capability that no seam is bound to cannot act: there is no way around the audit.
+    """
 
     def mark(f: Callable) -> Callable:
-        f.is_action, f.rate_limit = True, limit
-        return f
+        @functools.wraps(f)
+        def seamed(self, *args, **kwargs):
+            if self.seam is None:
+                raise UnauditedActionError(f"{type(self).__name__}.{f.__name__} is called outside a session")
+            return self.seam.call(self, f, args, kwargs)
+
+        f.rate_limit = limit
+        seamed.is_action, seamed.rate_limit = True, limit
+        return seamed
 
     return mark
 
@@ -189,13 +228,20 @@ class Capability(_Declared):
 
     capability_id: str
     kinds: tuple[str, ...] = ()
+    seam: ActionSeam | None = None
+
+    def bind(self, seam: ActionSeam) -> Capability:
+        """The same connection seen from one session."""
+        bound = copy.copy(self)
+        bound.seam = seam
+        return bound
 
     def __init_subclass__(cls, **kwargs: Any) -> None:
         super().__init_subclass__(**kwargs)
         if not getattr(cls, "capability_id", None):
             cls.capability_id = cls.__name__
         for name, f in cls.__dict__.items():
-            if inspect.isfunction(f) and not name.startswith("_") and name != "activate" and not getattr(f, "is_action", False):
+            if inspect.isfunction(f) and not name.startswith("_") and name not in ("activate", "bind") and not getattr(f, "is_action", False):
                 raise UnauditedActionError(f"{cls.__name__}.{name} is public but no action")
 
     def activate(self, credentials: dict) -> None:
@@ -220,7 +266,39 @@ class CapabilityView:
         return found[0]
 
 
-def undeclared(emissions: DataFrame, operator: Operator, types: TypeRegistry) -> DataFrame:
-    """Distinct emitted types that no declared one covers; they are merged anyway and reported once."""
-    allowed = sorted({leaf for p in operator.produces for leaf in types.leaves(p)})
-    return emissions.filter(~F.col("type").isin(allowed)).select("type").distinct() if allowed else emissions.select("type").distinct()
+@dataclass
+class SessionCapabilities:
+    """What each runnable session may use now: ``offers`` has (session_id, kind, capability_id, rank), gated, preferred ones first; it is made when first asked for."""
+
+    make: Callable[[], DataFrame]
+    sessions: DataFrame
+
+    @functools.cached_property
+    def offers(self) -> DataFrame:
+        return self.make()
+
+    def resolve(self, kind: str) -> DataFrame:
+        """(session_id, capability_id, rank) of all providers of the kind, or of the capability by its own id."""
+        return self.offers.filter(F.col("kind") == kind).select("session_id", "capability_id", "rank")
+
+    def require(self, kind: str) -> DataFrame:
+        """(session_id, capability_id): the first provider of each session; raises if a session has none."""
+        first = self.resolve(kind).filter("rank = 1").select("session_id", "capability_id")
+        bare = self.sessions.join(first, "session_id", "left_anti").limit(5).collect()
+        if bare:
+            raise CapabilityUnavailableError(f"nothing provides {kind!r} in sessions {sorted(r['session_id'] for r in bare)}")
+        return first
+
+    def of(self, session_id: str) -> CapabilityView:
+        """One session's view; its rows are a handful."""
+        rows = sorted((r["rank"], r["capability_id"], r["kind"]) for r in self.offers.filter(F.col("session_id") == session_id).collect())
+        kinds: dict[str, tuple[str, ...]] = {}
+        for _, c, k in rows:
+            kinds[c] = (*kinds.get(c, ()), k)
+        return CapabilityView(kinds, tuple(dict.fromkeys(c for _, c, _ in rows)))
+
+
+def undeclared(types_emitted: set[str], operator: Operator, types: TypeRegistry) -> list[str]:
+    """Emitted types that no declared one covers; they are merged anyway and reported once."""
+    allowed = {leaf for p in operator.produces for leaf in types.leaves(p)}
+    return sorted(types_emitted - allowed)

@@ -129,22 +129,20 @@ def backward_reachable(nodes: Sequence[Node], types: TypeRegistry, sinks: Iterab
     return kept
 
 
-def prune(operators: Sequence[Operator], aggregators: Sequence[Aggregator], types: TypeRegistry) -> list[Operator]:
-    """Without the operators that nobody consumes. Done only if some consumer declares ``consumes``."""
+def prune(operators: Sequence[Operator], aggregators: Sequence[Aggregator], types: TypeRegistry, completes_on: Iterable[str] | None = ()) -> list[Operator]:
+    """Without the operators that nobody consumes. Done only if some consumer declares ``consumes``.
+
+    ``completes_on``: the types that the completion condition names, whose producers stay; None if it cannot be looked into, and then everything stays.
+    """
     consumers = [*aggregators, *operators]
     declared = [x for x in consumers if x.consumes]
-    if not declared:
+    if not declared or completes_on is None:
         return list(operators)
-    sinks = {t for x in declared for t in x.consumes} | {t for a in aggregators for t in a.depends_on}
+    sinks = {t for x in declared for t in x.consumes} | {t for a in aggregators for t in a.depends_on} | set(completes_on)
     kept = backward_reachable(operators, types, sinks) | {node_id(x) for x in operators if x.consumes}
     return [x for x in operators if node_id(x) in kept]
 
 
-def circuit_breaker(runs: int, max_cycles: int | None) -> bool:
-    """True if an operator with so many attempts may run again."""
-    return max_cycles is None or runs < max_cycles
-
-
 def frames(spark: SparkSession, edges: dict[str, set[str]]) -> tuple[DataFrame, DataFrame]:
     """(nodes, edges) as DataFrames."""
     return spark.createDataFrame([(x,) for x in sorted(edges)], "node string"), spark.createDataFrame([(a, b) for a in sorted(edges) for b in sorted(edges[a])], "src string, dst string")

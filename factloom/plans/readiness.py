@@ -5,7 +5,7 @@ Declarations are small tables by construction (operators times declared types);
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Sequence
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -39,12 +39,17 @@ def ready(sessions: DataFrame, have: DataFrame, wants: DataFrame, operators: Dat
 
 
 def readiness_gap(sessions: DataFrame, have: DataFrame, wants: DataFrame) -> DataFrame:
-    """(session_id, operator_id, missing): one row for each want that the session lacks."""
+    """(session_id, operator_id, missing): one row for each want that the session lacks; :func:`by_name` sorts them."""
     wanted = wants.select("operator_id", F.col("wanted")).groupBy().agg(F.collect_list(F.struct("operator_id", "wanted")).alias("_w")).withColumn("_k", F.lit(1))
     every = sessions.select("session_id").distinct().withColumn("_k", F.lit(1)).join(F.broadcast(wanted), "_k").select("session_id", F.explode("_w").alias("w")).select("session_id", "w.*")
     return every.join(have, ["session_id", "wanted"], "left_anti").select("session_id", "operator_id", F.col("wanted").alias("missing"))
 
 
+def by_name(gap: DataFrame) -> DataFrame:
+    """(session_id, operator_id, missing) with the missing names of a pair as one sorted array."""
+    return gap.groupBy("session_id", "operator_id").agg(F.array_sort(F.collect_set("missing")).alias("missing"))
+
+
 def relevant_new_data(delta: DataFrame, types: TypeRegistry, triggers: DataFrame) -> DataFrame:
     """(session_id, operator_id) with a relevant change: ``delta`` has (session_id, operator_id, type, change).
 
@@ -68,6 +73,10 @@ def available_capabilities(sessions: DataFrame, have: DataFrame, spark: SparkSes
         fit = fit.join(permitted, ["session_id", "capability_id"], "left_semi")
     needs = declared(spark, capabilities, "requires")
     provided = spark.createDataFrame([], "session_id string, wanted string")
+    if any(c.requires for c in capabilities):
+        from factloom.sources.workspace import materialize
+
+        fit = materialize(fit, "fit")  # every round reads it
     out = fit.limit(0)
     for _ in range(_depth(capabilities)):
         open_ = ready(sessions, provided, needs, ids).withColumnRenamed("operator_id", "capability_id")
@@ -108,17 +117,32 @@ def permitted_operators(pairs: DataFrame, grants: DataFrame | None) -> DataFrame
     return free.unionByName(some)
 
 
-def reachable_pending(present: Iterable[str], pending: Sequence[Node], types: TypeRegistry) -> list[str]:
-    """Ids of pending operators that could still become ready if all runnable ones emit what they declare."""
-    have, out = {a for p in present for a in types.ancestors(p)}, set()
-    grown = True
-    while grown:
-        grown = False
-        for x in pending:
-            if node_id(x) not in out and all(d in have for d in x.depends_on):
-                out.add(node_id(x))
-                for p in getattr(x, "produces", ()):
-                    for leaf in types.leaves(p):
-                        have |= types.ancestors(leaf)
-                grown = True
-    return sorted(out)
+def newly_available(available: DataFrame, seen: DataFrame) -> DataFrame:
+    """(session_id, capability_id) of ``available`` that were not ``seen`` before."""
+    return available.select("session_id", "capability_id").distinct().join(seen, ["session_id", "capability_id"], "left_anti")
+
+
+def reachable_pending(have: DataFrame, sessions: DataFrame, pending: DataFrame, nodes: Sequence[Node], types: TypeRegistry, provided: DataFrame | None = None) -> DataFrame:
+    """(session_id, operator_id) of ``pending`` pairs that are ready, or would be if all reachable ones emitted what they declare.
+
+    ``have``: (session_id, wanted); ``provided``: (session_id, wanted) kinds of available capabilities, which gate as in planning (None: no gate).
+    A least fixpoint in as many rounds as the longest chain of declarations, not of data.
+    """
+    spark = have.sparkSession
+    ids = spark.createDataFrame([(node_id(x),) for x in nodes], "operator_id string")
+    wants = declared(spark, nodes, "depends_on")
+    makes = spark.createDataFrame([(node_id(x), a) for x in nodes for p in getattr(x, "produces", ()) for leaf in types.leaves(p) for a in types.ancestors(leaf)], "operator_id string, wanted string").distinct()
+    open_ = pending.select("session_id", "operator_id")
+    if provided is not None:
+        open_ = open_.join(ready(sessions, provided, declared(spark, nodes, "requires"), ids), ["session_id", "operator_id"], "left_semi")
+    out, reach = open_.limit(0), have
+    for _ in range(_chain(nodes, types)):
+        out = ready(sessions, reach, wants, ids).join(open_, ["session_id", "operator_id"], "left_semi")
+        reach = have.unionByName(out.join(F.broadcast(makes), "operator_id").select("session_id", "wanted")).distinct()
+    return out
+
+
+def _chain(nodes: Sequence[Node], types: TypeRegistry) -> int:
+    """The most rounds that declarations can take: one for each node whose products some other node waits for, and one more."""
+    feeds = [x for x in nodes if any(types.matches(leaf, d) for p in getattr(x, "produces", ()) for leaf in types.leaves(p) for y in nodes for d in y.depends_on)]
+    return len(feeds) + 1

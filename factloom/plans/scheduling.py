@@ -6,8 +6,6 @@ keeps one key's distinct instants in one row: sessions and capabilities are keys
 
 from __future__ import annotations
 
-import random
-import zlib
 from datetime import timedelta
 
 from pyspark.sql import Column, DataFrame, Window
@@ -72,16 +70,14 @@ def token_bucket(requests: DataFrame, key: str, ts: str, capacity: float, per_se
     return out.select(key, F.col("r.o").alias(order), _time(F.col("r.t")).alias("requested_at"), _time(F.col("r.a")).alias("admitted_at"))
 
 
-def seed_for(*parts: object) -> int:
-    """A seed that is the same in every process."""
-    return zlib.crc32("|".join(map(str, parts)).encode())
+def seed_of(*parts: Column) -> Column:
+    """A number below 2**32 from columns, the same in every process: the CRC-32 of the parts joined by ``|``."""
+    return F.crc32(F.concat_ws("|", *parts).cast("binary"))
 
 
-def backoff_delays(policy: RetryPolicy, seed: int | None = None) -> list[float]:
-    """Seconds before each retry; without a seed, without jitter."""
-    rng = random.Random(seed)
-    plain = [policy.base.total_seconds() * policy.factor**i for i in range(max(0, policy.max_attempts - 1))]
-    return plain if seed is None else [x * (1 + rng.uniform(-policy.jitter, policy.jitter)) for x in plain]
+def retry_delay(attempt: Column, base_us: Column, factor: Column, jitter: Column, seed: Column) -> Column:
+    """Microseconds before the retry that follows failure number ``attempt`` (from 1): exponential, off by up to ``jitter`` of itself, as the seed says."""
+    return (base_us * F.pow(factor, attempt - 1) * (1 + jitter * (seed / F.lit(float(1 << 31)) - 1))).cast("long")
 
 
 def backoff_schedule(failures: DataFrame, policy: RetryPolicy) -> DataFrame:
@@ -109,6 +105,8 @@ def soonest_due(windows: DataFrame, due: str = "due_at") -> DataFrame:
     return windows.groupBy("session_id").agg(F.min(due).alias("due_at"))
 
 
-def window_defers_to_finalize(armed_interim: bool, completion_satisfied: bool, other_armed: bool) -> bool:
-    """True if all that still holds gathering open is an interim aggregator's window after completion: then it need not wait."""
-    return armed_interim and completion_satisfied and not other_armed
+def holding_windows(windows: DataFrame, satisfied: DataFrame) -> DataFrame:
+    """The armed windows (session_id, operator_id, interim, due_at) that hold gathering open: an interim aggregator's does not once its session's completion is satisfied,
+    for the final document is then due anyway. ``satisfied``: (session_id, satisfied)."""
+    known = windows.join(satisfied, "session_id", "left")
+    return known.filter(~(F.col("interim") & F.coalesce("satisfied", F.lit(False)))).drop("satisfied")

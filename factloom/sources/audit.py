@@ -13,7 +13,7 @@ from factloom.types import TypeRegistry
 
 AUDIT_DDL = "session_id string, sequence bigint, kind string, subject string, outcome string, detail string, n bigint, epoch bigint, at timestamp_ntz"
 KINDS = ("data_point", "data_point_summary", "operator_run", "capability", "capability_action", "aggregation", "session_parked", "flow_drift", "quarantine")
-OUTCOMES = ("succeeded", "failed", "timed_out", "retrying", "skipped")
+OUTCOMES = ("succeeded", "failed", "timed_out", "retrying", "cancelled", "skipped")
 
 
 def allocate(rows: DataFrame, last: DataFrame, order: str) -> DataFrame:
@@ -41,14 +41,29 @@ def merge_rows(outcomes: DataFrame, types: TypeRegistry, epoch: int, ciphers: Ci
     return rows.unionByName(counts).withColumn("epoch", F.lit(epoch).cast("bigint"))
 
 
+def run_rows(runs: DataFrame) -> DataFrame:
+    """Audit rows of a run log: one for each attempt."""
+    return runs.select("session_id", F.lit("operator_run").alias("kind"), F.col("operator_id").alias("subject"), "outcome", "detail", F.lit(1).cast("bigint").alias("n"), "at")
+
+
+def event_rows(rows: DataFrame, kind: str, outcome: str | None = None) -> DataFrame:
+    """Audit rows of sessions to which something happened: a park, drift, quarantine, or an aggregator that was skipped. ``subject`` and ``detail`` are taken if there."""
+    own = lambda c: F.col(c) if c in rows.columns else F.lit(None).cast("string").alias(c)
+    return rows.select("session_id", F.lit(kind).alias("kind"), own("subject"), F.lit(outcome).cast("string").alias("outcome"), own("detail"), F.lit(1).cast("bigint").alias("n"))
+
+
 class AuditTrail:
     def __init__(self, spark: SparkSession, base: str):
         self.table = VersionedTable(spark, f"{base}/audit", AUDIT_DDL)
 
     def append(self, rows: DataFrame, epoch: int) -> None:
-        """Adds rows without sequences; a lower epoch than any before is refused."""
-        last = self.table.read().groupBy("session_id").agg(F.max("sequence").alias("last"))
-        done = allocate(rows.withColumn("_o", F.struct("kind", "subject", "outcome", "detail", "at")), last, "_o").drop("_o")
+        """Adds rows without sequences, by ``_part`` if they have it; a lower epoch than any before is refused."""
+        self.table.guard(epoch)
+        # Only sessions that get rows are looked up, and of what is stored only two columns are read.
+        mine = rows.select("session_id").distinct()
+        last = self.table.read().select("session_id", "sequence").join(mine, "session_id", "left_semi").groupBy("session_id").agg(F.max("sequence").alias("last"))
+        order = F.struct(*[c for c in ("_part", "kind", "subject", "outcome", "detail", "at") if c in rows.columns])
+        done = allocate(rows.withColumn("_o", order), last, "_o").drop("_o")
         self.table.commit(done.select(*[c.split()[0] for c in AUDIT_DDL.split(", ")]), epoch, append=True)
 
     def replay(self, session_id: str) -> Iterator[Row]:

@@ -15,9 +15,8 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.query import StreamingQuery
 
 from factloom import facts as facts_ops
-from factloom.errors import StaleEpochError, VersionConflictError
 from factloom.sources.inbox import split_poison
-from factloom.sources.tables import VersionedTable
+from factloom.sources.tables import BucketedTable, VersionedTable
 from factloom.types import FACT_DDL, TypeRegistry
 
 
@@ -26,18 +25,17 @@ class StreamingStore:
 
     def __init__(self, spark: SparkSession, base: str, types: TypeRegistry, epoch: int = 1):
         self.types, self.epoch = types, epoch
-        self.facts = VersionedTable(spark, f"{base}/facts", FACT_DDL)
+        self.facts = BucketedTable(spark, f"{base}/facts", FACT_DDL, "session_id")
         self.poison = VersionedTable(spark, f"{base}/quarantine", "session_id string, payload string, seq bigint, batch bigint")
 
     def apply(self, batch: DataFrame, batch_id: int) -> None:
-        """Merges one micro-batch of facts. The manifest remembers the batch, so a replay after a failure is seen and skipped."""
+        """Merges one micro-batch of facts into the buckets of its sessions. The manifest remembers the batch, so a replay after a failure is seen and skipped."""
         now = self.facts.guard(self.epoch)
         if now.get("batch", -1) >= batch_id:
             return
-        state = self.facts.read()
         keyed = batch.withColumn("value_key", self.types.value_keys())
-        merged = facts_ops.apply_batch(state, keyed, facts_ops.revisions(state))
-        self.facts.commit(merged, self.epoch, now["version"], note={"batch": batch_id})
+        merge = lambda state: facts_ops.apply_batch(state, keyed, facts_ops.revisions(state))
+        self.facts.change(keyed, self.epoch, merge, now["version"], note={"batch": batch_id})
         self.facts.expire(keep=3)
 
     def start(self, stream: DataFrame, checkpoint: str, trigger: dict | None = None) -> StreamingQuery:
@@ -123,16 +121,3 @@ class KeyedMerge(StatefulProcessor):
 def stateful_merge(stream: DataFrame) -> DataFrame:
     """(session_id, type, value_key, added, updated) of each identity in each micro-batch."""
     return stream.groupBy("session_id", "type", "value_key").transformWithStateInPandas(KeyedMerge(), "session_id string, type string, value_key string, added bigint, updated bigint", "Update", "None")
-
-
-def guarded(action: Callable[[], None], retries: int = 3) -> None:
-    """Repeats an action that lost a version race; a stale epoch is final."""
-    for i in range(retries):
-        try:
-            action()
-            return
-        except StaleEpochError:
-            raise
-        except VersionConflictError:
-            if i + 1 == retries:
-                raise

@@ -114,14 +114,18 @@ class TypeRegistry:
         if bad:
             raise UnknownTypeError(f"unregistered types: {sorted(map(str, bad))}")
 
-    def parse(self, facts: DataFrame) -> DataFrame:
-        """Checks that each JSON value fits its type's schema, ignoring extra fields; raises InvalidPayloadError otherwise."""
-        self.check_known(facts)
+    def misfit(self) -> Column:
+        """True for a value that does not fit its type's schema; extra fields are ignored."""
         bad = F.lit(False)
-        for x, t in self._types.items():
+        for x, t in sorted(self._types.items()):
             if not t.abstract:
                 bad = bad | ((F.col("type") == x) & F.col("value").isNotNull() & typed(F.col("value"), t.value).isNull())
-        if not facts.filter(bad).isEmpty():
+        return F.coalesce(bad, F.lit(False))
+
+    def parse(self, facts: DataFrame) -> DataFrame:
+        """Checks that each JSON value fits its type's schema, ignoring extra fields; raises InvalidPayloadError otherwise."""
+        self.check_known(facts)
+        if not facts.filter(self.misfit()).isEmpty():
             raise InvalidPayloadError("payloads do not fit their types")
         return facts.withColumn("value_key", self.value_keys())
 

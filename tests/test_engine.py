@@ -98,7 +98,7 @@ def test_failures_are_retried_with_the_same_delta(spark):
     flow = Flow("f", TYPES, [operator("x", ("ip",), ("risk",), retry=RetryPolicy(max_attempts=3), transform=transform)])
     result = Engine(spark).run(flow, seed(spark, ("s", "ip", '"1"')), now=T1)
     assert calls == [1, 1, 1] and result.facts.filter("type = 'risk'").count() == 1
-    assert [r.outcome for r in result.runs.orderBy("step").collect()] == ["failed", "failed", "succeeded"]
+    assert [r.outcome for r in result.runs.orderBy("step").collect()] == ["retrying", "retrying", "succeeded"]
     calls.clear()
     once = Engine(spark).run(Flow("f", TYPES, [operator("x", ("ip",), ("risk",), transform=transform)]), seed(spark, ("s", "ip", '"1"')), now=T1)
     assert len(calls) == 1 and once.op_state.first().failed_attempts == 0 and once.op_state.first().watermark == 1
@@ -169,7 +169,7 @@ def test_archive_audit_and_replay(spark, tmp_path):
     flow = Flow("f", TYPES, [operator("scorer", ("email",), ("risk",), [("risk", "0.9")])])
     first = Engine(spark, base, archive=vault, audit=AuditTrail(spark, base)).run(flow, seed(spark, ("s", "work_email", '"a@b"')), now=T1)
     vault.flush(1)
-    assert [r.subject for r in AuditTrail(spark, base).replay("s")] == ["work_email", "risk"]
+    assert [(r.kind, r.subject, r.outcome) for r in AuditTrail(spark, base).replay("s")] == [("data_point", "work_email", "ADDED"), ("data_point", "risk", "ADDED"), ("operator_run", "scorer", "succeeded")]
     again = introspection.replay(Engine(spark), flow, vault.read(), now=T1)
     assert facts_of(again.facts) == facts_of(first.facts)
 

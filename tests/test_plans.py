@@ -2,16 +2,18 @@
 
 import sys
 import types as pytypes
+import zlib
 from datetime import timedelta
 
 import pytest
-from helpers import T0, Capability, OperatorPolicy, RetryPolicy, operator, registry, seed
+from helpers import T0, Capability, OperatorPolicy, operator, registry, seed
 from pyspark.sql import functions as F
 
 from factloom import cli
-from factloom.errors import DuplicateIdError, InvalidConditionError, MissingPolicyError, UnauditedActionError, UnboundedCycleError
+from factloom.errors import CapabilityUnavailableError, DuplicateIdError, InvalidConditionError, MissingPolicyError, UnauditedActionError, UnboundedCycleError
 from factloom.flow import Flow
-from factloom.operators.base import Aggregator, CapabilityView, Operator, action
+from factloom.operators.activation import Activator, TokenBucket
+from factloom.operators.base import ActionSeam, Aggregator, CapabilityView, Operator, action
 from factloom.plans import completion, graph, readiness, scheduling
 
 TYPES = registry()
@@ -118,7 +120,14 @@ def test_readiness_by_subtype(spark):
     assert got == {("s1", "e"), ("s1", "free"), ("s2", "free")}
     gap = {tuple(r) for r in readiness.readiness_gap(facts, have, wants).collect()}
     assert gap == {("s1", "both", "ip"), ("s2", "e", "email"), ("s2", "both", "email")}
-    assert readiness.reachable_pending({"ip"}, [A, B, operator("never", ("geo",))], TYPES) == ["a", "b"]
+    nodes = [A, B, operator("never", ("geo",)), operator("caps", (), requires=("net",))]
+    pending = facts.filter("session_id = 's2'").withColumn("operator_id", F.explode(F.array(*[F.lit(x.operator_id) for x in nodes])))
+    reach = lambda **k: {r.operator_id for r in readiness.reachable_pending(have, facts, pending, nodes, TYPES, **k).collect()}
+    assert reach() == {"a", "b", "caps"}
+    assert reach(provided=spark.createDataFrame([], "session_id string, wanted string")) == {"a", "b"}
+    assert [tuple(r) for r in readiness.by_name(readiness.readiness_gap(facts, have, wants)).filter("session_id = 's2' and operator_id = 'both'").collect()] == [("s2", "both", ["email"])]
+    now, seen = (spark.createDataFrame(rows, "session_id string, capability_id string") for rows in ([("s", "a"), ("s", "b"), ("t", "a")], [("s", "a")]))
+    assert sorted(tuple(r) for r in readiness.newly_available(now, seen).collect()) == [("s", "b"), ("t", "a")]
 
 
 def test_completion(spark):
@@ -173,15 +182,82 @@ def test_token_bucket_against_a_loop(spark):
     assert got == pytest.approx(want, abs=1e-4)
 
 
-def test_backoff():
-    p = RetryPolicy(max_attempts=4, base=timedelta(seconds=1))
-    assert scheduling.backoff_delays(p) == [1, 2, 4]
-    seed_ = scheduling.seed_for("s", "op", 1)
-    assert scheduling.backoff_delays(p, seed_) == scheduling.backoff_delays(p, seed_)
-    assert all(abs(a - b) <= 0.2 * b for a, b in zip(scheduling.backoff_delays(p, seed_), [1, 2, 4], strict=True))
+def test_retry_delays_are_seeded(spark):
+    rows = spark.range(1, 5).select(F.col("id").alias("n"), scheduling.seed_of(F.lit("s"), F.lit("op"), F.col("id").cast("string")).alias("seed"))
+    delay = lambda jitter: scheduling.retry_delay(F.col("n"), F.lit(1_000_000), F.lit(2.0), F.lit(jitter), F.col("seed"))
+    got = rows.select("seed", delay(0.0).alias("plain"), delay(0.2).alias("off")).collect()
+    assert [r.plain for r in got] == [1_000_000, 2_000_000, 4_000_000, 8_000_000]
+    assert [r.seed for r in got] == [zlib.crc32(f"s|op|{k}".encode()) for k in range(1, 5)]
+    assert all(0 < abs(r.off - r.plain) <= 0.2 * r.plain for r in got)
 
 
-def test_an_interim_window_defers_to_completion():
-    assert scheduling.window_defers_to_finalize(True, True, False)
-    assert not scheduling.window_defers_to_finalize(True, False, False)
-    assert not scheduling.window_defers_to_finalize(True, True, True)
+def test_an_interim_window_defers_to_completion(spark):
+    windows = spark.createDataFrame([("s", "op", False, T0), ("s", "agg", True, T0), ("t", "agg", True, T0)], "session_id string, operator_id string, interim boolean, due_at timestamp_ntz")
+    done = spark.createDataFrame([("s", True), ("t", False)], "session_id string, satisfied boolean")
+    assert sorted((r.session_id, r.operator_id) for r in scheduling.holding_windows(windows, done).collect()) == [("s", "op"), ("t", "agg")]
+
+
+def test_pruning_keeps_what_completion_waits_for():
+    report = type("r", (Aggregator,), {"operator_id": "r", "policy": OperatorPolicy(rerun_on_new_data=False), "consumes": ("risk",)})
+    a, c, idle = operator("a", ("ip",), ("risk",)), operator("c", ("ip",), ("geo",)), operator("idle", ("ip",), ("tags",))
+    kept = lambda **k: [x.operator_id for x in Flow("f", TYPES, [a, c, idle], [report], **k).pruned]
+    assert kept() == ["a"] and kept(completes_when="geo") == ["a", "c"] and kept(completes_when=lambda facts: facts) == ["a", "c", "idle"]
+
+
+def test_actions_are_audited_and_limited():
+    class Mail(Capability):
+        def activate(self, credentials):
+            self.sent = []
+
+        @action("mails")
+        def send(self, to, text="x"):
+            self.sent.append(to)
+            return len(self.sent)
+
+        @action()
+        def fail(self):
+            raise ValueError("no")
+
+    waits, now = [], [0.0]
+    mail = Mail()
+    mail.activate({})
+    with pytest.raises(UnauditedActionError):
+        mail.send("a")
+    seam = ActionSeam("ns", "s", TokenBucket(1.0, 0.5, clock=lambda: now[0], sleep=waits.append))
+    bound = mail.bind(seam)
+    assert [bound.send("a"), bound.send("b", text="secret"), bound.send("c")] == [1, 2, 3]
+    with pytest.raises(ValueError, match="no"):
+        bound.fail()
+    assert waits == [2.0, 4.0]
+    assert [r[2:] for r in seam.rows] == [("Mail.send", "succeeded", '{"to": "<redacted>"}'), ("Mail.send", "succeeded", '{"text": "<redacted>", "to": "<redacted>"}'), ("Mail.send", "succeeded", '{"to": "<redacted>"}'), ("Mail.fail", "failed", "{}")]
+
+
+def test_activation_cools_off_and_gives_up():
+    tries = []
+
+    class Base(Capability):
+        kinds = ("base",)
+
+        def activate(self, credentials):
+            tries.append(("Base", credentials.get("k")))
+            if credentials.get("bad"):
+                raise OSError("down")
+
+    class Layer(Capability):
+        kinds = ("layer",)
+        requires = ("base",)
+
+        def activate(self, credentials):
+            tries.append(("Layer", None))
+
+    on = Activator([Layer(), Base()], lambda ns, cap: {"k": ns, "bad": ns == "b"}, max_attempts=2, cool_off=timedelta(seconds=10))
+    wanted = {(n, c) for n in "ab" for c in ("Base", "Layer")}
+    told = on.refresh(T0, wanted)
+    assert [x[:3] for x in told] == [("a", "Base", "activated"), ("b", "Base", "failed"), ("a", "Layer", "activated")]
+    assert on.next_try(wanted) == T0 + timedelta(seconds=10)
+    assert on.refresh(T0 + timedelta(seconds=9), wanted) == []
+    assert [x[:3] for x in on.refresh(T0 + timedelta(seconds=10), wanted)] == [("b", "Base", "given_up")]
+    assert on.refresh(T0 + timedelta(days=1), wanted) == [] and tries.count(("Base", "b")) == 2 and tries.count(("Base", "a")) == 1
+    assert on.instance("a", "Layer") is on.instance("a", "Layer") and on.next_try(wanted) is None
+    with pytest.raises(CapabilityUnavailableError):
+        on.instance("b", "Layer")

@@ -8,14 +8,14 @@ from helpers import T0, T1, T2, registry, seed
 from pyspark.sql import functions as F
 
 from factloom import facts as ops
-from factloom.errors import LockHeldError, PiiKeyUnavailableError, StaleEpochError, UnknownTypeError, UnprotectedPiiError, VersionConflictError
+from factloom.errors import LockHeldError, PiiKeyUnavailableError, StaleEpochError, UnprotectedPiiError, VersionConflictError
 from factloom.functions import sealing
 from factloom.sources.archive import Archive
 from factloom.sources.audit import AuditTrail, merge_rows
 from factloom.sources.control import Catalog, EffectRecovery, Effects, Locks, MemorySink, NullSink, TableSink
 from factloom.sources.durable import DurableStore
 from factloom.sources.inbox import Inbox
-from factloom.sources.tables import VersionedTable
+from factloom.sources.tables import BucketedTable, VersionedTable
 
 TYPES = registry()
 
@@ -79,15 +79,42 @@ def test_inbox(spark, base):
         box.ack(facts.select("entry_id"), 0)
 
 
-def test_unknown_types_raise_and_are_delivered_again_until_the_cap(spark, base):
+def test_bad_entries_hold_up_no_others_and_are_delivered_again_until_the_cap(spark, base):
     box = Inbox(spark, base)
-    box.append(spark.createDataFrame([("s", payload("type_from_a_newer_deploy", 1), 1)], "session_id string, payload string, seq bigint"))
-    for _ in range(5):
-        with pytest.raises(UnknownTypeError):
-            box.drain(TYPES, 1).count()
+    rows = [("s", payload("type_from_a_newer_deploy", 1), 1), ("s", payload("risk", 0.5), 2), ("t", payload("risk", "not a number"), 3), ("u", payload("email", "abstract"), 4), ("v", payload("ip", "9"), 5)]
+    box.append(spark.createDataFrame(rows, "session_id string, payload string, seq bigint"))
+    first = box.drain(TYPES, 1)
+    assert sorted((r.session_id, r.type) for r in first.collect()) == [("s", "risk"), ("v", "ip")]
+    box.ack(first.select("entry_id"), 1)
+    assert box.fresh_count() == 0 and {r.session_id: r.pending for r in box.pending_count().collect()} == {"s": 1, "t": 1, "u": 1}
+    for _ in range(4):
+        assert box.drain(TYPES, 1).count() == 0
     assert box.quarantined().count() == 0
     assert box.drain(TYPES, 1).count() == 0
-    assert [r.reason for r in box.quarantined().collect()] == ["delivered too often"]
+    assert sorted((r.session_id, r.reason, r.delivery_count) for r in box.quarantined().collect()) == [(s, "delivered too often", 6) for s in "stu"]
+    assert box.pending_count().count() == 0
+
+
+def test_untouched_buckets_stay(spark, base):
+    table = BucketedTable(spark, f"{base}/b", "k string, v bigint", "k", buckets=4)
+    rows = lambda *r: spark.createDataFrame(list(r), "k string, v bigint")
+    add = lambda new: lambda old: old.unionByName(new)
+    first = rows(*[(f"k{i}", i) for i in range(40)])
+    table.change(first, 1, add(first))
+    before = set(table.manifest()["parts"])
+    assert len(before) == 4
+    more = rows(("k1", 100))
+    table.change(more, 2, add(more), expected=1, note={"batch": 3})
+    after = set(table.manifest()["parts"])
+    assert len(before & after) == 3 and table.manifest()["batch"] == 3 and table.max_epoch() == 2
+    assert sorted(table.read().collect()) == sorted([*first.collect(), *more.collect()])
+    with pytest.raises(VersionConflictError):
+        table.change(more, 2, add(more), expected=1)
+    with pytest.raises(StaleEpochError):
+        table.change(more, 1, add(more))
+    table.expire(keep=1)
+    assert table.read().count() == 41
+    assert BucketedTable(spark, f"{base}/b", "k string, v bigint", "k", buckets=9).buckets() == 4
 
 
 def docs(spark, *rows):
@@ -209,26 +236,38 @@ def test_leases(spark, base):
 def test_effects_happen_once(spark, base):
     fx = Effects(spark, base)
     done = []
-    for _ in range(3):
-        with fx.once("s", "mail", 1) as go:
+    for op in ("a", "a", "b"):
+        with fx.once("s", op, "mail", 1) as go:
             if go:
-                done.append(1)
-    assert done == [1] and fx.state("s", "mail") == "committed"
-    with pytest.raises(RuntimeError), fx.once("s", "bad", 1) as go:
+                done.append(op)
+    assert done == ["a", "b"] and fx.state("s", "a", "mail") == "committed"  # one key of two operators is two effects
+    with pytest.raises(RuntimeError), fx.once("s", "a", "bad", 1) as go:
         assert go
         raise RuntimeError
-    with fx.once("s", "bad", 1) as go:
+    with fx.once("s", "a", "bad", 1) as go:
         assert go
-    fx._put("s", "lost", "pending:1")
-    with fx.once("s", "lost", 2, EffectRecovery.SKIP) as go:
+    fx._put("s", "a", "lost", "pending:1")
+    with fx.once("s", "a", "lost", 2, EffectRecovery.SKIP) as go:
         assert not go
-    with fx.once("s", "lost", 2, EffectRecovery.RERUN) as go:
+    with fx.once("s", "a", "lost", 2) as go:
         assert go
-    fx._put("s", "newer", "pending:9")
-    with pytest.raises(StaleEpochError), fx.once("s", "newer", 2):
+    fx._put("s", "a", "newer", "pending:9")
+    with pytest.raises(StaleEpochError), fx.once("s", "a", "newer", 2):
         pass
 
 
+def test_a_lease_is_renewed_while_a_run_lasts(spark, base):
+    import time
+
+    locks = Locks(spark, base, ttl=0.6)
+    epoch = locks.acquire("s")
+    with locks.kept("s", epoch) as lost:
+        time.sleep(1.5)
+        assert locks.is_held("s") and not lost.is_set()
+    locks.release("s", epoch)
+    assert not locks.is_held("s") and len(locks.files.names("s")) <= 2 and locks.epoch("s") == epoch
+
+
 def test_catalog_and_sinks(spark, base):
     c = Catalog(operators={"a": None, "b": {"x"}, "c": set()}, credentials={("a", "cap"): {"k": 1}})
     got = c.credentials_for("a", "cap")
