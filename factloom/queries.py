@@ -6,7 +6,7 @@ is ``event_id * 7919 mod 1000003``, which has nothing to do with time, and ``eve
 
 from __future__ import annotations
 
-import json
+import uuid
 from datetime import datetime, timedelta
 
 from pyspark.sql import DataFrame, SparkSession
@@ -38,6 +38,7 @@ def event_types() -> TypeRegistry:
     types.define("view", "engagement", config=TypeConfig(ephemeral=True), value="bigint")
     types.define("click", "engagement", config=TypeConfig(), value="bigint")
     types.define("error", config=TypeConfig(audit_every_emission=True), value="bigint")
+    types.define("noise", config=TypeConfig(ephemeral=True), value="bigint")
     return types
 
 
@@ -82,6 +83,11 @@ def query(sql: str | None = None):
     return add
 
 
+def _base(spark, name):
+    """A folder of one query's own."""
+    return f"{shared_dir(spark)}/factloom/{name}-{uuid.uuid4().hex}"
+
+
 def _merged(spark, sf_dir):
     return ops.merge(event_facts(spark, sf_dir).drop("batch", "event_id"))
 
@@ -161,30 +167,30 @@ def identity_membership(spark, sf_dir):
 NEEDS = [("op_any", ()), ("op_conv", ("conversion",)), ("op_error", ("error",)), ("op_full", ("conversion", "engagement", "error")), ("op_sign_click", ("signup", "click"))]
 NEEDS_SQL = "n(operator_id, wanted) AS (VALUES " + ", ".join(f"('{o}', '{w}')" for o, ws in NEEDS for w in ws) + ")"
 LINEAGE_SQL = "lin(leaf, wanted) AS (VALUES " + ", ".join(f"('{x}', '{a}')" for x in TYPES.names() if not TYPES[x].abstract for a in sorted(TYPES.ancestors(x))) + ")"
-#: Of sparse days only: over all events every session has every type.
-SPARSE = FACTS + ", g AS (SELECT * FROM f WHERE batch = 0)"
+#: All events, but those of a value under 120 are noise: over all values every session has every type.
+GRADED = FACTS + ", g AS (SELECT * REPLACE (CASE WHEN CAST(value_key AS BIGINT) >= 12 THEN type ELSE 'noise' END AS type) FROM f)"
 
 
-def _sparse(spark, sf_dir):
-    return event_facts(spark, sf_dir).filter("batch = 0")
+def _graded(spark, sf_dir):
+    return event_facts(spark, sf_dir).withColumn("type", F.when(F.col("value").cast("bigint") >= 12, F.col("type")).otherwise("noise"))
 
 
 def _needs(spark):
     return spark.createDataFrame([(o, w) for o, ws in NEEDS for w in ws], "operator_id string, wanted string"), spark.createDataFrame([(o,) for o, _ in NEEDS], "operator_id string")
 
 
-@query(f"WITH {SPARSE}, {NEEDS_SQL}, {LINEAGE_SQL}, h AS (SELECT DISTINCT session_id, wanted FROM g JOIN lin ON g.type = lin.leaf), "
+@query(f"WITH {GRADED}, {NEEDS_SQL}, {LINEAGE_SQL}, h AS (SELECT DISTINCT session_id, wanted FROM g JOIN lin ON g.type = lin.leaf), "
        "k AS (SELECT operator_id, count(*) AS c FROM n GROUP BY 1) SELECT session_id, n.operator_id FROM h JOIN n USING (wanted) JOIN k ON k.operator_id = n.operator_id GROUP BY session_id, n.operator_id, c HAVING count(*) = c UNION ALL SELECT DISTINCT session_id, 'op_any' FROM g")
 def ready_operators(spark, sf_dir):
-    facts = _sparse(spark, sf_dir)
+    facts = _graded(spark, sf_dir)
     wants, ids = _needs(spark)
     return readiness.ready(facts.select("session_id"), readiness.present_ancestors(facts, TYPES), wants, ids)
 
 
-@query(f"WITH {SPARSE}, {NEEDS_SQL}, {LINEAGE_SQL} SELECT s.session_id, n.operator_id, n.wanted AS missing FROM (SELECT DISTINCT session_id FROM g) s, n "
+@query(f"WITH {GRADED}, {NEEDS_SQL}, {LINEAGE_SQL} SELECT s.session_id, n.operator_id, n.wanted AS missing FROM (SELECT DISTINCT session_id FROM g) s, n "
        "WHERE NOT EXISTS (SELECT 1 FROM g JOIN lin ON g.type = lin.leaf WHERE g.session_id = s.session_id AND lin.wanted = n.wanted)")
 def readiness_gap(spark, sf_dir):
-    facts = _sparse(spark, sf_dir)
+    facts = _graded(spark, sf_dir)
     return readiness.readiness_gap(facts.select("session_id"), readiness.present_ancestors(facts, TYPES), _needs(spark)[0])
 
 
@@ -208,9 +214,9 @@ def rerun_triggers_any(spark, sf_dir):
     return _rerun(spark, sf_dir, False)
 
 
-@query(f"WITH {SPARSE} SELECT session_id, (bool_or(type IN ('signup', 'purchase')) AND (bool_or(type = 'error') OR bool_or(type = 'click'))) AS satisfied FROM g GROUP BY 1")
+@query(f"WITH {GRADED} SELECT session_id, (bool_or(type IN ('signup', 'purchase')) AND (bool_or(type = 'error') OR bool_or(type = 'click'))) AS satisfied FROM g GROUP BY 1")
 def completion_all_any(spark, sf_dir):
-    facts = _sparse(spark, sf_dir)
+    facts = _graded(spark, sf_dir)
     return completion.satisfied(facts, facts.select("session_id"), completion.all_of("conversion", completion.any_of("error", "click")), TYPES)
 
 
@@ -239,7 +245,7 @@ class Deep(Capability):
 
 
 CAPS = (Net(), Geo(), Lookup(), Deep())
-AVAILABLE_SQL = f"""WITH {SPARSE}, s AS (SELECT DISTINCT session_id, namespace_id FROM g),
+AVAILABLE_SQL = f"""WITH {GRADED}, s AS (SELECT DISTINCT session_id, namespace_id FROM g),
 net AS (SELECT DISTINCT session_id FROM g WHERE type IN ('view', 'click')), geo AS (SELECT DISTINCT session_id FROM g JOIN net USING (session_id) WHERE type = 'purchase'),
 av AS (SELECT session_id, 'cap_net' AS capability_id FROM net UNION ALL SELECT session_id, 'cap_geo' FROM geo UNION ALL SELECT session_id, 'cap_alt' FROM s UNION ALL SELECT session_id, 'cap_deep' FROM net)"""
 
@@ -250,14 +256,14 @@ def _available(spark, facts):
 
 @query(AVAILABLE_SQL + " SELECT * FROM av")
 def capability_available(spark, sf_dir):
-    return _available(spark, _sparse(spark, sf_dir))
+    return _available(spark, _graded(spark, sf_dir))
 
 
 @query(AVAILABLE_SQL + ", k(capability_id, kind) AS (VALUES ('cap_net', 'network'), ('cap_geo', 'lookup'), ('cap_alt', 'lookup'), ('cap_alt', 'backup'), ('cap_deep', 'deep')) "
        "SELECT session_id, kind, capability_id, CAST(row_number() OVER (PARTITION BY session_id, kind ORDER BY CASE WHEN namespace_id IN ('1', '3') AND capability_id = 'cap_geo' THEN 0 ELSE 2147483647 END, capability_id) AS INTEGER) AS rank FROM av JOIN k USING (capability_id) JOIN s USING (session_id)")
 def provider_resolution(spark, sf_dir):
     """Namespaces 1 and 3 prefer cap_geo."""
-    facts = _sparse(spark, sf_dir)
+    facts = _graded(spark, sf_dir)
     kinds = spark.createDataFrame([(c.capability_id, k) for c in CAPS for k in c.kinds], "capability_id string, kind string")
     catalog = control.Catalog(preferred={"1": ("cap_geo",), "3": ("cap_geo",)})
     preferred = facts.select("session_id", "namespace_id").distinct().join(F.broadcast(catalog.preferences(spark)), "namespace_id").drop("namespace_id")
@@ -325,10 +331,10 @@ class Report(Aggregator):
 
 
 def _seed(spark, sf_dir):
-    return _sparse(spark, sf_dir).drop("batch", "event_id", "value_key")
+    return _graded(spark, sf_dir).drop("batch", "event_id", "value_key")
 
 
-CHAIN_SQL = f"""WITH {SPARSE}, d AS (SELECT DISTINCT session_id, type, value_key FROM g),
+CHAIN_SQL = f"""WITH {GRADED}, d AS (SELECT DISTINCT session_id, type, value_key FROM g),
 ta AS (SELECT session_id, 'tally' AS type, count(*) AS v FROM d WHERE type = 'purchase' GROUP BY 1),
 ri AS (SELECT ta.session_id, 'risk' AS type, count(*) * 10 + min(ta.v) AS v FROM ta JOIN d ON d.session_id = ta.session_id AND d.type = 'error' GROUP BY 1),
 al AS (SELECT session_id, 'alert' AS type, v FROM ri WHERE v > 30),
@@ -365,7 +371,7 @@ class Pulse(Operator):
         return ctx.sessions.join(last, "session_id", "left").select("session_id", F.lit("pulse").alias("type"), (F.coalesce("v", F.lit(0)) + 1).cast("string").alias("value"))
 
 
-@query(f"WITH {SPARSE}, s AS (SELECT DISTINCT session_id FROM g WHERE type = 'purchase') SELECT session_id, CAST(v AS VARCHAR) AS value FROM s, (VALUES (1), (2), (3)) AS t(v)")
+@query(f"WITH {GRADED}, s AS (SELECT DISTINCT session_id FROM g WHERE type = 'purchase') SELECT session_id, CAST(v AS VARCHAR) AS value FROM s, (VALUES (1), (2), (3)) AS t(v)")
 def bounded_cycle(spark, sf_dir):
     flow = Flow("cycle", _chain_types(), [Pulse])
     return Engine(spark).run(flow, _seed(spark, sf_dir), now=T0).facts.filter("type = 'pulse'").select("session_id", "value")
@@ -375,7 +381,7 @@ def bounded_cycle(spark, sf_dir):
        "SELECT ri.session_id AS key, '{\"n\":' || CAST(n.n AS VARCHAR) || '}' AS document, 1::BIGINT AS version, 'final' AS status FROM ri JOIN n USING (session_id)")
 def aggregated_documents(spark, sf_dir):
     """The flow with its aggregator: one final document for each session that has a risk."""
-    base = f"{shared_dir(spark)}/factloom/engine-{datetime.now().timestamp()}"
+    base = _base(spark, "engine")
     flow = Flow("report", _chain_types(), [Tally, Risk, Alert], [Report])
     docs = Engine(spark, base).run(flow, _seed(spark, sf_dir), now=T0).documents
     return docs.select("key", "document", "version", "status")
@@ -434,24 +440,28 @@ def occ_upsert_versions(spark, sf_dir):
     return durable.versions(_writes(spark, sf_dir), ("session_id",), order="event_id").select("session_id", "event_id", "version")
 
 
-def _documents(facts, batch, status):
-    return facts.filter(F.col("batch") == batch).groupBy(F.col("session_id").alias("key")).agg(F.max("value_key").alias("document")).select(F.lit("t").alias("table_name"), "key", "document", F.lit(status).alias("status"), F.lit(T0).cast("timestamp_ntz").alias("updated_at"), F.lit(1).cast("bigint").alias("epoch"), F.lit(0).cast("bigint").alias("version"))
+def _documents(facts, status):
+    return facts.groupBy(F.col("session_id").alias("key")).agg(F.max("value_key").alias("document")).select(F.lit("t").alias("table_name"), "key", "document", F.lit(status).alias("status"), F.lit(T0).cast("timestamp_ntz").alias("updated_at"), F.lit(1).cast("bigint").alias("epoch"), F.lit(0).cast("bigint").alias("version"))
 
 
-@query(f"WITH {FACTS}, x AS (SELECT session_id AS key, max(value_key) AS document FROM f WHERE batch = 1 GROUP BY 1), y AS (SELECT session_id AS key, max(value_key) AS document FROM f WHERE batch = 2 GROUP BY 1) "
+@query(f"WITH {FACTS}, x AS (SELECT session_id || type AS key, max(value_key) AS document FROM f WHERE batch < 2 GROUP BY 1), y AS (SELECT session_id || type AS key, max(value_key) AS document FROM f WHERE batch >= 2 GROUP BY 1) "
        "SELECT coalesce(x.key, y.key) AS key, coalesce(x.document, y.document) AS document, CASE WHEN x.key IS NOT NULL THEN 'final' ELSE 'in_progress' END AS status, 1::BIGINT AS version FROM x FULL JOIN y ON x.key = y.key")
 def interim_never_downgrades(spark, sf_dir):
-    """Final documents of batch 1, then interim ones of batch 2: the final ones stay at their version."""
-    facts = event_facts(spark, sf_dir)
-    stored = durable.settle(spark.createDataFrame([], durable.DOCUMENT_DDL), _documents(facts, 1, durable.FINAL))
-    return durable.settle(stored, _documents(facts, 2, durable.INTERIM)).select("key", "document", "status", "version")
+    """Final documents of the first two batches, then interim ones of the others: the final ones stay at their version."""
+    facts = event_facts(spark, sf_dir).withColumn("session_id", F.concat("session_id", "type"))
+    stored = durable.settle(spark.createDataFrame([], durable.DOCUMENT_DDL), _documents(facts.filter("batch < 2"), durable.FINAL))
+    return durable.settle(stored, _documents(facts.filter("batch >= 2"), durable.INTERIM)).select("key", "document", "status", "version")
 
 
-@query(f"WITH {FACTS}, k AS (SELECT DISTINCT session_id, type AS operator_id FROM f WHERE batch = 3) SELECT DISTINCT session_id, type AS operator_id FROM f WHERE batch = 4 AND NOT EXISTS (SELECT 1 FROM k WHERE k.session_id = f.session_id AND k.operator_id = f.type)")
+@query(f"WITH {FACTS}, k AS (SELECT DISTINCT session_id, type AS operator_id FROM f WHERE batch < 5 AND value_key > '5') SELECT DISTINCT session_id, type AS operator_id, 2::BIGINT AS epoch FROM f "
+       "WHERE batch >= 5 AND NOT EXISTS (SELECT 1 FROM k WHERE k.session_id = f.session_id AND k.operator_id = f.type) UNION ALL SELECT session_id, operator_id, 1 FROM k")
 def contribution_once(spark, sf_dir):
-    facts = event_facts(spark, sf_dir).select("session_id", F.col("type").alias("operator_id"), "batch")
-    done = facts.filter("batch = 3").select("session_id", "operator_id")
-    return facts.filter("batch = 4").select("session_id", "operator_id").distinct().join(done, ["session_id", "operator_id"], "left_anti")
+    """The store's marks after early contributions under epoch 1 and late ones under epoch 2: each pair has one mark, the first."""
+    facts = event_facts(spark, sf_dir).select("session_id", F.col("type").alias("operator_id"), "batch", "value_key")
+    store = durable.DurableStore(spark, _base(spark, "marks"))
+    store.mark_contributions(facts.filter("batch < 5 and value_key > '5'"), 1)
+    store.mark_contributions(facts.filter("batch >= 5"), 2)
+    return store.marks.read()
 
 
 def _archive_rows(facts):
@@ -467,13 +477,43 @@ def archive_fold(spark, sf_dir):
     return archive.fold(_archive_rows(event_facts(spark, sf_dir))).select("session_id", "type", "value_hash", "retrieved_by", "first_retrieved", "last_retrieved", "epoch")
 
 
-@query(ARCHIVE_SQL)
-def archive_read_through_buffer(spark, sf_dir):
-    """Half is flushed, half still buffered; a read sees both."""
+KEYS = {str(n): bytes([65 + n]) * 16 for n in range(4)}
+ARCHIVED = f"WITH {FACTS} SELECT namespace_id, session_id, type, value_key AS value, arg_min(retrieved_by, seq) AS retrieved_by, arg_min(ts, seq) AS first_retrieved, max(ts) AS last_retrieved, max(CASE WHEN batch < 5 THEN 1 ELSE 2 END)::BIGINT AS epoch FROM f WHERE type <> 'view' GROUP BY session_id, namespace_id, type, value_key"
+
+
+def _vault(spark, sf_dir, retention=None):
+    """An archive with half of the events flushed and half still buffered; sign-ups are personal data."""
+    vault = archive.Archive(spark, _base(spark, "archive"), TYPES, sealing.CipherProvider(KEYS), retention)
     facts = event_facts(spark, sf_dir)
-    flushed = materialize(archive.fold(_archive_rows(facts.filter("batch < 5"))), "archive")
-    buffered = _archive_rows(facts.filter("batch >= 5"))
-    return archive.fold(flushed.unionByName(buffered)).select("session_id", "type", "value_hash", "retrieved_by", "first_retrieved", "last_retrieved", "epoch")
+    for epoch, half in ((1, "batch < 5"), (2, "batch >= 5")):
+        vault.archive(facts.filter(half).drop("batch", "event_id"), epoch)
+        if epoch == 1:
+            vault.flush(epoch)
+    return vault
+
+
+@query(ARCHIVED)
+def archive_read_through_buffer(spark, sf_dir):
+    """A read sees flushed and buffered rows alike, opened; ephemeral types are not there."""
+    return _vault(spark, sf_dir).read().select("namespace_id", "session_id", "type", "value", "retrieved_by", "first_retrieved", "last_retrieved", "epoch")
+
+
+@query(ARCHIVED.replace("value_key AS value", "CASE WHEN type = 'signup' THEN NULL ELSE value_key END AS value").replace("GROUP BY session_id, namespace_id, type, value_key", "GROUP BY session_id, namespace_id, type, value_key HAVING max(ts) + INTERVAL 7 DAY >= TIMESTAMP '2024-01-25'"))
+def archive_retention(spark, sf_dir):
+    """Sealed rows within seven days of 25 January: personal values cannot be read, others can."""
+    rows = _vault(spark, sf_dir, timedelta(days=7)).read(F.lit(datetime(2024, 1, 25)).cast("timestamp_ntz"), unseal=False)
+    value = F.when(~F.col("sealed"), F.col("value"))
+    return rows.select("namespace_id", "session_id", "type", value.alias("value"), "retrieved_by", "first_retrieved", "last_retrieved", "epoch")
+
+
+@query(f"WITH {FACTS}, k AS (SELECT session_id, type, value_key FROM f WHERE type <> 'view' AND batch >= 5 GROUP BY ALL), a AS (SELECT session_id, type, value_key FROM f WHERE type <> 'view' GROUP BY ALL) "
+       "SELECT (SELECT count(*) FROM f WHERE type <> 'view' AND batch >= 5) AS buffered, (SELECT count(*) FROM f WHERE type <> 'view' AND batch >= 5) AS flushed, 0::BIGINT AS left_over, (SELECT count(*) FROM a) AS stored, (SELECT count(*) FROM a WHERE type = 'signup') AS sealed")
+def archive_flush(spark, sf_dir):
+    """How much is buffered before and after a flush, and what is stored then."""
+    vault = _vault(spark, sf_dir)
+    buffered = vault.buffered_count()
+    flushed = vault.flush(2)
+    return vault.table.read().agg(F.lit(buffered).cast("bigint").alias("buffered"), F.lit(flushed).cast("bigint").alias("flushed"), F.lit(vault.buffered_count()).cast("bigint").alias("left_over"), F.count(F.lit(1)).alias("stored"), F.count_if("sealed").alias("sealed"))
 
 
 @query(f"WITH {FACTS}, o AS (SELECT session_id, type, CASE WHEN row_number() OVER (PARTITION BY session_id, type, value_key ORDER BY seq) = 1 THEN 'ADDED' ELSE 'UPDATED' END AS outcome FROM f) "
@@ -508,20 +548,57 @@ def inbox_poison_split(spark, sf_dir):
     return good.select("event_id", F.lit(False).alias("poison")).unionByName(bad.select("event_id", F.lit(True).alias("poison")))
 
 
-@query(f"WITH {FACTS} SELECT session_id, type, value_key, count(*) AS delivery_count FROM f GROUP BY ALL HAVING count(*) > 5")
-def delivery_cap_quarantine(spark, sf_dir):
-    """Every observation of an identity counts as a delivery; beyond five it is quarantined."""
-    seen = event_facts(spark, sf_dir).groupBy(*IDENTITY).agg(F.count(F.lit(1)).alias("delivery_count"))
-    return inbox.over_delivered(seen)
+def _sent(spark, sf_dir, what="inbox"):
+    """An inbox that holds all events as producers sent them; every seventeenth is of a type that nobody here knows."""
+    box = inbox.Inbox(spark, _base(spark, what))
+    rows = _wire(spark, sf_dir).withColumn("payload", F.when(F.col("event_id") % 17 == 0, F.lit('{"type":"from_a_newer_deploy","value":1}')).otherwise(F.col("payload")))
+    box.append(rows.select("session_id", "payload", "seq"))
+    return box
+
+
+#: kind of every sent entry: poison is cut short or has no type, unknown cannot be applied yet.
+SENT = FACTS + """, w AS (SELECT session_id, seq, type, value_key, CASE WHEN event_id % 17 = 0 THEN 'unknown' WHEN event_id % 11 = 0 OR event_id % 13 = 0 THEN 'poison' ELSE 'good' END AS kind,
+row_number() OVER (PARTITION BY session_id ORDER BY seq) AS n FROM f)"""
+
 
+@query(f"WITH {SENT} SELECT session_id, seq, type, value_key FROM w WHERE kind = 'good'")
+def inbox_drain(spark, sf_dir):
+    """What one drain gives: every good entry as a fact; poison and entries of unknown types hold up none of them."""
+    facts = _sent(spark, sf_dir).drain(TYPES, 1)
+    return facts.select("session_id", F.col("ins_seq").alias("seq"), "type", F.col("value").alias("value_key"))
 
-@query(f"WITH {FACTS}, c AS (SELECT session_id, seq, row_number() OVER (PARTITION BY session_id ORDER BY seq) AS n, event_id FROM f) SELECT event_id, session_id FROM c WHERE n <= 3")
+
+@query(f"WITH {SENT} SELECT session_id, seq, 1 AS delivery_count FROM w WHERE n <= 3")
 def inbox_bounded_consume(spark, sf_dir):
-    """The first three entries of each session in order of arrival."""
-    from pyspark.sql import Window
+    """The first three entries of each session in order of arrival, claimed by the inbox."""
+    return _sent(spark, sf_dir).consume(1, 3).select("session_id", "seq", "delivery_count")
+
+
+@query(f"WITH {SENT} SELECT session_id, seq, 2 AS delivery_count FROM w WHERE n <= 3 AND kind <> 'good'")
+def inbox_redelivery(spark, sf_dir):
+    """Of three claimed entries a session the good ones are acknowledged; the others are reclaimed and counted again."""
+    box = _sent(spark, sf_dir)
+    claimed = materialize(box.consume(1, 3), "claimed")
+    good = inbox.split_poison(claimed)[0].filter(~F.col("payload").contains("from_a_newer_deploy"))
+    box.ack(good, 1)
+    return box.reclaim(1).select("session_id", "seq", "delivery_count")
 
-    first = F.row_number().over(Window.partitionBy("session_id").orderBy("ins_seq"))
-    return event_facts(spark, sf_dir).withColumn("n", first).filter("n <= 3").select("event_id", "session_id")
+
+@query(f"WITH {SENT} SELECT session_id, count(*) AS pending FROM w WHERE kind = 'unknown' GROUP BY 1")
+def inbox_pending(spark, sf_dir):
+    """After a drain and its acknowledgement only entries of unknown types are open."""
+    box = _sent(spark, sf_dir)
+    box.ack(box.drain(TYPES, 1).select("entry_id"), 1)
+    return box.pending_count()
+
+
+@query(f"WITH {SENT} SELECT session_id, seq, CASE WHEN kind = 'poison' THEN 'poison' ELSE 'delivered too often' END AS reason, CASE WHEN kind = 'poison' THEN 1 ELSE 3 END AS delivery_count FROM w WHERE kind <> 'good'")
+def delivery_cap_quarantine(spark, sf_dir):
+    """What three drains with a cap of two deliveries put into quarantine, with the reason; good entries are acknowledged at once."""
+    box = _sent(spark, sf_dir)
+    for _ in range(3):
+        box.ack(box.drain(TYPES, 1, max_deliveries=2).select("entry_id"), 1)
+    return box.quarantined().join(box.entries.read().select("entry_id", "seq"), "entry_id").select("session_id", "seq", "reason", "delivery_count")
 
 
 @query(f"WITH RECURSIVE {FACTS}, d AS (SELECT session_id, min(ts) + INTERVAL 6 HOUR AS due FROM f GROUP BY 1 UNION ALL "
@@ -553,7 +630,7 @@ def park_points(spark, sf_dir):
 
 @query()
 def token_bucket_admission(spark, sf_dir):
-    """One token an hour for each namespace, three at most; waiting depends on rounding, so tests hold it against a plain loop."""
+    """One token an hour for each session, three at most; waiting depends on rounding, so tests hold it against a plain loop."""
     return scheduling.token_bucket(event_facts(spark, sf_dir), "session_id", "first_retrieved", 3.0, 1 / 3600, "event_id")
 
 
@@ -599,8 +676,7 @@ def lite_events(spark, sf_dir):
 @query(f"WITH {MERGED} SELECT session_id, type, value_key, retrieved_by, last_retrieved FROM m")
 def streaming_merge(spark, sf_dir):
     """The events as a stream of files, merged micro-batch by micro-batch: the batch answer."""
-    tag = f"{datetime.now().timestamp()}"
-    base = f"{shared_dir(spark)}/factloom/stream-{tag}"
+    base = _base(spark, "stream")
     facts = event_facts(spark, sf_dir).drop("event_id", "value_key")
     facts.repartition(3).write.parquet(f"{base}/in")
     store = StreamingStore(spark, base, TYPES)
@@ -640,8 +716,3 @@ def effect_pending_epochs(spark, sf_dir):
     e = event_facts(spark, sf_dir)
     state = F.when(F.col("event_id") % 3 == 0, F.concat(F.lit("pending:x"), F.col("batch"))).otherwise(F.concat(F.lit("pending:"), F.col("batch")))
     return e.select("event_id", sealing.pending_epoch(state).alias("pending_epoch"))
-
-
-def describe_json(flow: Flow) -> str:
-    """A flow's graph as JSON, for tools."""
-    return json.dumps({k: sorted(v) for k, v in sorted(flow.edges.items())})
