@@ -35,7 +35,7 @@ from factloom.sources.archive import Archive
 from factloom.sources.audit import AuditTrail, event_rows, merge_rows, run_rows
 from factloom.sources.control import Catalog
 from factloom.sources.durable import FINAL, INTERIM, DurableStore
-from factloom.sources.workspace import materialize, shared_dir
+from factloom.sources.workspace import local, materialize, shared_dir
 from factloom.telemetry import Telemetry
 from factloom.types import FACT_DDL
 
@@ -95,7 +95,7 @@ class Engine:
         spark = self.spark
         have = readiness.present_ancestors(state, flow.types)
         rows = [(x.operator_id, x.policy.max_cycles, x.policy.rerun_on_new_data, _us(x.policy.debounce)) for x in nodes]
-        ids = spark.createDataFrame(rows, "operator_id string, max_cycles int, reruns boolean, debounce_us bigint")
+        ids = local(spark, rows, "operator_id string, max_cycles int, reruns boolean, debounce_us bigint")
         ok = readiness.ready(sessions, have, readiness.declared(spark, nodes, "depends_on"), ids.select("operator_id"))
         caps = self.capabilities(flow, state, sessions, have)
         if any(x.requires for x in nodes):
@@ -120,7 +120,7 @@ class Engine:
             grown = F.size(F.array_except("_caps", F.coalesce("caps", F.expr("cast(array() as array<string>)")))) > 0
             delta = pairs.filter("runs > 0 and reruns and failed_attempts = 0").select("session_id", "operator_id", "watermark").join(state.select("session_id", "type", "added_rev", "updated_rev"), "session_id")
             delta = delta.withColumn("change", F.when(F.col("added_rev") > F.col("watermark"), "added").when(F.col("updated_rev") > F.col("watermark"), "updated")).filter("change is not null")
-            hit = readiness.relevant_new_data(delta.select("session_id", "operator_id", "type", "change"), flow.types, spark.createDataFrame(wanted, "operator_id string, wanted string, added_only boolean"))
+            hit = readiness.relevant_new_data(delta.select("session_id", "operator_id", "type", "change"), flow.types, local(spark, wanted, "operator_id string, wanted string, added_only boolean"))
             pairs = pairs.join(hit.withColumn("_hit", F.lit(True)), ["session_id", "operator_id"], "left")
             again = (F.col("runs") > 0) & (F.col("failed_attempts") == 0) & F.col("reruns") & (F.coalesce("_hit", F.lit(False)) | grown)
         pairs = pairs.filter(fresh | retry | again)
@@ -134,12 +134,12 @@ class Engine:
         return out
 
     def _kinds(self, flow: Flow) -> DataFrame:
-        return self.spark.createDataFrame([(c.capability_id, k) for c in flow.capabilities for k in sorted({*c.kinds, c.capability_id})], "capability_id string, kind string")
+        return local(self.spark, [(c.capability_id, k) for c in flow.capabilities for k in sorted({*c.kinds, c.capability_id})], "capability_id string, kind string")
 
     def capabilities(self, flow: Flow, state: DataFrame, sessions: DataFrame, have: DataFrame | None = None, active_only: bool = True) -> DataFrame:
         """(session_id, capability_id) that are available now: permitted, fed, provided for, and active if there is anything to activate."""
         if not flow.capabilities:
-            return self.spark.createDataFrame([], "session_id string, capability_id string")
+            return local(self.spark, [], "session_id string, capability_id string")
         permitted = None
         if self.catalog is not None and self.catalog.capabilities:
             every = sessions.select("session_id", "namespace_id").withColumn("capability_id", F.explode(F.array(*[F.lit(c.capability_id) for c in flow.capabilities])))
@@ -149,7 +149,7 @@ class Engine:
         out = readiness.available_capabilities(sessions, have, self.spark, flow.capabilities, permitted)
         if active_only and self.activator is not None and Activator.needed(flow.capabilities):
             passive = [c.capability_id for c in flow.capabilities if type(c).activate.__qualname__ == "Capability.activate"]
-            live = self.spark.createDataFrame(sorted(self.activator.live, key=repr), "namespace_id string, capability_id string")
+            live = local(self.spark, sorted(self.activator.live, key=repr), "namespace_id string, capability_id string")
             named = out.join(sessions.select("session_id", "namespace_id"), "session_id")
             out = named.filter(F.col("capability_id").isin(passive)).select("session_id", "capability_id").unionByName(named.join(F.broadcast(live), ["namespace_id", "capability_id"], "left_semi").select("session_id", "capability_id"))
         return out
@@ -159,7 +159,7 @@ class Engine:
         if self.catalog is not None and self.catalog.preferred:
             preferred = sessions.select("session_id", "namespace_id").join(F.broadcast(self.catalog.preferences(self.spark)), "namespace_id").drop("namespace_id")
         else:
-            preferred = self.spark.createDataFrame([], "session_id string, capability_id string, position int")
+            preferred = local(self.spark, [], "session_id string, capability_id string, position int")
         return readiness.resolve_providers(self.capabilities(flow, state, sessions), self._kinds(flow), preferred)
 
     def _activate(self, flow: Flow, state: DataFrame, sessions: DataFrame, now: datetime, result: Result) -> set[tuple[str, str]]:
@@ -248,8 +248,8 @@ class Engine:
         More than ``max_steps`` supersteps raise :class:`StepLimitError`.
         """
         spark, tele = self.spark, Telemetry()
-        state = spark.createDataFrame([], FACT_DDL) if state is None else state
-        op_state = spark.createDataFrame([], OP_STATE_DDL) if op_state is None else op_state
+        state = local(spark, [], FACT_DDL) if state is None else state
+        op_state = local(spark, [], OP_STATE_DDL) if op_state is None else op_state
         for name, kind in (("due_at", "timestamp_ntz"), ("caps", "array<string>")):
             op_state = op_state if name in op_state.columns else op_state.withColumn(name, F.lit(None).cast(kind))
         flow.types.check_known(seed)
@@ -310,7 +310,7 @@ class Engine:
             logs.append(kept.filter("outcome is not null").select(F.lit(step).alias("step"), "session_id", "operator_id", "outcome", "detail", F.lit(t).cast("timestamp_ntz").alias("at")))
             tele.count_runs(logs[-1])
             audit += [run_rows(logs[-1])] if self.audit is not None else []
-        runs = spark.createDataFrame([], RUN_LOG_DDL)
+        runs = local(spark, [], RUN_LOG_DDL)
         for part in logs:
             runs = runs.unionByName(part)
         done = conditions.satisfied(state, sessions, flow.completes_when, flow.types) if flow.completes_when is not None else sessions.select("session_id", F.lit(True).alias("satisfied"))
@@ -327,7 +327,7 @@ class Engine:
             named = lambda rows: rows.withColumn("at", F.lit(t).cast("timestamp_ntz"))
             audit.append(named(event_rows(result.sessions.filter("status = 'PARKED'"), "session_parked")))
             if result.activated:
-                told = spark.createDataFrame([(n, c, o, d, at) for at, n, c, o, d in result.activated], "namespace_id string, subject string, outcome string, detail string, at timestamp_ntz")
+                told = local(spark, [(n, c, o, d, at) for at, n, c, o, d in result.activated], "namespace_id string, subject string, outcome string, detail string, at timestamp_ntz")
                 audit.append(sessions.select("session_id", "namespace_id").join(F.broadcast(told), "namespace_id").select("session_id", F.lit("capability").alias("kind"), "subject", "outcome", "detail", F.lit(1).cast("bigint").alias("n"), "at"))
             rows = audit[0].drop("epoch").withColumn("_part", F.lit(0))
             for no, part in enumerate(audit[1:], 1):
@@ -352,7 +352,7 @@ class Engine:
 
     def _stalled(self, flow: Flow, state: DataFrame, op_state: DataFrame, sessions: DataFrame, open_sessions: DataFrame) -> DataFrame:
         """Operators of open sessions that never ran though declarations say that they could be reached; a warning tells their number."""
-        ids = self.spark.createDataFrame([(x.operator_id,) for x in flow.pruned], "operator_id string").agg(F.collect_set("operator_id").alias("_ids"))
+        ids = local(self.spark, [(x.operator_id,) for x in flow.pruned], "operator_id string").agg(F.collect_set("operator_id").alias("_ids"))
         mine = sessions.join(open_sessions, "session_id", "left_semi")
         every = mine.withColumn("_k", F.lit(1)).join(F.broadcast(ids.withColumn("_k", F.lit(1))), "_k").select("session_id", F.explode("_ids").alias("operator_id"))
         pending = every.join(op_state.filter("runs > 0"), ["session_id", "operator_id"], "left_anti")
@@ -382,7 +382,7 @@ class Engine:
         Rows of unregistered or abstract types are no facts: the sessions that emitted them failed, what else they emitted stays.
         """
         columns = "session_id string, type string, value string, retrieved_by string, ins_seq bigint"
-        out, failures = self.spark.createDataFrame([], columns), self.spark.createDataFrame([], FAILURE_DDL)
+        out, failures = local(self.spark, [], columns), local(self.spark, [], FAILURE_DDL)
         known = [x for x in flow.types.names() if not flow.types[x].abstract]
         for no, op, parts, failed in done:
             failures = failures if failed is None else failures.unionByName(failed)
@@ -411,7 +411,7 @@ class Engine:
         Watermarks move to the revision seen at launch, unless a retry is due; a terminal failure moves them too. A run that the hard deadline cut short did not happen.
         """
         rows = [(x.operator_id, x.policy.retry.max_attempts, _us(x.policy.retry.base), float(x.policy.retry.factor), float(x.policy.retry.jitter), x.policy.max_cycles) for x in flow.pruned]
-        policies = self.spark.createDataFrame(rows, "operator_id string, attempts int, base_us bigint, factor double, jitter double, max_cycles int")
+        policies = local(self.spark, rows, "operator_id string, attempts int, base_us bigint, factor double, jitter double, max_cycles int")
         first = failures.groupBy("session_id", "operator_id").agg(F.min("detail").alias("detail"))
         ran = todo.join(F.broadcast(policies), "operator_id").join(revision, "session_id", "left").join(first, ["session_id", "operator_id"], "left")
         go, broke = F.col("runnable"), F.col("detail").isNotNull()
@@ -437,7 +437,7 @@ class Engine:
         """
         spark, store = self.spark, DurableStore(self.spark, f"{self.base}/durable")
         have = readiness.present_ancestors(result.facts, flow.types)
-        ids = spark.createDataFrame([(x.operator_id,) for x in flow.aggregators], "operator_id string")
+        ids = local(spark, [(x.operator_id,) for x in flow.aggregators], "operator_id string")
         finished = result.sessions.filter("status = 'COMPLETED'").select("session_id")
         ready = readiness.ready(sessions, have, readiness.declared(spark, flow.aggregators, "depends_on"), ids)
         ready = materialize(ready.join(finished.withColumn("done", F.lit(True)), "session_id", "left").fillna(False, ["done"]), "aggregate")

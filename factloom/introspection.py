@@ -10,6 +10,7 @@ from factloom.engine import Engine, Result
 from factloom.flow import Flow
 from factloom.plans import completion as conditions
 from factloom.plans import readiness
+from factloom.sources.workspace import local
 
 
 def counts_by_type(facts: DataFrame) -> DataFrame:
@@ -23,7 +24,7 @@ def describe(flow: Flow, facts: DataFrame, op_state: DataFrame | None = None) ->
     have = readiness.present_ancestors(facts, flow.types)
     nodes = [*flow.pruned, *flow.aggregators]
     wants = readiness.declared(spark, nodes, "depends_on")
-    ids = spark.createDataFrame([(x.operator_id,) for x in nodes], "operator_id string")
+    ids = local(spark, [(x.operator_id,) for x in nodes], "operator_id string")
     ready = readiness.ready(sessions, have, wants, ids)
     if op_state is not None:
         ready = ready.join(op_state.filter("runs > 0"), ["session_id", "operator_id"], "left_anti")

@@ -16,6 +16,7 @@ from factloom.flow import Flow
 from factloom.operators.activation import Activator
 from factloom.plans.graph import validate
 from factloom.sources.control import EVENT_DDL, NullSink
+from factloom.sources.workspace import local
 
 
 @dataclass
@@ -38,7 +39,7 @@ def events_of(result: Result) -> DataFrame:
     ran = result.runs.select("session_id", F.lit("operator_finished").alias("kind"), F.col("operator_id").alias("subject"), "outcome", "detail", (F.col("step") * 2).cast("bigint").alias("seq"))
     facts = result.facts.select("session_id", F.lit("data_point_added").alias("kind"), F.col("type").alias("subject"), F.lit("added").alias("outcome"), F.col("value").alias("detail"), (F.col("added_rev") * 2 - 1).cast("bigint").alias("seq"))
     ended = result.sessions.select("session_id", F.lit("session_finished").alias("kind"), nothing.alias("subject"), F.col("status").alias("outcome"), nothing.alias("detail"), F.lit(2**62).cast("bigint").alias("seq"))
-    out = spark.createDataFrame([], EVENT_DDL)
+    out = local(spark, [], EVENT_DDL)
     for part in (begun, ran, facts, ended):
         out = out.unionByName(part.select(*names))
     return out

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from factloom.errors import DuplicateIdError, UnboundedCycleError
 from factloom.operators.base import Aggregator, Capability, Operator
+from factloom.sources.workspace import local
 from factloom.types import TypeRegistry
 
 Node = type[Operator] | type[Aggregator] | type[Capability] | Operator | Aggregator | Capability
@@ -145,7 +146,7 @@ def prune(operators: Sequence[Operator], aggregators: Sequence[Aggregator], type
 
 def frames(spark: SparkSession, edges: dict[str, set[str]]) -> tuple[DataFrame, DataFrame]:
     """(nodes, edges) as DataFrames."""
-    return spark.createDataFrame([(x,) for x in sorted(edges)], "node string"), spark.createDataFrame([(a, b) for a in sorted(edges) for b in sorted(edges[a])], "src string, dst string")
+    return local(spark, [(x,) for x in sorted(edges)], "node string"), local(spark, [(a, b) for a in sorted(edges) for b in sorted(edges[a])], "src string, dst string")
 
 
 def safe_name(name: str) -> str:

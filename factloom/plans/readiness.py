@@ -11,12 +11,13 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from factloom.plans.graph import Node, node_id
+from factloom.sources.workspace import local, materialize
 from factloom.types import TypeRegistry
 
 
 def declared(spark: SparkSession, nodes: Sequence[Node], what: str) -> DataFrame:
     """(operator_id, wanted) of ``depends_on``, ``uses`` or ``requires``."""
-    return spark.createDataFrame([(node_id(x), w) for x in nodes for w in sorted(set(getattr(x, what)))], "operator_id string, wanted string")
+    return local(spark, [(node_id(x), w) for x in nodes for w in sorted(set(getattr(x, what)))], "operator_id string, wanted string")
 
 
 def present_ancestors(facts: DataFrame, types: TypeRegistry) -> DataFrame:
@@ -66,16 +67,14 @@ def available_capabilities(sessions: DataFrame, have: DataFrame, spark: SparkSes
 
     ``permitted``: (session_id, capability_id); None permits all. Rounds are bounded by the number of capabilities.
     """
-    ids = spark.createDataFrame([(c.capability_id,) for c in capabilities], "operator_id string")
-    kinds = spark.createDataFrame([(c.capability_id, k) for c in capabilities for k in {*c.kinds, c.capability_id}], "capability_id string, wanted string")
+    ids = local(spark, [(c.capability_id,) for c in capabilities], "operator_id string")
+    kinds = local(spark, [(c.capability_id, k) for c in capabilities for k in {*c.kinds, c.capability_id}], "capability_id string, wanted string")
     fit = ready(sessions, have, declared(spark, capabilities, "depends_on"), ids).withColumnRenamed("operator_id", "capability_id")
     if permitted is not None:
         fit = fit.join(permitted, ["session_id", "capability_id"], "left_semi")
     needs = declared(spark, capabilities, "requires")
-    provided = spark.createDataFrame([], "session_id string, wanted string")
+    provided = local(spark, [], "session_id string, wanted string")
     if any(c.requires for c in capabilities):
-        from factloom.sources.workspace import materialize
-
         fit = materialize(fit, "fit")  # every round reads it
     out = fit.limit(0)
     for _ in range(_depth(capabilities)):
@@ -129,9 +128,9 @@ def reachable_pending(have: DataFrame, sessions: DataFrame, pending: DataFrame,
     A least fixpoint in as many rounds as the longest chain of declarations, not of data.
     """
     spark = have.sparkSession
-    ids = spark.createDataFrame([(node_id(x),) for x in nodes], "operator_id string")
+    ids = local(spark, [(node_id(x),) for x in nodes], "operator_id string")
     wants = declared(spark, nodes, "depends_on")
-    makes = spark.createDataFrame([(node_id(x), a) for x in nodes for p in getattr(x, "produces", ()) for leaf in types.leaves(p) for a in types.ancestors(leaf)], "operator_id string, wanted string").distinct()
+    makes = local(spark, [(node_id(x), a) for x in nodes for p in getattr(x, "produces", ()) for leaf in types.leaves(p) for a in types.ancestors(leaf)], "operator_id string, wanted string").distinct()
     open_ = pending.select("session_id", "operator_id")
     if provided is not None:
         open_ = open_.join(ready(sessions, provided, declared(spark, nodes, "requires"), ids), ["session_id", "operator_id"], "left_semi")

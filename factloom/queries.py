@@ -21,7 +21,7 @@ from factloom.lite import events_of
 from factloom.operators.base import Aggregator, Capability, Context, Operator, OperatorPolicy, RerunOn, RetryPolicy
 from factloom.plans import completion, graph, readiness, scheduling
 from factloom.sources import archive, audit, control, durable, inbox
-from factloom.sources.workspace import materialize, shared_dir
+from factloom.sources.workspace import local, materialize, shared_dir
 from factloom.streaming.ingest import StreamingStore
 from factloom.types import TypeConfig, TypeRegistry
 
@@ -146,7 +146,7 @@ def first_invocation_delta(spark, sf_dir):
 @query(f"WITH {STAMPED}, b AS (SELECT DISTINCT session_id, batch FROM r WHERE best IS NULL OR last > best) SELECT session_id, count(*) AS revision FROM b GROUP BY 1")
 def revision_allocation(spark, sf_dir):
     """Each batch that changed something of a session is one revision of it."""
-    state = spark.createDataFrame([], "session_id string, namespace_id string, type string, value string, value_key string, retrieved_by string, first_retrieved timestamp_ntz, last_retrieved timestamp_ntz, added_rev bigint, updated_rev bigint, ins_seq bigint")
+    state = local(spark, [], "session_id string, namespace_id string, type string, value string, value_key string, retrieved_by string, first_retrieved timestamp_ntz, last_retrieved timestamp_ntz, added_rev bigint, updated_rev bigint, ins_seq bigint")
     facts = materialize(event_facts(spark, sf_dir), "batches")
     for b in range(10):
         state = materialize(ops.apply_batch(state, facts.filter(F.col("batch") == b).drop("batch", "event_id"), ops.revisions(state)), "state")
@@ -176,7 +176,7 @@ def _graded(spark, sf_dir):
 
 
 def _needs(spark):
-    return spark.createDataFrame([(o, w) for o, ws in NEEDS for w in ws], "operator_id string, wanted string"), spark.createDataFrame([(o,) for o, _ in NEEDS], "operator_id string")
+    return local(spark, [(o, w) for o, ws in NEEDS for w in ws], "operator_id string, wanted string"), local(spark, [(o,) for o, _ in NEEDS], "operator_id string")
 
 
 @query(f"WITH {GRADED}, {NEEDS_SQL}, {LINEAGE_SQL}, h AS (SELECT DISTINCT session_id, wanted FROM g JOIN lin ON g.type = lin.leaf), "
@@ -198,7 +198,7 @@ def _rerun(spark, sf_dir, added_only):
     delta = ops.change_set_since(ops.stamp_batches(event_facts(spark, sf_dir), "batch"), 8)
     rows = [(o, w, added_only) for o, ws in NEEDS for w in ws]
     every = delta.withColumn("operator_id", F.explode(F.array(*[F.lit(o) for o, _ in NEEDS])))
-    return readiness.relevant_new_data(every, TYPES, spark.createDataFrame(rows, "operator_id string, wanted string, added_only boolean"))
+    return readiness.relevant_new_data(every, TYPES, local(spark, rows, "operator_id string, wanted string, added_only boolean"))
 
 
 RERUN_SQL = f"WITH {STAMPED}, {NEEDS_SQL}, {LINEAGE_SQL} SELECT DISTINCT session_id, operator_id FROM st JOIN lin ON st.type = lin.leaf JOIN n ON n.wanted = lin.wanted WHERE added_rev > 8"
@@ -264,7 +264,7 @@ def capability_available(spark, sf_dir):
 def provider_resolution(spark, sf_dir):
     """Namespaces 1 and 3 prefer cap_geo."""
     facts = _graded(spark, sf_dir)
-    kinds = spark.createDataFrame([(c.capability_id, k) for c in CAPS for k in c.kinds], "capability_id string, kind string")
+    kinds = local(spark, [(c.capability_id, k) for c in CAPS for k in c.kinds], "capability_id string, kind string")
     catalog = control.Catalog(preferred={"1": ("cap_geo",), "3": ("cap_geo",)})
     preferred = facts.select("session_id", "namespace_id").distinct().join(F.broadcast(catalog.preferences(spark)), "namespace_id").drop("namespace_id")
     return readiness.resolve_providers(_available(spark, facts), kinds, preferred)
@@ -411,7 +411,7 @@ def graph_edges(spark, sf_dir):
 def backward_reachable(spark, sf_dir):
     """What the alert needs; an operator that nobody consumes is pruned."""
     kept = graph.backward_reachable([Tally(), Risk(), Alert(), Idle()], _chain_types(), ["alert"])
-    return spark.createDataFrame([(x,) for x in sorted(kept)], "node string")
+    return local(spark, [(x,) for x in sorted(kept)], "node string")
 
 
 @query(f"WITH {FACTS} SELECT namespace_id AS key, type AS field, count(DISTINCT session_id) AS cardinality FROM f GROUP BY ALL")
@@ -449,7 +449,7 @@ def _documents(facts, status):
 def interim_never_downgrades(spark, sf_dir):
     """Final documents of the first two batches, then interim ones of the others: the final ones stay at their version."""
     facts = event_facts(spark, sf_dir).withColumn("session_id", F.concat("session_id", "type"))
-    stored = durable.settle(spark.createDataFrame([], durable.DOCUMENT_DDL), _documents(facts.filter("batch < 2"), durable.FINAL))
+    stored = durable.settle(local(spark, [], durable.DOCUMENT_DDL), _documents(facts.filter("batch < 2"), durable.FINAL))
     return durable.settle(stored, _documents(facts.filter("batch >= 2"), durable.INTERIM)).select("key", "document", "status", "version")
 
 
@@ -531,7 +531,7 @@ def audit_redaction(spark, sf_dir):
 def audit_sequence(spark, sf_dir):
     """Contiguous sequence numbers for each session."""
     facts = event_facts(spark, sf_dir)
-    return audit.allocate(facts, spark.createDataFrame([], "session_id string, last bigint"), "ins_seq").select("session_id", "sequence", "type", "value_key")
+    return audit.allocate(facts, local(spark, [], "session_id string, last bigint"), "ins_seq").select("session_id", "sequence", "type", "value_key")
 
 
 def _wire(spark, sf_dir):

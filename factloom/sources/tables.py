@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factloom.errors import StaleEpochError, VersionConflictError
-from factloom.sources.workspace import Files
+from factloom.sources.workspace import Files, local
 
 
 class VersionedTable:
@@ -44,7 +44,7 @@ class VersionedTable:
     def read(self, version: int | None = None) -> DataFrame:
         parts = self.manifest(version)["parts"]
         if not parts:
-            return self.spark.createDataFrame([], self.schema)
+            return local(self.spark, [], self.schema)
         return self.spark.read.schema(self.schema).parquet(*[self.files.path(p) for p in parts])
 
     def guard(self, epoch: int) -> dict:
@@ -101,7 +101,7 @@ class BucketedTable(VersionedTable):
     def read_buckets(self, only: Iterable[int]) -> DataFrame:
         parts, wanted = self.manifest()["parts"], set(only)
         own = [p for p in parts if int(p.rpartition("=")[2]) in wanted]
-        return self.spark.read.schema(self.schema).parquet(*[self.files.path(p) for p in own]) if own else self.spark.createDataFrame([], self.schema)
+        return self.spark.read.schema(self.schema).parquet(*[self.files.path(p) for p in own]) if own else local(self.spark, [], self.schema)
 
     def change(self, rows: DataFrame, epoch: int, merge: Callable[[DataFrame], DataFrame], expected: int | None = None, note: dict | None = None) -> int:
         """Replaces the touched buckets' rows by ``merge`` of them; ``rows`` only say which buckets are touched. All other parts stay as they are."""

@@ -5,7 +5,10 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 _own: dict[str, str] = {}
 
@@ -23,6 +26,14 @@ def shared_dir(spark: SparkSession) -> str:
     return _own[app]
 
 
+def local(spark: SparkSession, rows: list, ddl: str) -> DataFrame:
+    """A small table of declarations. Unlike a frame over Python rows its size is known, so the optimizer broadcasts it and drops what meets an empty one."""
+    schema = StructType.fromDDL(ddl)
+    arrow = to_arrow_schema(schema)
+    columns = list(zip(*rows, strict=True)) if rows else [[]] * len(schema)
+    return spark.createDataFrame(pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(columns, arrow, strict=True)], schema=arrow), schema)
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Writes and rereads: later steps start from files that outlive any executor."""
     spark = df.sparkSession

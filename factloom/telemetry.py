@@ -11,6 +11,8 @@ from contextlib import contextmanager
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
+from factloom.sources.workspace import local
+
 
 class Telemetry:
     """``counters``: numbers by name; ``spans``: (name, subject, seconds)."""
@@ -53,4 +55,4 @@ class Telemetry:
 
     def table(self, spark: SparkSession) -> DataFrame:
         """(name, value) of all counters."""
-        return spark.createDataFrame(sorted(self.counters().items()), "name string, value bigint")
+        return local(spark, sorted(self.counters().items()), "name string, value bigint")

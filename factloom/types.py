@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from factloom.errors import DuplicateIdError, InvalidPayloadError, InvalidTypeError, UnknownTypeError
+from factloom.sources.workspace import local
 
 FACT_DDL = (
     "session_id string, namespace_id string, type string, value string, value_key string, retrieved_by string, first_retrieved timestamp_ntz, "
@@ -98,11 +99,11 @@ class TypeRegistry:
     def lineage(self, spark: SparkSession) -> DataFrame:
         """(leaf, ancestor), reflexive and transitive. As many rows as type pairs: metadata, never data."""
         rows = [(x, a) for x, t in sorted(self._types.items()) if not t.abstract for a in sorted(self.ancestors(x))]
-        return spark.createDataFrame(rows, "leaf string, ancestor string")
+        return local(spark, rows, "leaf string, ancestor string")
 
     def table(self, spark: SparkSession) -> DataFrame:
         rows = [(x, t.abstract, bool(t.config and t.config.pii), bool(t.config and t.config.ephemeral), bool(t.config and t.config.audit_every_emission)) for x, t in sorted(self._types.items())]
-        return spark.createDataFrame(rows, "type string, abstract boolean, pii boolean, ephemeral boolean, audit_every_emission boolean")
+        return local(spark, rows, "type string, abstract boolean, pii boolean, ephemeral boolean, audit_every_emission boolean")
 
     def flagged(self, flag: str) -> list[str]:
         return sorted(x for x, t in self._types.items() if t.config and getattr(t.config, flag))
