@@ -53,17 +53,18 @@ def cooldown_gate(arrivals: DataFrame, key: str, ts: str, cooldown: timedelta) -
     return folded.select(key, F.explode(F.aggregate("_t", start, step, lambda acc: acc["ok"])).alias("_at")).select(key, _time(F.col("_at")).alias("accepted_at"))
 
 
-def token_bucket(requests: DataFrame, key: str, ts: str, capacity: float, per_second: float, order: str) -> DataFrame:
-    """(key, order, requested_at, admitted_at): each request takes one token, waiting for it if there is none; none fails."""
-    rate = F.lit(per_second / 1e6)
-    start = F.struct(F.lit(None).cast("double").alias("at"), F.lit(float(capacity)).alias("tokens"), F.expr("cast(array() as array<struct<o:bigint,t:bigint,a:bigint>>)").alias("out"))
+def token_bucket(requests: DataFrame, key: str, ts: str, capacity: int, per_second: float, order: str) -> DataFrame:
+    """(key, order, requested_at, admitted_at): each request takes one token, waiting for it if there is none; none fails.
+
+    Whole microseconds all through: a request is admitted when the bucket, were it refilled a token at a time, owes no more than its capacity.
+    """
+    interval = round(1e6 / per_second)
+    start = F.struct(F.lit(None).cast("long").alias("at"), F.lit(None).cast("long").alias("full"), F.expr("cast(array() as array<struct<o:bigint,t:bigint,a:bigint>>)").alias("out"))
 
     def step(acc: Column, x: Column) -> Column:
-        now = F.greatest(x["t"].cast("double"), F.coalesce(acc["at"], x["t"].cast("double")))
-        filled = F.least(F.lit(float(capacity)), acc["tokens"] + (now - F.coalesce(acc["at"], now)) * rate)
-        wait = F.when(filled >= 1.0, F.lit(0.0)).otherwise((1.0 - filled) / rate)
-        at = now + wait
-        return F.struct(at.alias("at"), F.when(filled >= 1.0, filled - 1.0).otherwise(F.lit(0.0)).alias("tokens"), F.concat(acc["out"], F.array(F.struct(x["o"].alias("o"), x["t"].alias("t"), F.ceil(at).cast("long").alias("a")))).alias("out"))
+        # ``full``: when the bucket is full again. F.greatest ignores nulls.
+        at = F.greatest(x["t"], acc["at"], acc["full"] - (int(capacity) - 1) * interval)
+        return F.struct(at.alias("at"), (F.greatest(at, acc["full"]) + interval).alias("full"), F.concat(acc["out"], F.array(F.struct(x["o"].alias("o"), x["t"].alias("t"), at.alias("a")))).alias("out"))
 
     rows = requests.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(_micros(F.col(ts)).alias("t"), F.col(order).cast("long").alias("o")))).alias("_x"))
     out = rows.select(key, F.explode(F.aggregate("_x", start, step, lambda acc: acc["out"])).alias("r"))

@@ -6,19 +6,23 @@ is ``event_id * 7919 mod 1000003``, which has nothing to do with time, and ``eve
 
 from __future__ import annotations
 
+import contextlib
 import uuid
 from datetime import datetime, timedelta
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from factloom import facts as ops
 from factloom import introspection
 from factloom.engine import Engine
+from factloom.errors import VersionConflictError
 from factloom.flow import Flow
 from factloom.functions import sealing
 from factloom.lite import events_of
-from factloom.operators.base import Aggregator, Capability, Context, Operator, OperatorPolicy, RerunOn, RetryPolicy
+from factloom.manager import Manager
+from factloom.operators.activation import Activator
+from factloom.operators.base import Aggregator, Capability, Context, Operator, OperatorPolicy, RerunOn, RetryPolicy, RowOperator
 from factloom.plans import completion, graph, readiness, scheduling
 from factloom.sources import archive, audit, control, durable, inbox
 from factloom.sources.workspace import local, materialize, shared_dir
@@ -628,10 +632,13 @@ def park_points(spark, sf_dir):
     return scheduling.park_points(event_facts(spark, sf_dir), "session_id", "first_retrieved", timedelta(hours=12))
 
 
-@query()
+@query(f"""WITH RECURSIVE {FACTS}, k AS (SELECT session_id, event_id, epoch_us(ts) AS t, row_number() OVER (PARTITION BY session_id ORDER BY ts, event_id) AS n FROM f),
+b(session_id, n, event_id, t, a, tat) AS (SELECT session_id, n, event_id, t, t, t + 3600000000 FROM k WHERE n = 1 UNION ALL
+SELECT k.session_id, k.n, k.event_id, k.t, greatest(k.t, b.a, b.tat - 7200000000), greatest(k.t, b.a, b.tat) + 3600000000 FROM b JOIN k ON k.session_id = b.session_id AND k.n = b.n + 1)
+SELECT session_id, event_id, make_timestamp(t) AS requested_at, make_timestamp(a) AS admitted_at FROM b""")
 def token_bucket_admission(spark, sf_dir):
-    """One token an hour for each session, three at most; waiting depends on rounding, so tests hold it against a plain loop."""
-    return scheduling.token_bucket(event_facts(spark, sf_dir), "session_id", "first_retrieved", 3.0, 1 / 3600, "event_id")
+    """One token an hour for each session, three at most; requests wait for a token and none fails."""
+    return scheduling.token_bucket(event_facts(spark, sf_dir), "session_id", "first_retrieved", 3, 1 / 3600, "event_id")
 
 
 @query(f"WITH {FACTS} SELECT session_id FROM (SELECT session_id, count(*) AS epoch, bool_or(type = 'purchase' AND batch = 0) AS complete, epoch(max(ts)) AS lease_until FROM f GROUP BY 1) WHERE epoch > 0 AND NOT complete AND lease_until < 1706650000")
@@ -673,6 +680,359 @@ def lite_events(spark, sf_dir):
     return events_of(_chain(spark, sf_dir)).groupBy("session_id", "kind").agg(F.count(F.lit(1)).alias("n"))
 
 
+class Watch(Operator):
+    """Looks at a session again whenever anything new can be used there."""
+
+    operator_id = "op_watch"
+    policy = OperatorPolicy(rerun_on_new_data=True, rerun_on=RerunOn.ADDED_ONLY)
+    depends_on, produces = ("engagement",), ("pulse",)
+
+    def transform(self, ctx: Context) -> DataFrame:
+        return ctx.sessions.select("session_id", F.lit("pulse").alias("type"), F.lit("1").alias("value"))
+
+
+class Desk(Capability):
+    capability_id = "cap_desk"
+    kinds = ("desk",)
+    depends_on = ("tally",)
+
+
+@query(CHAIN_SQL + ", e AS (SELECT DISTINCT session_id FROM d WHERE type IN ('view', 'click')) SELECT e.session_id, 'op_watch' AS operator_id, 1 + (ta.session_id IS NOT NULL)::BIGINT AS runs FROM e LEFT JOIN ta ON e.session_id = ta.session_id UNION ALL SELECT session_id, 'op_tally', 1 FROM ta")
+def capability_rerun(spark, sf_dir):
+    """A tally makes a capability available, which is a reason to run again for an operator that reruns; no fact that it depends on is new."""
+    out = Engine(spark).run(Flow("watch", _chain_types(), [Tally, Watch], capabilities=[Desk]), _seed(spark, sf_dir), now=T0)
+    return out.op_state.select("session_id", "operator_id", "runs")
+
+
+class Choose(Operator):
+    """Says which provider its session would use."""
+
+    operator_id = "op_choose"
+    policy = OperatorPolicy(rerun_on_new_data=False)
+    requires, produces = ("lookup",), ("note",)
+
+    def transform(self, ctx: Context) -> DataFrame:
+        return ctx.capabilities.require("lookup").select("session_id", F.lit("note").alias("type"), F.concat(F.lit('"'), "capability_id", F.lit('"')).alias("value"))
+
+
+@query(AVAILABLE_SQL + ", ok AS (SELECT session_id, capability_id, namespace_id FROM av JOIN s USING (session_id) WHERE capability_id IN ('cap_geo', 'cap_alt') AND (namespace_id IN ('0', '1') OR (namespace_id = '2' AND capability_id = 'cap_geo'))) "
+       "SELECT session_id, CASE WHEN bool_or(capability_id = 'cap_geo') AND min(namespace_id) <> '0' THEN 'cap_geo' ELSE min(capability_id) END AS provider FROM ok GROUP BY 1")
+def gated_resolution(spark, sf_dir):
+    """What an operator resolves: gated by facts and by the namespace's grants, in the namespace's order. Namespace 2 permits no cap_alt, 3 nothing."""
+    types = _chain_types()
+    types.define("note", config=TypeConfig())
+    catalog = control.Catalog(capabilities={"0": None, "1": None, "2": {"cap_geo", "cap_net"}, "3": set()}, preferred={"1": ("cap_geo",)})
+    out = Engine(spark, catalog=catalog).run(Flow("choose", types, [Choose], capabilities=CAPS), _seed(spark, sf_dir), now=T0)
+    return out.facts.filter("type = 'note'").select("session_id", F.regexp_replace("value", '"', "").alias("provider"))
+
+
+class Fragile(Operator):
+    """Breaks over one session."""
+
+    operator_id = "op_fragile"
+    policy = OperatorPolicy(rerun_on_new_data=False)
+    depends_on, produces = ("purchase",), ("pulse",)
+
+    def transform(self, ctx: Context) -> DataFrame:
+        broken = F.when(F.col("session_id") == "7", F.raise_error(F.lit("session 7 is broken")).cast("string")).otherwise(F.lit("1"))
+        return ctx.sessions.select("session_id", F.lit("pulse").alias("type"), broken.alias("value"))
+
+
+@query(CHAIN_SQL + " SELECT session_id, 'op_fragile' AS operator_id, CASE WHEN session_id = '7' THEN 'failed' ELSE 'succeeded' END AS outcome, CASE WHEN session_id = '7' THEN 0 ELSE 1 END::BIGINT AS emitted FROM ta")
+def isolated_failures(spark, sf_dir):
+    """A set-wise operator that breaks over one session fails there and succeeds elsewhere."""
+    out = Engine(spark).run(Flow("fragile", _chain_types(), [Fragile]), _seed(spark, sf_dir), now=T0)
+    made = out.facts.filter("type = 'pulse'").groupBy("session_id").agg(F.count(F.lit(1)).alias("emitted"))
+    return out.runs.join(made, "session_id", "left").select("session_id", "operator_id", "outcome", F.coalesce("emitted", F.lit(0)).cast("bigint").alias("emitted"))
+
+
+class Flaky(RowOperator):
+    """Emits one fact and then fails in every third session."""
+
+    operator_id = "op_flaky"
+    policy = OperatorPolicy(rerun_on_new_data=False, retry=RetryPolicy(max_attempts=3, base=timedelta(seconds=10), jitter=0.0))
+    depends_on, produces = ("purchase",), ("pulse",)
+
+    def run(self, session_id, facts):
+        yield "pulse", "1"
+        if int(session_id) % 3 == 0:
+            raise ValueError("flaky")
+        yield "pulse", str(2 + sum(f["type"] == "purchase" for f in facts))
+
+
+@query(CHAIN_SQL + """, r(bad, outcome, s) AS (VALUES (true, 'retrying', 0), (true, 'retrying', 10), (true, 'failed', 30), (false, 'succeeded', 0))
+SELECT session_id, outcome, TIMESTAMP '2026-01-01' + to_seconds(s) AS at, CASE WHEN bad THEN '1' ELSE '1,' || CAST(2 + v AS VARCHAR) END AS emitted FROM ta JOIN r ON r.bad = (CAST(session_id AS BIGINT) % 3 = 0)""")
+def retry_windows(spark, sf_dir):
+    """Failed sessions alone are run again, on the policy's backoff and as often as it says; what was emitted before a failure stays."""
+    out = Engine(spark).run(Flow("flaky", _chain_types(), [Flaky]), _seed(spark, sf_dir), now=T0)
+    made = out.facts.filter("type = 'pulse'").groupBy("session_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ins_seq", "value"))), lambda x: x["value"]), ",").alias("emitted"))
+    return out.runs.join(made, "session_id").select("session_id", "outcome", "at", "emitted")
+
+
+class Late(Operator):
+    """Waits twenty seconds after its session becomes ready."""
+
+    operator_id = "op_late"
+    policy = OperatorPolicy(rerun_on_new_data=False, debounce=timedelta(seconds=20))
+    depends_on, produces = ("error",), ("pulse",)
+
+    def transform(self, ctx: Context) -> DataFrame:
+        return ctx.sessions.select("session_id", F.lit("pulse").alias("type"), F.lit("1").alias("value"))
+
+
+@query(CHAIN_SQL + " SELECT session_id, 'op_tally' AS operator_id, TIMESTAMP '2026-01-01' AS at FROM ta UNION ALL SELECT DISTINCT session_id, 'op_late', TIMESTAMP '2026-01-01 00:00:20' FROM d WHERE type = 'error'")
+def debounced_operators(spark, sf_dir):
+    """When each operator ran: at once, or when its window was due."""
+    return Engine(spark).run(Flow("late", _chain_types(), [Tally, Late]), _seed(spark, sf_dir), now=T0).runs.select("session_id", "operator_id", "at")
+
+
+@query(CHAIN_SQL + " SELECT s.session_id, 'COMPLETED' AS status, ta.session_id IS NOT NULL AS tallied, e.session_id IS NOT NULL AS stalled FROM (SELECT DISTINCT session_id FROM d) s LEFT JOIN ta USING (session_id) LEFT JOIN (SELECT DISTINCT session_id FROM d WHERE type = 'error') e USING (session_id)")
+def deadline_sessions(spark, sf_dir):
+    """The deadline comes before the window: what is there is kept, sessions end, and operators that could still have run are named."""
+    out = Engine(spark).run(Flow("late", _chain_types(), [Tally, Late], completes_when="pulse", deadline=timedelta(seconds=15)), _seed(spark, sf_dir), now=T0)
+    tallied = out.facts.filter("type = 'tally'").select("session_id", F.lit(True).alias("tallied"))
+    stalled = out.stalled.filter("operator_id = 'op_late'").select("session_id", F.lit(True).alias("stalled"))
+    return out.sessions.select("session_id", "status").join(tallied, "session_id", "left").join(stalled, "session_id", "left").fillna(False, ["tallied", "stalled"])
+
+
+@query(CHAIN_SQL + " SELECT s.session_id, CASE WHEN ri.session_id IS NOT NULL THEN 'COMPLETED' ELSE 'PARKED' END AS status, CASE WHEN ri.session_id IS NOT NULL THEN 'final' ELSE 'in_progress' END AS document, TIMESTAMP '2026-01-01' + to_seconds(CASE WHEN ri.session_id IS NOT NULL THEN 0 ELSE 30 END) AS written_at "
+       "FROM (SELECT DISTINCT session_id FROM d) s LEFT JOIN ri USING (session_id)")
+def interim_documents(spark, sf_dir):
+    """Sessions that wait for a risk park with an interim document, written when its window is due; complete ones have a final document at once."""
+    flow = Flow("interim", _chain_types(), [Tally, Risk], [Interim], completes_when="risk", park_after=timedelta(hours=1))
+    out = Engine(spark, _base(spark, "engine")).run(flow, _seed(spark, sf_dir), now=T0)
+    return out.sessions.join(out.documents.select(F.col("key").alias("session_id"), F.col("status").alias("document"), F.col("updated_at").alias("written_at")), "session_id").select("session_id", "status", "document", "written_at")
+
+
+class Interim(Aggregator):
+    operator_id = "agg_interim"
+    policy = OperatorPolicy(rerun_on_new_data=False, debounce=timedelta(seconds=30))
+    interim_refresh = True
+
+    def aggregate(self, ctx: Context) -> DataFrame:
+        return ctx.sessions.select("session_id", F.lit("interim").alias("table"), F.col("session_id").alias("key"), F.lit("{}").alias("document"))
+
+
+class Wire(Capability):
+    capability_id = "cap_wire"
+    kinds = ("wire",)
+
+    def activate(self, credentials):
+        if credentials.get("refused"):
+            raise ConnectionRefusedError("no")
+
+
+class UseWire(Operator):
+    operator_id = "op_wire"
+    policy = OperatorPolicy(rerun_on_new_data=False)
+    requires, produces = ("wire",), ("pulse",)
+
+    def transform(self, ctx: Context) -> DataFrame:
+        return ctx.sessions.select("session_id", F.lit("pulse").alias("type"), F.lit("1").alias("value"))
+
+
+@query(f"WITH {GRADED}, s AS (SELECT DISTINCT session_id, namespace_id FROM g), o(bad, outcome, t) AS (VALUES (false, 'activated', 0), (true, 'failed', 0), (true, 'given_up', 10)) "
+       "SELECT session_id, outcome, TIMESTAMP '2026-01-01' + to_seconds(t) AS at, NOT bad AS used FROM s JOIN o ON o.bad = (namespace_id = '3')")
+def capability_activation(spark, sf_dir):
+    """Connections by namespace: a refused one is tried again after its cool-off and then given up; operators run where it is live, and all of it is audited."""
+    catalog = control.Catalog(credentials={("3", "cap_wire"): {"refused": True}})
+    flow = Flow("wire", _chain_types(), [UseWire], capabilities=[Wire])
+    trail = audit.AuditTrail(spark, _base(spark, "audit"))
+    on = Activator(flow.capabilities, catalog.credentials_for, max_attempts=2, cool_off=timedelta(seconds=10))
+    out = Engine(spark, audit=trail, activator=on).run(flow, _seed(spark, sf_dir), now=T0)
+    used = out.facts.filter("type = 'pulse'").select("session_id", F.lit(True).alias("used"))
+    return trail.table.read().filter("kind = 'capability'").select("session_id", "outcome", "at").join(used, "session_id", "left").fillna(False, ["used"])
+
+
+@query(CHAIN_SQL + """, a AS (SELECT session_id, type AS subject, 'data_point' AS kind, 'ADDED' AS outcome, count(*) AS n FROM (SELECT session_id, type, value_key FROM d WHERE type NOT IN ('view', 'noise', 'error') UNION ALL SELECT * FROM ch) GROUP BY ALL
+UNION ALL SELECT session_id, type, 'data_point', 'ADDED', count(*) FROM d WHERE type = 'error' GROUP BY ALL
+UNION ALL SELECT g.session_id, 'error', 'data_point', 'UPDATED', count(*) - (SELECT count(*) FROM d WHERE d.session_id = g.session_id AND d.type = 'error') FROM g WHERE type = 'error' GROUP BY 1 HAVING count(*) > (SELECT count(*) FROM d WHERE d.session_id = g.session_id AND d.type = 'error')
+UNION ALL SELECT session_id, 'op_tally', 'operator_run', 'succeeded', 1 FROM ta UNION ALL SELECT session_id, 'op_risk', 'operator_run', 'succeeded', 1 FROM ri UNION ALL SELECT session_id, 'op_alert', 'operator_run', 'succeeded', 1 FROM ri)
+SELECT session_id, kind, subject, outcome, n, true AS contiguous FROM a""")
+def audit_trail(spark, sf_dir):
+    """The audit of a run, as the trail holds it: additions, runs and every emission of a type that wants it; sequences of a session have no gaps."""
+    trail = audit.AuditTrail(spark, _base(spark, "audit"))
+    Engine(spark, audit=trail).run(Flow("chain", _chain_types(), [Tally, Risk, Alert]), _seed(spark, sf_dir), now=T0)
+    rows = trail.table.read()
+    whole = rows.groupBy("session_id").agg((F.max("sequence") == F.count(F.lit(1))).alias("contiguous"))
+    single = rows.filter("kind in ('data_point', 'operator_run')").groupBy("session_id", "kind", "subject", "outcome").agg(F.sum("n").alias("n"))
+    return single.join(whole, "session_id")
+
+
+@query(CHAIN_SQL + " SELECT 'facts' AS name, count(*)::BIGINT AS value FROM (SELECT session_id, type, value_key FROM d UNION ALL SELECT * FROM ch) UNION ALL SELECT 'facts_updated', 0 UNION ALL SELECT 'merges', 4 "
+       "UNION ALL SELECT 'runs.op_tally.succeeded', count(*) FROM ta UNION ALL SELECT 'runs.op_risk.succeeded', count(*) FROM ri UNION ALL SELECT 'runs.op_alert.succeeded', count(*) FROM ri")
+def run_metrics(spark, sf_dir):
+    """The counters of a run: facts counted while they are written, merges, and runs by operator and outcome."""
+    return Engine(spark).run(Flow("chain", _chain_types(), [Tally, Risk, Alert]), _seed(spark, sf_dir), now=T0).telemetry.table(spark)
+
+
+class Spread(Operator):
+    """Several facts for each session, in an order of its own, and one of a type that it does not declare."""
+
+    operator_id = "op_spread"
+    policy = OperatorPolicy(rerun_on_new_data=False)
+    depends_on, produces = ("purchase",), ("pulse",)
+
+    def transform(self, ctx: Context) -> DataFrame:
+        return ctx.sessions.select("session_id", F.explode(F.array(*[F.struct(F.lit(t).alias("type"), F.lit(v).alias("value")) for t, v in (("pulse", "3"), ("pulse", "1"), ("alert", "9"), ("pulse", "2"))])).alias("e")).select("session_id", "e.*")
+
+
+@query(CHAIN_SQL + ", o(position, type, value) AS (VALUES (1, 'tally', NULL), (2, 'pulse', '3'), (3, 'pulse', '1'), (4, 'alert', '9'), (5, 'pulse', '2')) SELECT session_id, position, o.type, coalesce(value, CAST(v AS VARCHAR)) AS value FROM ta, o")
+def emission_order(spark, sf_dir):
+    """Facts that operators made, in order of arrival: by operator as declared, then in each operator's own order; undeclared ones are merged too."""
+    out = Engine(spark).run(Flow("spread", _chain_types(), [Tally, Spread]), _seed(spark, sf_dir), now=T0)
+    place = F.row_number().over(Window.partitionBy("session_id").orderBy("ins_seq"))
+    return out.facts.filter("type in ('tally', 'pulse', 'alert')").select("session_id", place.alias("position"), "type", "value")
+
+
+@query(f"WITH {FACTS}, e AS (SELECT session_id AS key, max(value_key) AS document FROM f WHERE batch < 3 GROUP BY 1), l AS (SELECT session_id AS key, max(value_key) AS document FROM f WHERE batch >= 3 AND type = 'error' GROUP BY 1) "
+       "SELECT coalesce(e.key, l.key) AS key, coalesce(l.document, e.document) AS document, ((e.key IS NOT NULL)::BIGINT + (l.key IS NOT NULL)::BIGINT) AS version, CASE WHEN l.key IS NOT NULL THEN 2 ELSE 1 END::BIGINT AS epoch FROM e FULL JOIN l ON e.key = l.key")
+def durable_upserts(spark, sf_dir):
+    """The store after two batches of documents, the second under a higher epoch and with the versions that it expects; a batch with another version is refused."""
+    facts = event_facts(spark, sf_dir)
+    batch = lambda rows: materialize(rows.groupBy(F.col("session_id").alias("key")).agg(F.max("value_key").alias("document")).select(F.lit("t").alias("table_name"), "key", "document", F.lit(durable.FINAL).alias("status"), F.lit(T0).cast("timestamp_ntz").alias("updated_at")), "batch")
+    store, early, late = durable.DurableStore(spark, _base(spark, "durable")), batch(facts.filter("batch < 3")), batch(facts.filter("batch >= 3 and type = 'error'"))
+    store.upsert(early, 1)
+    seen = late.select("table_name", "key").join(store.read("t").select("key", "version"), "key", "left").select("table_name", "key", F.coalesce("version", F.lit(0)).cast("bigint").alias("version"))
+    store.upsert(late, 2, seen)
+    try:
+        store.upsert(late, 2, seen)
+    except VersionConflictError:
+        return store.read("t").select("key", "document", "version", "epoch")
+    raise AssertionError("a stale version was accepted")
+
+
+@query(f"WITH {FACTS} SELECT namespace_id AS key, type AS field, count(DISTINCT session_id) AS cardinality FROM f WHERE EXISTS (SELECT 1 FROM f x WHERE x.batch >= 5 AND x.namespace_id = f.namespace_id AND x.type = f.type) GROUP BY ALL")
+def durable_sets(spark, sf_dir):
+    """What adding a second batch to the stored sets returns: the size of every touched set."""
+    store = durable.DurableStore(spark, _base(spark, "sets"))
+    members = event_facts(spark, sf_dir).select(F.lit("t").alias("table_name"), F.col("namespace_id").alias("key"), F.col("type").alias("field"), F.col("session_id").alias("member"), "batch")
+    store.add_to_set(members.filter("batch < 5"), 1)
+    return store.add_to_set(members.filter("batch >= 5"), 2).select("key", "field", "cardinality")
+
+
+@query(f"WITH {GRADED} SELECT type, count(DISTINCT session_id || '|' || value_key) AS n, true AS complete, 3::BIGINT AS epoch FROM g GROUP BY 1")
+def managed_reopen(spark, sf_dir):
+    """A group that was run to its end, to which the rest of the events is delivered: it reopens under a higher epoch and holds every fact once."""
+    facts = _graded(spark, sf_dir)
+    boss = Manager(spark, _base(spark, "manager"), Flow("kept", _chain_types()))
+    boss.start("g", facts.filter("batch < 7").drop("batch", "event_id", "value_key"), now=T0)
+    stamp = F.date_format("first_retrieved", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")
+    payload = F.to_json(F.struct("type", F.col("value").cast("bigint").alias("value"), "retrieved_by", stamp.alias("first_retrieved"), stamp.alias("last_retrieved")))
+    boss.deliver("g", facts.filter("batch >= 7").select("session_id", payload.alias("payload"), F.col("ins_seq").alias("seq")), reopen_if_complete=True, now=T0)
+    kept, *_ = boss._stores("g")
+    return kept.read().groupBy("type").agg(F.count(F.lit(1)).alias("n")).select("type", "n", F.lit(boss.locks.is_complete("g")).alias("complete"), F.lit(boss.locks.epoch("g")).cast("bigint").alias("epoch"))
+
+
+@query("SELECT n_name AS session_id, 1::BIGINT AS acted, CASE WHEN n_regionkey = 0 THEN 'reverted' ELSE 'committed' END AS state, 2::BIGINT AS epoch, n_regionkey = 1 AS complete FROM nation")
+def effects_and_leases(spark, sf_dir):
+    """For each nation: an effect that is asked for twice happens once (in one region it fails and is taken back), and a lease that is given back is taken under the next epoch."""
+    base = _base(spark, "control")
+    fx, locks, out = control.Effects(spark, base), control.Locks(spark, base), []
+    for r in spark.read.parquet(f"{sf_dir}/nation.parquet").select("n_name", "n_regionkey").collect():  # 25 rows
+        name, acted = r["n_name"], 0
+        for _ in range(1 if r["n_regionkey"] == 0 else 2):
+            with contextlib.suppress(InterruptedError), fx.once(name, "op", "mail", 1) as go:
+                acted += bool(go)
+                if r["n_regionkey"] == 0:
+                    raise InterruptedError
+        locks.release(name, locks.acquire(name))
+        epoch = locks.acquire(name)
+        if r["n_regionkey"] == 1:
+            locks.mark_complete(name, epoch)
+        out.append((name, acted, fx.state(name, "op", "mail"), locks.epoch(name), locks.is_complete(name)))
+    return local(spark, out, "session_id string, acted bigint, state string, epoch bigint, complete boolean")
+
+
+def _shape_types() -> TypeRegistry:
+    types = TypeRegistry()
+    types.define("pair", config=TypeConfig(pii=True), value="map<string,bigint>")
+    types.define("bag", config=TypeConfig(pii=True), value="array<bigint>", is_set=True)
+    return types
+
+
+def _shaped(spark, sf_dir):
+    """Events as maps and sets of numbers, written with their parts in other orders and more than once."""
+    e = event_facts(spark, sf_dir)
+    v = F.col("value")
+    value = F.when(F.col("event_id") % 2 == 0, F.concat(F.lit('{"b":'), v, F.lit(',"a":'), F.col("event_id") % 3, F.lit("}"))).otherwise(F.concat(F.lit("[7,"), v, F.lit(", "), v, F.lit(",7]")))
+    return e.withColumn("type", F.when(F.col("event_id") % 2 == 0, "pair").otherwise("bag")).withColumn("value", value)
+
+
+@query(f"""WITH {FACTS} SELECT event_id, CASE WHEN event_id % 2 = 0 THEN '{{"v":{{"m":[{{"k":"a","v":' || CAST(event_id % 3 AS VARCHAR) || '}},{{"k":"b","v":' || value_key || '}}]}}}}'
+WHEN value_key = '7' THEN '{{"v":{{"s":[7]}}}}' ELSE '{{"v":{{"s":[' || least(CAST(value_key AS BIGINT), 7) || ',' || greatest(CAST(value_key AS BIGINT), 7) || ']}}}}' END AS value_key FROM f""")
+def canonical_values(spark, sf_dir):
+    """The key of nested values: maps by name, sets sorted and without repeats, whatever order they were written in."""
+    return _shaped(spark, sf_dir).select("event_id", _shape_types().value_keys().alias("value_key"))
+
+
+@query(f"WITH {FACTS} SELECT session_id, count(DISTINCT value_key || '|' || (CASE WHEN event_id % 2 = 0 THEN CAST(event_id % 3 AS VARCHAR) ELSE 'bag' END)) AS n_values, count(DISTINCT value_key || '|' || (CASE WHEN event_id % 2 = 0 THEN CAST(event_id % 3 AS VARCHAR) ELSE 'bag' END)) AS n_hashes, 0::BIGINT AS n_shared, count(*) AS n_opened FROM f GROUP BY 1")
+def sealed_values(spark, sf_dir):
+    """Personal values under keys by namespace: as many hashes as values, none of them another session's, and every value is read back as it was."""
+    types = _shape_types()
+    facts = _shaped(spark, sf_dir).withColumn("value_key", types.value_keys()).withColumn("plain", F.col("value"))
+    sealed = materialize(sealing.seal_facts(facts.withColumn("key", F.col("value_key")), types, sealing.CipherProvider(KEYS)), "sealed")
+    owners = sealed.select("value_hash", "session_id").distinct().groupBy("value_hash").agg(F.count(F.lit(1)).alias("owners"))
+    back = sealing.unseal_facts(sealed, sealing.CipherProvider(KEYS)).join(owners, "value_hash")
+    return back.groupBy("session_id").agg(F.count_distinct("key").alias("n_values"), F.count_distinct("value_hash").alias("n_hashes"), F.count_if(F.col("owners") > 1).alias("n_shared"), F.count_if(F.col("value") == F.col("plain")).alias("n_opened"))
+
+
+@query(f"WITH {FACTS} SELECT event_id, sha256(session_id || chr(0) || CAST(seq AS VARCHAR)) AS entry_id, '<redacted>' AS a, NULL::VARCHAR AS b FROM f")
+def entry_ids_and_parameters(spark, sf_dir):
+    """Ids that a retried append makes again, and parameters without their values."""
+    rows = inbox.entry_ids(event_facts(spark, sf_dir).withColumn("seq", F.col("ins_seq")))
+    told = sealing.redact_parameters(F.create_map(F.lit("a"), F.col("value")))
+    return rows.select("event_id", "entry_id", told["a"].alias("a"), F.try_element_at(told, F.lit("b")).alias("b"))
+
+
+@query(f"WITH {GRADED} SELECT session_id, count(DISTINCT type) >= 5 OR bool_or(type = 'signup' AND value_key > '3') AS satisfied FROM g GROUP BY 1")
+def completion_custom(spark, sf_dir):
+    """A condition of the user's own, any of two, over all facts."""
+    many = lambda facts: facts.groupBy("session_id").agg((F.count_distinct("type") >= 5).alias("satisfied"))
+    high = lambda facts: facts.groupBy("session_id").agg(F.bool_or((F.col("type") == "signup") & (F.col("value_key") > "3")).alias("satisfied"))
+    facts = _graded(spark, sf_dir)
+    return completion.satisfied(facts, facts.select("session_id"), completion.any_of(completion.Custom(many, "many"), completion.Custom(high, "high")), TYPES)
+
+
+DECLARED_SQL = "n(node, cap) AS (VALUES " + ", ".join(f"('{x}', {c})" for x, c in [("op_tally", False), ("op_risk", False), ("op_alert", False), ("op_pulse", False), ("op_watch", False), ("agg_report", False), ("cap_desk", True)]) + """),
+p(node, leaf) AS (VALUES ('op_tally', 'tally'), ('op_risk', 'risk'), ('op_alert', 'alert'), ('op_pulse', 'pulse'), ('op_pulse', 'purchase'), ('op_watch', 'pulse')),
+d(node, wanted) AS (VALUES ('op_tally', 'purchase'), ('op_risk', 'tally'), ('op_risk', 'error'), ('op_alert', 'risk'), ('op_pulse', 'purchase'), ('op_watch', 'engagement'), ('agg_report', 'risk'), ('cap_desk', 'tally')), u(node, wanted) AS (VALUES ('op_pulse', 'pulse'))"""
+CHAIN_LINEAGE_SQL = "lin(leaf, wanted) AS (VALUES " + ", ".join(f"('{x}', '{a}')" for x in _chain_types().names() if not _chain_types()[x].abstract for a in sorted(_chain_types().ancestors(x))) + ")"
+
+
+@query(f"WITH RECURSIVE {DECLARED_SQL}, {CHAIN_LINEAGE_SQL}, e AS (SELECT DISTINCT p.node AS src, d.node AS dst FROM p JOIN lin ON p.leaf = lin.leaf JOIN d ON d.wanted = lin.wanted), w AS (SELECT DISTINCT p.node AS src, u.node AS dst FROM p JOIN lin ON p.leaf = lin.leaf JOIN u ON u.wanted = lin.wanted WHERE p.node <> u.node), "
+       "r(src, dst) AS (SELECT src, dst FROM e UNION SELECT r.src, e.dst FROM r JOIN e ON r.dst = e.src) SELECT 'edge' AS what, src, dst FROM e UNION ALL SELECT 'weak', src, dst FROM w UNION ALL SELECT 'cycle', src, dst FROM r WHERE src = dst "
+       "UNION ALL SELECT 'dropped', node, node FROM n WHERE cap")
+def graph_analysis(spark, sf_dir):
+    """Strong and weak edges, nodes on cycles, and the capability that a catalog without grants takes out; the SQL joins the declarations."""
+    types = _chain_types()
+    nodes = [Tally(), Risk(), Alert(), Pulse(), Watch(), Report(), Desk()]
+    strong, weak = graph.build_edges(nodes, types), graph.build_uses_edges(nodes, types)
+    left = {graph.node_id(x) for x in graph.restrict_to_permitted(nodes, ())}
+    rows = [("edge", a, b) for a in strong for b in strong[a]] + [("weak", a, b) for a in weak for b in weak[a]]
+    rows += [("cycle", x, x) for cycle in graph.find_cycles(strong) for x in cycle] + [("dropped", x, x) for x in strong if x not in left]
+    return local(spark, rows, "what string, src string, dst string")
+
+
+@query(f"WITH RECURSIVE {DECLARED_SQL}, {CHAIN_LINEAGE_SQL}, k(node) AS (SELECT p.node FROM p JOIN lin ON p.leaf = lin.leaf WHERE lin.wanted IN ('alert', 'risk', 'pulse') AND p.node <> 'op_pulse' UNION "
+       "SELECT p.node FROM k JOIN d ON d.node = k.node JOIN lin ON lin.wanted = d.wanted JOIN p ON p.leaf = lin.leaf WHERE p.node <> 'op_pulse') SELECT node, true AS bounded FROM k")
+def pruned_operators(spark, sf_dir):
+    """What a flow keeps for an aggregator that consumes alerts and a condition that waits for a pulse."""
+    flow = Flow("pruned", _chain_types(), [Tally, Risk, Alert, Watch, Stray], [Report], completes_when="pulse")
+    return local(spark, [(x.operator_id, x.operator_id in flow.edges) for x in flow.pruned], "node string, bounded boolean")
+
+
+class Stray(Operator):
+    """Makes what nobody consumes."""
+
+    operator_id = "op_stray"
+    policy = OperatorPolicy(rerun_on_new_data=False)
+    depends_on, produces = ("alert",), ("signup",)
+
+    def transform(self, ctx: Context) -> DataFrame:
+        return ctx.latest("alert").select("session_id", F.lit("signup").alias("type"), F.lit("0").alias("value"))
+
+
 @query(f"WITH {MERGED} SELECT session_id, type, value_key, retrieved_by, last_retrieved FROM m")
 def streaming_merge(spark, sf_dir):
     """The events as a stream of files, merged micro-batch by micro-batch: the batch answer."""
@@ -694,10 +1054,32 @@ l AS (SELECT l_orderkey, CAST(round(sum(CAST(l_extendedprice AS DECIMAL(18, 2)))
 SELECT n_name, count(*) AS n_orders, sum(l.n)::BIGINT AS n_lines, CAST(sum(l.gross) AS DECIMAL(38, 2)) AS gross, sum(CASE WHEN l.n >= 5 THEN 1 ELSE 0 END)::BIGINT AS n_risky
 FROM o JOIN l ON o_orderkey = l_orderkey JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey GROUP BY 1""")
 def order_risk_report(spark, sf_dir):
-    """Orders with their line sums, reported by nation; a plain join and aggregation, no flow runs."""
+    """A flow over orders: each is a session that starts with its total; one operator adds its lines, the aggregator reports it, and reports are summed by nation."""
     t = lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    lines = t("lineitem").groupBy("l_orderkey").agg(F.sum(F.col("l_extendedprice").cast("decimal(18,2)")).alias("gross"), F.count(F.lit(1)).alias("n"))
-    joined = t("orders").select("o_orderkey", "o_custkey").join(lines, F.col("o_orderkey") == F.col("l_orderkey")).join(t("customer").select("c_custkey", "c_nationkey"), F.col("o_custkey") == F.col("c_custkey")).join(F.broadcast(t("nation").select("n_nationkey", "n_name")), F.col("c_nationkey") == F.col("n_nationkey"))
+    types = TypeRegistry()
+    types.define("placed", config=TypeConfig(), value="bigint")
+    types.define("lines", config=TypeConfig(), value="struct<gross:decimal(28,2),n:bigint>")
+    sums = t("lineitem").groupBy(F.col("l_orderkey").cast("string").alias("session_id")).agg(F.sum(F.col("l_extendedprice").cast("decimal(18,2)")).alias("gross"), F.count(F.lit(1)).alias("n"))
+
+    class AddLines(Operator):
+        policy = OperatorPolicy(rerun_on_new_data=False, timeout=timedelta(minutes=30))
+        depends_on, produces = ("placed",), ("lines",)
+
+        def transform(self, ctx: Context) -> DataFrame:
+            return ctx.sessions.join(sums, "session_id").select("session_id", F.lit("lines").alias("type"), F.to_json(F.struct("gross", "n")).alias("value"))
+
+    class ReportOrder(Aggregator):
+        policy = OperatorPolicy(rerun_on_new_data=False, timeout=timedelta(minutes=30))
+        depends_on, consumes = ("lines",), ("lines",)
+
+        def aggregate(self, ctx: Context) -> DataFrame:
+            buyer = ctx.of_type("placed").select("session_id", F.col("value").alias("customer"))
+            return ctx.latest("lines").join(buyer, "session_id").select("session_id", F.lit("orders").alias("table"), "customer", F.col("session_id").alias("key"), F.col("value").alias("document")).select("session_id", "table", "key", F.concat(F.lit('{"customer":'), "customer", F.lit(","), F.substring("document", 2, 1 << 20)).alias("document"))
+
+    orders = t("orders").select(F.col("o_orderkey").cast("string").alias("session_id"), F.lit("0").alias("namespace_id"), F.lit("placed").alias("type"), F.col("o_custkey").cast("string").alias("value"), F.lit("orders").alias("retrieved_by"), F.lit(T0).cast("timestamp_ntz").alias("first_retrieved"), F.lit(T0).cast("timestamp_ntz").alias("last_retrieved"), F.col("o_orderkey").cast("bigint").alias("ins_seq"))
+    docs = Engine(spark, _base(spark, "orders")).run(Flow("orders", types, [AddLines], [ReportOrder], deadline=timedelta(hours=1)), orders, now=T0).documents
+    told = docs.select(F.from_json("document", "customer bigint, gross decimal(28,2), n bigint").alias("d")).select("d.*")
+    joined = told.join(t("customer").select("c_custkey", "c_nationkey"), F.col("customer") == F.col("c_custkey")).join(F.broadcast(t("nation").select("n_nationkey", "n_name")), F.col("c_nationkey") == F.col("n_nationkey"))
     return joined.groupBy("n_name").agg(F.count(F.lit(1)).alias("n_orders"), F.sum("n").alias("n_lines"), F.sum("gross").cast("decimal(38,2)").alias("gross"), F.count_if(F.col("n") >= 5).alias("n_risky"))
 
 
