@@ -6,12 +6,13 @@ as-of join on (pattern, time bucket) with the interval as condition. Patterns ar
 ``path:<host><prefix>`` (a path prefix that ends at a slash or is the whole path). Of the active entries the longest pattern decides;
 between equally long ones ``block`` wins.
 
-Intervals are cut at bucket bounds inside the span of the captures. A popular host is thus spread over the buckets of time, a pattern
-with a long history joins only the entries of the bucket, and adaptive execution can split what is still uneven.
+Intervals are cut at bucket bounds inside the span of the captures. A popular host is thus spread over the buckets of time, and a pattern
+with a long history joins only the entries of the bucket. A pattern that covers a large share of a bucket's captures, as a top-level domain does, is salted: its captures are
+dealt over as many parts as they need, and each part gets the bucket's few intervals.
 
-Defined results: a null or malformed URL, or a null fetch time, matches nothing and is kept; entries with a null pattern, action or
+Defined results: a null or malformed URL, or a null fetch time, matches nothing and is kept; URLs may be of any length; entries with a null pattern, action or
 time are ignored; of several entries for one pattern at one instant the alphabetically first action holds; repeated captures (same id, URL and
-time) give one row; empty lists keep everything; other columns of captures are dropped.
+time) give one row; empty lists keep everything and no captures give no rows; other columns of captures and entries are dropped, whatever their names.
 """
 
 from __future__ import annotations
@@ -19,8 +20,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from factloom.llm.storage import materialize
+
 URL = r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)(?::[0-9]+)?([^?#]*)"
 BUCKET_DAYS = 32
+#: Captures of one pattern in one bucket that go to one part, and the most salted cells for each pattern of an average capture.
+PART_ROWS = 2_000
+MOST_CELLS = 10_000
 FOREVER = "9999-01-01 00:00:00"
 
 
@@ -45,17 +51,25 @@ def intervals(entries: DataFrame) -> DataFrame:
     return log.withColumn("valid_to", F.coalesce(until, F.lit(FOREVER).cast("timestamp_ntz"))).withColumnRenamed("at", "valid_from").filter("action <> 'remove'")
 
 
-def judge(captures: DataFrame, entries: DataFrame) -> DataFrame:
+def judge(captures: DataFrame, entries: DataFrame, part_rows: int = PART_ROWS) -> DataFrame:
     """(capture_id, url, fetched_at, decision, pattern, n_active) for captures (capture_id, url, fetched_at)."""
     days = lambda c: F.unix_date(F.to_date(c))
-    span = captures.agg(F.min("fetched_at").alias("a"), F.max("fetched_at").alias("b")).first()
-    begin, end = (F.lit(x).cast("timestamp_ntz") for x in span)
+    captures, entries = captures.select("capture_id", "url", "fetched_at"), entries.select("pattern", "action", "at")
+    span = captures.agg(F.min("fetched_at").alias("a"), F.max("fetched_at").alias("b"), F.count(F.lit(1)).alias("n")).first()
+    begin, end = (F.lit(x).cast("timestamp_ntz") for x in (span["a"], span["b"]))
     valid = intervals(entries).filter((F.col("valid_from") <= end) & (F.col("valid_to") > begin))
     low, high = days(F.greatest("valid_from", begin)), days(F.least("valid_to", end))
     valid = valid.withColumn("bucket", F.explode(F.sequence(F.floor(low / BUCKET_DAYS), F.floor(high / BUCKET_DAYS))))
     keyed = captures.select("capture_id", "url", "fetched_at").withColumn("pattern", F.explode_outer(patterns_of(F.col("url")))).withColumn("bucket", F.floor(days(F.col("fetched_at")) / BUCKET_DAYS))
+    # Cells with many captures, counted with partial sums; a cell has rows / MOST_CELLS captures at least, so there are MOST_CELLS times the patterns of a capture at most.
+    most = max(part_rows, span["n"] // MOST_CELLS)
+    hot = keyed.filter("pattern is not null").groupBy("pattern", "bucket").agg(F.ceil(F.count(F.lit(1)) / most).cast("int").alias("parts")).filter("parts > 1")
+    hot = F.broadcast(materialize(hot, "url-hot"))
+    own = F.pmod(F.xxhash64("capture_id", "url", "fetched_at"), F.coalesce("parts", F.lit(1))).cast("int")
+    keyed = keyed.join(hot, ["pattern", "bucket"], "left").withColumn("part", own).drop("parts")
+    valid = valid.join(hot, ["pattern", "bucket"], "left").withColumn("part", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1))).drop("parts")
     c, v = keyed.alias("c"), valid.alias("v")
-    on = (F.col("c.pattern") == F.col("v.pattern")) & (F.col("c.bucket") == F.col("v.bucket")) & (F.col("c.fetched_at") >= F.col("v.valid_from")) & (F.col("c.fetched_at") < F.col("v.valid_to"))
+    on = (F.col("c.pattern") == F.col("v.pattern")) & (F.col("c.bucket") == F.col("v.bucket")) & (F.col("c.part") == F.col("v.part")) & (F.col("c.fetched_at") >= F.col("v.valid_from")) & (F.col("c.fetched_at") < F.col("v.valid_to"))
     hit = c.join(v, on, "left").select("c.capture_id", "c.url", "c.fetched_at", F.col("v.pattern").alias("pattern"), F.col("v.action").alias("action"))
     rank = F.when(F.col("pattern").isNotNull(), F.struct(F.length("pattern").alias("n"), F.col("action").alias("action"), F.col("pattern").alias("pattern")))
     best = hit.groupBy("capture_id", "url", "fetched_at").agg(F.max(rank).alias("best"), F.size(F.collect_set("pattern")).cast("long").alias("n_active"))

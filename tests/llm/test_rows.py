@@ -66,3 +66,18 @@ def test_short_texts_keep_all_hashes(spark, tmp_path):
     assert len({got[i].fingerprint for i in short}) == len({texts[i] for i in short})
     clash = spark.createDataFrame([(1, "a b", 3, "x"), (2, "a b", 4, "y")], "doc_id long, text string, _part int, _own string")
     assert sorted((r.doc_id, r._part, r._own, r.next_text) for r in sketch.next_texts(clash).collect()) == [(1, 3, "x", "a b"), (2, 4, "y", "a b")]
+
+
+def test_a_host_with_most_captures_is_dealt_out(spark):
+    """Salted or not, the answer is the same, and a pattern that covers every capture is in many parts."""
+    from datetime import datetime, timedelta
+
+    from factloom.llm import urlfilter
+
+    begin = datetime(2024, 1, 1)
+    rows = [(i, f"http://{'hot' if i % 3 else f'h{i}'}.com/p{i % 7}/x", begin + timedelta(hours=i), "extra") for i in range(600)] + [(5, "http://hot.com/p5/x", begin + timedelta(hours=5), "extra")]
+    captures = spark.createDataFrame(rows, "capture_id long, url string, fetched_at timestamp_ntz, pattern string")
+    log = [("host:com", "block", begin), ("host:com", "remove", begin + timedelta(days=3)), ("host:hot.com", "allow", begin + timedelta(days=1)), ("host:com", "block", begin + timedelta(days=9)), ("path:hot.com/p1/", "block", begin + timedelta(days=2))]
+    entries = spark.createDataFrame(log, "pattern string, action string, at timestamp_ntz")
+    plain = sorted(map(str, urlfilter.judge(captures, entries, 10**9).collect()))
+    assert sorted(map(str, urlfilter.judge(captures, entries, 10).collect())) == plain and len(plain) == 600
