@@ -1,6 +1,11 @@
 """The corpus pipeline: documents through the stages of STAGES, each written as Parquet and read again.
 
 Every stage keeps the columns of ``documents`` but the last, which returns packed pieces. Stages work on all that the one before kept.
+
+Defined results, for every stage: columns beside those of ``documents`` are dropped, whatever their names; an empty table passes through as an empty one; texts are
+worked on whole, however long. A null or letterless text has no language and goes in the first stage. Rows are told apart by all their columns, so a null or repeated id
+neither shields a row nor costs it its place: of near duplicates the least id stays, a null one being the last, and ties go to the least row key; equal rows are one. Nulls in
+``lang``, ``source`` and ``n_chars`` are kept; a null source is a source. Ties in mixing are ordered by the seeded hash, then row key and size; in packing by id, piece and checksum.
 """
 
 from __future__ import annotations
@@ -9,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factloom.llm import langid, mixing, neardup, packing, secrets
-from factloom.llm.storage import materialize
+from factloom.llm.storage import Scratch, drop_path, materialize
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 #: A document goes if no language is found, or the found one is hardly likelier than an even draw among the labels.
@@ -80,9 +85,13 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Applies the stages to ``documents``."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select(*COLUMNS)
+    docs, scratch = spark.read.parquet(f"{sf_dir}/documents.parquet").select(*COLUMNS), Scratch(spark)
     for k, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
+        docs, before = stage(spark, docs, sf_dir), list(scratch.paths)
         if k + 1 < len(STAGES):
-            docs = materialize(docs, f"pipeline-{k + 1}")
+            docs = scratch.put(docs, f"pipeline-{k + 1}")
+        # What a stage wrote is read by the next alone; packing has read its own by now.
+        for path in before:
+            drop_path(spark, path)
+            scratch.paths.remove(path)
     return docs
