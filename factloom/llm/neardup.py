@@ -76,11 +76,13 @@ def _signer(width: int, rows: int, bands: int):
     def band_keys(sets: list[np.ndarray]) -> np.ndarray:
         flat, at = np.concatenate(sets), np.cumsum([0, *map(len, sets)])[:-1]
         table = np.empty((len(sets), values + values % 2), np.uint64)
+        x, shifted = np.empty_like(flat), np.empty_like(flat)  # one pair of buffers for all permutations
         with np.errstate(over="ignore"):
             for k, a in enumerate(seeds):
-                x = flat * a
-                x ^= x >> np.uint64(29)
-                x *= np.uint64(0xBF58476D1CE4E5B9)
+                np.multiply(flat, a, out=x)
+                np.right_shift(x, np.uint64(29), out=shifted)
+                np.bitwise_xor(x, shifted, out=x)
+                np.multiply(x, np.uint64(0xBF58476D1CE4E5B9), out=x)
                 table[:, 2 * k] = np.minimum.reduceat(x, at)
                 table[:, 2 * k + 1] = np.maximum.reduceat(x, at)
             table = table[:, :values].reshape(len(sets), bands, rows)
