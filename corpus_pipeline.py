@@ -19,6 +19,8 @@ from factloom.llm.storage import Scratch, drop_path, materialize
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 #: A document goes if no language is found, or the found one is hardly likelier than an even draw among the labels.
 SURE = 1.2
+#: Row keys that are broadcast at most: some 40 MB.
+MOST_KEYS = 1_000_000
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -30,6 +32,11 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return seen.filter((F.col("lang_pred") != langid.NONE) & (F.col("score") >= min(0.5, SURE / len(model.labels)))).select(*COLUMNS)
 
 
+def by_row(found: DataFrame) -> DataFrame:
+    """A written table of row keys, ready to be joined to whole rows: broadcast, so that no text moves, while its counted rows are within ``MOST_KEYS``, else merged."""
+    return F.broadcast(found) if found.count() <= MOST_KEYS else found.hint("merge")
+
+
 def row_key() -> Column:
     """A row's key: 64 bits of the hash of all its columns, so only equal rows share one; the flags tell nulls in different columns apart."""
     return F.xxhash64(*COLUMNS, F.concat(*[F.col(c).isNull().cast("string") for c in COLUMNS]))
@@ -49,10 +56,10 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     # Of equal rows that are first in their group one stays.
     repeated = materialize(groups.filter("_rows > 1").join(first, "_row", "left_semi").select("_row"), "pipeline-repeated")
     if repeated.isEmpty():
-        return keyed.join(materialize(gone, "pipeline-gone"), "_row", "left_anti").select(*COLUMNS)
+        return keyed.join(by_row(materialize(gone, "pipeline-gone")), "_row", "left_anti").select(*COLUMNS)
     gone = materialize(gone.unionByName(repeated), "pipeline-gone")
-    once = keyed.join(repeated, "_row", "left_semi").dropDuplicates(["_row"])
-    return keyed.join(gone, "_row", "left_anti").select(*COLUMNS).unionByName(once.select(*COLUMNS))
+    once = keyed.join(by_row(repeated), "_row", "left_semi").dropDuplicates(["_row"])
+    return keyed.join(by_row(gone), "_row", "left_anti").select(*COLUMNS).unionByName(once.select(*COLUMNS))
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -67,9 +74,9 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     sized = keyed.select("_row", "source", mixing.words(F.col("text")).alias("size"), F.array("source").alias("members"))
     plan = mixing.mix(materialize(sized, "pipeline-sizes"), "_row", "size", "members", mixing.contract_quotas)
     taken = materialize(plan.groupBy("_row").agg(F.sum("copies").alias("_copies"), F.count(F.lit(1)).alias("_rows")).filter("_copies > 0"), "pipeline-taken")
-    out = keyed.join(taken.filter("_rows = 1"), "_row")
+    out = keyed.join(by_row(taken.filter("_rows = 1")), "_row")
     if not taken.filter("_rows > 1").isEmpty():
-        out = out.unionByName(keyed.join(taken.filter("_rows > 1"), "_row").dropDuplicates(["_row"]))
+        out = out.unionByName(keyed.join(by_row(taken.filter("_rows > 1")), "_row").dropDuplicates(["_row"]))
     return out.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))).select(*COLUMNS)
 
 
