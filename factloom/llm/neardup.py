@@ -38,6 +38,8 @@ from factloom.llm.storage import Scratch, materialize
 
 MISS = 1e-7
 BATCH_BYTES = 4_000_000
+#: Ids that are broadcast at most: some 40 MB.
+MOST_REPS = 1_000_000
 
 
 def banding(threshold: float) -> tuple[int, int]:
@@ -223,7 +225,10 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
     met = put(banded.join(shared, "band"), "neardup-met")
     facts = put(kept.select("cls", "rep", "n").dropDuplicates(["cls"]).join(met.select("cls").distinct(), "cls", "left_semi"), "neardup-classes")
     source = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    sets = put(_full_sets(source.join(facts, source.doc_id == facts.rep, "left_semi"), width), "neardup-sets")
+    # Whole texts stay where they are while the ids of the candidates are few enough to be broadcast; beyond that they are merged.
+    reps = facts.select("rep")
+    reps = F.broadcast(reps) if facts.count() <= MOST_REPS else reps.hint("merge")
+    sets = put(_full_sets(source.join(reps, source.doc_id == reps.rep, "left_semi"), width), "neardup-sets")
     own = put(_own_shingles(sets), "neardup-own")
     # J <= (S - U) / (S + U) for sizes S and own shingles U of both; the partner has n * 100 / percent shingles at most.
     most = F.col("n") + F.col("n") * 100 / percent
