@@ -34,10 +34,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from factloom.llm import words
-from factloom.llm.storage import Scratch, materialize
+from factloom.llm.storage import Scratch, materialize, small_batches
 
 MISS = 1e-7
 BATCH_BYTES = 4_000_000
+BATCH_ROWS = 2000
 #: Ids that are broadcast at most: some 40 MB.
 MOST_REPS = 1_000_000
 
@@ -211,6 +212,11 @@ def components(edges: DataFrame, put=materialize) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for every row."""
+    with small_batches(docs.sparkSession, BATCH_ROWS):
+        return _near_duplicates(docs, key, text, width, percent)
+
+
+def _near_duplicates(docs: DataFrame, key: str, text: str, width: int, percent: int) -> DataFrame:
     scratch = Scratch(docs.sparkSession)
     put = scratch.put
     signed = put(signatures(docs, key, text, width, percent / 100), "neardup-signatures")
