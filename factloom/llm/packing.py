@@ -33,7 +33,7 @@ from factloom.llm.storage import materialize, small_batches
 CAPACITY = 2048
 END_ID = 0
 TOKENIZER = "byte_bpe_50k.json"
-CHUNK_BYTES = 4_000_000
+CHUNK_BYTES = 2_000_000
 BATCH_ROWS = 2000
 
 
@@ -302,7 +302,7 @@ def pack(found: DataFrame, key: str = "doc_id", capacity: int = CAPACITY, bucket
 
 def pack_documents(docs: DataFrame) -> DataFrame:
     """The pieces of all documents with their places, by the production tokenizer and capacity."""
-    with small_batches(docs.sparkSession, BATCH_ROWS):
+    with small_batches(docs.sparkSession, BATCH_ROWS, 2 * CHUNK_BYTES):
         found = materialize(pieces(docs), "packing-pieces")
     return pack(found).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
