@@ -14,22 +14,31 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factloom.llm import langid, mixing, neardup, packing, secrets
-from factloom.llm.storage import Scratch, drop_path, materialize
+from factloom.llm.storage import Scratch, drop_path, materialize, small_batches
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 #: A document goes if no language is found, or the found one is hardly likelier than an even draw among the labels.
 SURE = 1.2
 #: Row keys that are broadcast at most: some 40 MB.
 MOST_KEYS = 1_000_000
+#: Rows of an Arrow batch in language ID.
+BATCH_ROWS = 2000
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents in no known language; fits on the stage's own labelled documents."""
-    model = langid.fit(docs)
-    seen = langid.predict(docs, model)
-    if not model.labels:
-        return docs.select(*COLUMNS)
-    return seen.filter((F.col("lang_pred") != langid.NONE) & (F.col("score") >= min(0.5, SURE / len(model.labels)))).select(*COLUMNS)
+    """Drops documents in no known language; fits on the stage's own labelled documents.
+
+    The keys of what goes are found first, in small Arrow batches; whole rows then meet them without leaving the JVM.
+    """
+    with small_batches(spark, BATCH_ROWS):
+        model = langid.fit(docs)
+        if not model.labels:
+            return docs.select(*COLUMNS)
+        keyed = docs.withColumn("_row", row_key())
+        sure = (F.col("lang_pred") != langid.NONE) & (F.col("score") >= min(0.5, SURE / len(model.labels)))
+        gone = langid.predict(keyed.select("_row", "text"), model).filter(~F.coalesce(sure, F.lit(False)))
+        gone = materialize(gone.select("_row").distinct(), "pipeline-unknown")
+    return keyed.join(by_row(gone), "_row", "left_anti").select(*COLUMNS)
 
 
 def by_row(found: DataFrame) -> DataFrame:
