@@ -360,6 +360,45 @@ def test_scores_equal_counting(spark, tmp_path):
     assert lm.score_documents(spark.createDataFrame([], "doc_id long, text string"), F.lit(True)).count() == 0
 
 
+def test_scores_over_many_shards_equal_counting(spark, monkeypatch):
+    """A shard for some hundred bytes: nearly all contexts are hot and lie in parts."""
+    rng = random.Random(3)
+    rows = [(i, " ".join(rng.choice(["the", "a", f"w{rng.randrange(40)}"]) for _ in range(rng.randrange(0, 60)))) for i in range(400)] + [(400, "the the " * 300)]
+    monkeypatch.setattr(lm, "SHARD_BYTES", 700)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    got = {r.doc_id: tuple(r) for r in lm.score_documents(docs, F.col("doc_id") % 3 != 0).collect()}
+    for want in brute_scores(rows, lambda i: i % 3 != 0, lm.MU):
+        have = got[want[0]]
+        assert have[:5] == want[:5]
+        assert have[5] == pytest.approx(want[5], rel=1e-9) and abs(have[6] - want[6]) <= 0.002 * want[2]
+
+
+def test_requests_of_many_blocks_are_answered_together(monkeypatch):
+    """Requests number blocks times shards, so a shard must not look them up one by one; and no shard gets the texts of all tasks."""
+    import pyspark
+
+    shards, hot, rows = 4, {int(lm.BOUNDARY): 4}, []
+    for task in range(60):
+        monkeypatch.setattr(pyspark.TaskContext, "get", lambda task=task: type("Task", (), {"partitionId": lambda self: task})())
+        texts = pa.RecordBatch.from_arrays([pa.array([task]), pa.array([f"a b c{task} d e f"]), pa.array([True])], names=["doc_id", "text", "train"])
+        rows += [x for batch in lm._asker(shards, hot)([texts]) for x in batch.to_pylist()]
+    assert {x["shard"] for x in rows if x["kind"] == "text"} == set(range(shards))
+    calls, lookup = [], eftrie.Trie.lookup
+    monkeypatch.setattr(eftrie.Trie, "lookup", lambda self, c, w: calls.append(len(c)) or lookup(self, c, w))
+    for s in range(shards):
+        own = pa.RecordBatch.from_pylist([x for x in rows if x["shard"] == s], schema=lm.ASKED)
+        out = [x for batch in lm._answerer(lm.MU, shards, hot)([own.slice(0, 7), own.slice(7)]) for x in batch.to_pylist()]
+        assert sorted(x["block"] for x in out if x["kind"] == "answer") == sorted(x["block"] for x in own.to_pylist() if x["kind"] == "ask")
+    assert len(calls) == shards
+
+
+def test_small_numbers_of_rows_and_back():
+    values, bounds = np.array([0, 254, 255, 256, 2**32 - 1, 3]), np.array([0, 0, 4, 5, 6])
+    short, big = (lm._flat(x, k)[0] for x, k in zip(lm._short(values, bounds, np.uint8, np.uint32), (np.uint8, np.uint32), strict=True))
+    assert lm._long(short, big).tolist() == values.tolist()
+    assert lm._flat(lm._short(values, bounds, np.uint8, np.uint32)[1], np.uint32)[1].tolist() == [0, 2, 1, 0]
+
+
 def test_words_are_split_at_ascii_space_only():
     texts = [None, "", " A\tb\x0bC\x0cd\re\n", "É\x1cx\x85y　z "]
     counts, codes, known = words.split(pa.array(texts))
