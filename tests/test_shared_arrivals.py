@@ -39,7 +39,7 @@ def test_inboxes_hold_every_entry_once(spark, folder, name):
     assert by_query(spark, folder, name) == by_sql(folder, entry.oracle_sql()[name])
 
 
-@pytest.mark.parametrize("name", ["audit_sequence", "keyed_merge", "merge_outcomes"])
+@pytest.mark.parametrize("name", ["audit_sequence", "keyed_merge", "merge_outcomes", "streaming_merge"])
 def test_events_that_share_their_place_come_by_id(spark, folder, name):
     """The SQL leaves these ties open, so it is held to one order here."""
     sql = entry.oracle_sql()[name].replace(", seq)", ", (seq, event_id))").replace("ORDER BY seq)", "ORDER BY seq, event_id)")
