@@ -34,7 +34,7 @@ def by_query(spark, folder, name):
     return Counter(tuple(r) for r in entry.queries()[name](spark, folder).collect())
 
 
-@pytest.mark.parametrize("name", ["inbox_drain", "delivery_cap_quarantine", "inbox_bounded_consume", "inbox_pending"])
+@pytest.mark.parametrize("name", ["inbox_drain", "delivery_cap_quarantine", "inbox_bounded_consume", "inbox_pending", "inbox_redelivery"])
 def test_inboxes_hold_every_entry_once(spark, folder, name):
     assert by_query(spark, folder, name) == by_sql(folder, entry.oracle_sql()[name])
 
