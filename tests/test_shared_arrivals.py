@@ -46,6 +46,14 @@ def test_events_that_share_their_place_come_by_id(spark, folder, name):
     assert by_query(spark, folder, name) == by_sql(folder, sql)
 
 
+def test_entries_that_share_the_last_claimed_place_come_by_id(spark, tmp_path):
+    """Of five entries of one place three are claimed; the SQL leaves open which, so it is held to one order here."""
+    rows = [(i + k * PRIME, T0 + timedelta(hours=i + k), i, "view", float(10 * k)) for i in range(40) for k in (4, 3, 2, 1, 0)]
+    spark.createDataFrame(rows, "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double").coalesce(1).write.parquet(f"{tmp_path}/events.parquet")
+    sql = entry.oracle_sql()["inbox_redelivery"].replace("ORDER BY seq)", "ORDER BY seq, event_id)")
+    assert by_query(spark, str(tmp_path), "inbox_redelivery") == by_sql(str(tmp_path), sql)
+
+
 def test_entries_of_one_sequence_are_told_apart(spark, tmp_path):
     """Within an append and across appends, and even if they are equal."""
     box = Inbox(spark, f"file://{tmp_path}")
