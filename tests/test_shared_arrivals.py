@@ -54,6 +54,12 @@ def test_entries_that_share_the_last_claimed_place_come_by_id(spark, tmp_path):
     assert by_query(spark, str(tmp_path), "inbox_redelivery") == by_sql(str(tmp_path), sql)
 
 
+def test_places_are_kept_whatever_the_ids(spark, tmp_path):
+    rows = [(i, T0 + timedelta(hours=n), n % 2, "view", 10.0) for n, i in enumerate((-5, -3, 4, 7, (1 << 40) + 1, (1 << 41) + 2))]
+    spark.createDataFrame(rows, "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double").coalesce(1).write.parquet(f"{tmp_path}/events.parquet")
+    assert by_query(spark, str(tmp_path), "inbox_bounded_consume") == by_sql(str(tmp_path), entry.oracle_sql()["inbox_bounded_consume"])
+
+
 def test_entries_of_one_sequence_are_told_apart(spark, tmp_path):
     """Within an append and across appends, and even if they are equal."""
     box = Inbox(spark, f"file://{tmp_path}")
