@@ -39,7 +39,7 @@ from pyspark.sql.pandas.types import from_arrow_schema
 from factloom.llm import words
 from factloom.llm.eftrie import Trie
 from factloom.llm.neardup import _parts
-from factloom.llm.storage import materialize, partitions, small_batches
+from factloom.llm.storage import materialize, partitions, shuffles_freed, small_batches
 
 MU = 100.0
 LEVELS = 4095
@@ -398,7 +398,8 @@ def score_documents(docs: DataFrame, train: Column, key: str = "doc_id", text: s
     with small_batches(spark, BATCH_ROWS):
         hot = hot_contexts(data.filter(F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(1 << 30)) < int(share * (1 << 30)) + 1).select("text"), shards)
     asked = data.mapInArrow(_asker(shards, hot), from_arrow_schema(ASKED))
-    with small_batches(spark, BATCH_ROWS):
+    # The requests are twice the input, so they must not lie beside the answers' own shuffle.
+    with small_batches(spark, BATCH_ROWS), shuffles_freed(spark):
         answered = materialize(asked.groupBy("shard").applyInArrow(_answerer(mu, shards, hot), from_arrow_schema(ANSWERED)), "lm-answers")
     sums = answered.filter("kind = 'sum'").agg(F.sum("tokens").alias("n"), F.sum("kinds").alias("v")).first()
     told = [unpress(r["payload"]) for r in answered.filter("kind = 'hot'").select("payload").collect()]  # a number for each hot context

@@ -3,8 +3,10 @@
 import itertools
 import math
 import random
+import time
 import zlib
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import numpy as np
 import public_tokenizers
@@ -392,6 +394,25 @@ def test_requests_of_many_blocks_are_answered_together(monkeypatch):
     assert len(calls) == shards
 
 
+def test_requests_leave_the_disk_once_answered(spark, monkeypatch):
+    """Their shuffle is twice the input; beside the answers and the answers' shuffle it went over the budget unless the driver happened to collect garbage."""
+    folders = [str(x) for x in spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()]
+    shuffled = lambda: {p for f in folders for p in Path(f).glob("*/shuffle_*.data")}
+    rng, before, left, write = random.Random(4), shuffled(), [], lm.materialize
+
+    def watched(df, name):
+        out = write(df, name)
+        time.sleep(2)  # files go in the background
+        left.append(sum(p.stat().st_size for p in shuffled() - before))
+        return out
+
+    monkeypatch.setattr(lm, "materialize", watched)
+    docs = spark.createDataFrame([(i, " ".join(f"w{rng.randrange(10**6)}" for _ in range(200))) for i in range(400)], "doc_id long, text string")
+    assert lm.score_documents(docs, F.col("doc_id") % 3 != 0).count() == 400
+    assert len(left) == 1 and left[0] < 100_000
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "false"
+
+
 def test_small_numbers_of_rows_and_back():
     values, bounds = np.array([0, 254, 255, 256, 2**32 - 1, 3]), np.array([0, 0, 4, 5, 6])
     short, big = (lm._flat(x, k)[0] for x, k in zip(lm._short(values, bounds, np.uint8, np.uint32), (np.uint8, np.uint32), strict=True))
