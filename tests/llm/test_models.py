@@ -3,6 +3,7 @@
 import itertools
 import math
 import random
+import sys
 import time
 import zlib
 from collections import Counter, defaultdict
@@ -312,6 +313,41 @@ def test_the_scan_drops_early_but_keeps_the_near():
     assert set(near) <= set(alive.tolist()) and len(alive) < 300
 
 
+def test_queries_of_a_block_are_scanned_together(spark, monkeypatch):
+    """Queries number a twentieth of the rows and visit most lists of vectors without structure, so a block must not be scanned for one after the other."""
+    from pyspark.sql.pandas.group_ops import PandasCogroupedOps
+
+    visits, apply = [], PandasCogroupedOps.applyInArrow
+    monkeypatch.setattr(PandasCogroupedOps, "applyInArrow", lambda self, f, schema: visits.append(f) or apply(self, f, schema))
+    rng = np.random.default_rng(5)
+    x = rng.standard_normal((2000, 64)).astype(np.float32)
+    ann.search(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x[:40])], "vec_id long, embedding array<float>"), F.col("vec_id") == 0, k=5)
+    norms = (x.astype(float) ** 2).sum(1)
+    turned = np.column_stack([x, np.sqrt(norms.max() - norms)]).astype(np.float32)
+    binary = lambda rows: pa.array([r.tobytes() for r in rows], pa.binary())
+    left = pa.table({"ids": pa.array([[i, 5000 + i] for i in range(len(x))]), "x": binary(x), "turned": binary(turned)})
+    steps = {}
+    for m in (20, 400):
+        whole = x[:m].astype(float) @ x.T.astype(float)
+        bounds = np.sort(norms[:m, None] + norms.max() - 2 * whole, axis=1)[:, 8]
+        bounds[::2] = np.inf
+        right = pa.table({"q": np.arange(m), "bound": bounds, "x": binary(x[:m]), "turned": binary(np.column_stack([x[:m], np.zeros(m, np.float32)]))})
+        done = []
+        sys.setprofile(lambda frame, event, arg, done=done: done.append(event) if event.endswith("call") else None)
+        try:
+            got = visits[0](left, right)
+        finally:
+            sys.setprofile(None)
+        steps[m], found = len(done), defaultdict(list)
+        for r in got.to_pylist():
+            found[r["q"]].append((r["vec_id"], r["score"]))
+        for q in range(m):
+            near = np.lexsort((np.arange(len(x)), -whole[q]))[:3].tolist()
+            assert [i for i, _ in found[q]] == [i for v in near for i in (v, 5000 + v)]
+            assert [s for _, s in found[q]] == pytest.approx(np.repeat(whole[q][near], 2))
+    assert steps[400] < 2 * steps[20]
+
+
 def test_elias_fano():
     rng = np.random.default_rng(0)
     for n, u in itertools.product((1, 2, 50, 5000), (3, 1000, 10**9, 2**40)):
